@@ -37,10 +37,10 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/tideline/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, **options) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage ends there and survives lost executors."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tideline_path = path
     return out

@@ -7,7 +7,24 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import read_table
 from tideline.llm.line_dedup import dedup_lines
+from tideline.llm.media import media_columns
 from tideline.llm.mixing import mix_sources
+from tideline.llm.token_files import token_files
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file; a parameter of the operators, never copied here."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +38,8 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_media_columns": op3_media_columns,
+        "op5_token_files": op5_token_files,
         "op6_line_dedup": op6_line_dedup,
         "op9_mix_sources": op9_mix_sources,
     }
