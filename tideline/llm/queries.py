@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideline.llm.common import read_table
 from tideline.llm.line_dedup import dedup_lines
 from tideline.llm.media import media_columns
+from tideline.llm.minhash import near_duplicates
 from tideline.llm.mixing import mix_sources
 from tideline.llm.token_files import token_files
 
@@ -19,6 +20,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -38,6 +43,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_near_duplicates": op1_near_duplicates,
         "op3_media_columns": op3_media_columns,
         "op5_token_files": op5_token_files,
         "op6_line_dedup": op6_line_dedup,
