@@ -10,6 +10,7 @@ from tideline.llm.line_dedup import dedup_lines
 from tideline.llm.media import media_columns
 from tideline.llm.minhash import near_duplicates
 from tideline.llm.mixing import mix_sources
+from tideline.llm.quality import quality
 from tideline.llm.token_files import token_files
 
 
@@ -41,6 +42,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def queries() -> dict:
     return {
         "op1_near_duplicates": op1_near_duplicates,
@@ -48,6 +53,7 @@ def queries() -> dict:
         "op5_token_files": op5_token_files,
         "op6_line_dedup": op6_line_dedup,
         "op9_mix_sources": op9_mix_sources,
+        "op10_quality": op10_quality,
     }
 
 
