@@ -10,6 +10,7 @@ from tideline.llm.line_dedup import dedup_lines
 from tideline.llm.media import media_columns
 from tideline.llm.minhash import near_duplicates
 from tideline.llm.mixing import mix_sources
+from tideline.llm.pieces import encode_pieces
 from tideline.llm.quality import quality
 from tideline.llm.token_files import token_files
 
@@ -38,6 +39,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 
+def op7_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("piece_bpe_32k.model"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
@@ -52,6 +57,7 @@ def queries() -> dict:
         "op3_media_columns": op3_media_columns,
         "op5_token_files": op5_token_files,
         "op6_line_dedup": op6_line_dedup,
+        "op7_encode_pieces": op7_encode_pieces,
         "op9_mix_sources": op9_mix_sources,
         "op10_quality": op10_quality,
     }
