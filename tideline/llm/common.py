@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import lru_cache
@@ -56,6 +57,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """Broadcast df if its counted rows are at most `most`; beyond that Spark shuffles the join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -12,6 +12,7 @@ from tideline.llm.minhash import near_duplicates
 from tideline.llm.mixing import mix_sources
 from tideline.llm.pieces import encode_pieces
 from tideline.llm.quality import quality
+from tideline.llm.suffixes import remove_repeats
 from tideline.llm.token_files import token_files
 
 
@@ -26,6 +27,11 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -54,6 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_near_duplicates": op1_near_duplicates,
+        "op2_repeats": op2_repeats,
         "op3_media_columns": op3_media_columns,
         "op5_token_files": op5_token_files,
         "op6_line_dedup": op6_line_dedup,
