@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.common import read_table
+from tideline.llm.embeddings import similar_vectors
 from tideline.llm.line_dedup import dedup_lines
 from tideline.llm.media import media_columns
 from tideline.llm.minhash import near_duplicates
@@ -14,6 +15,7 @@ from tideline.llm.pieces import encode_pieces
 from tideline.llm.quality import quality
 from tideline.llm.suffixes import remove_repeats
 from tideline.llm.token_files import token_files
+from tideline.llm.warc import header_text, page_records, resolve_revisits
 
 
 def vocabulary(name: str) -> str:
@@ -36,6 +38,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"))
 
@@ -49,6 +55,11 @@ def op7_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("piece_bpe_32k.model"))
 
 
+def op8_resolve_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resolve_revisits(page_records(read_table(spark, sf_dir, "pages", "page_id", "url", "html")))
+    return out.select("record_id", "response_id", "resolved", "reason", header_text(F.col("headers")).alias("headers"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
@@ -62,9 +73,11 @@ def queries() -> dict:
         "op1_near_duplicates": op1_near_duplicates,
         "op2_repeats": op2_repeats,
         "op3_media_columns": op3_media_columns,
+        "op4_similar_vectors": op4_similar_vectors,
         "op5_token_files": op5_token_files,
         "op6_line_dedup": op6_line_dedup,
         "op7_encode_pieces": op7_encode_pieces,
+        "op8_resolve_revisits": op8_resolve_revisits,
         "op9_mix_sources": op9_mix_sources,
         "op10_quality": op10_quality,
     }
@@ -86,6 +99,28 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 FROM d LEFT JOIN t USING (doc_id)
 """
 
+OP8_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, page_id % 5 = 0 AS dated,
+     regexp_replace(regexp_replace(trim(url), '#.*$', ''), '(?i)^https?://(www[.])?', '') AS u FROM pages),
+q AS (SELECT *, lower(regexp_replace(regexp_extract(u, '^[^/?]*'), ':(80|443)$', '')) AS host,
+     regexp_replace(regexp_replace(u, '^[^/?]*', ''), '([?&])(?:ref|utm_[a-z]+)=[^&]*', '\1', 'g') AS rest FROM p),
+c AS (SELECT *, host || regexp_replace(regexp_replace(regexp_replace(regexp_replace(rest, '&+', '&', 'g'), '[?]&', '?', 'g'), '[?&]$', ''), '/$', '') AS url,
+     '"' || substr(md5(html), 1, 16) || '"' AS tag, 'day ' || (length(html) % 97) AS day FROM q),
+r AS (SELECT url, page_id * 2 AS at_, page_id * 2 AS record_id, true AS full_, dated, tag, day, strlen(html) AS size FROM c
+      UNION ALL SELECT url, page_id * 2 + 2001, page_id * 2 + 1, false, dated, tag, day, NULL FROM c),
+w AS (SELECT *, last_value(CASE WHEN full_ THEN {'id': record_id, 'dated': dated, 'tag': tag, 'day': day, 'size': size} END IGNORE NULLS)
+      OVER (PARTITION BY url ORDER BY at_, full_, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b FROM r),
+x AS (SELECT *, CASE WHEN b IS NULL THEN 'no earlier response'
+      WHEN NOT dated THEN CASE WHEN NOT b.dated AND tag = b.tag THEN 'etag' ELSE 'etag differs' END
+      WHEN b.dated AND day = b.day THEN 'last-modified' ELSE 'last-modified differs' END AS reason FROM w WHERE NOT full_)
+SELECT record_id, CASE WHEN reason IN ('etag', 'last-modified') THEN b.id END AS response_id,
+       reason IN ('etag', 'last-modified') AS resolved, reason,
+       CASE WHEN reason = 'etag' THEN concat_ws(chr(10), 'cache-control: max-age=60', 'content-length: ' || b.size, 'content-type: text/html', 'date: ' || at_,
+            'etag: ' || CASE WHEN (record_id // 2) % 2 = 1 THEN 'W/' ELSE '' END || tag)
+            WHEN reason = 'last-modified' THEN concat_ws(chr(10), 'cache-control: max-age=60', 'content-length: ' || b.size, 'content-type: text/html', 'date: ' || at_, 'last-modified: ' || b.day) END AS headers
+FROM x
+"""
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
            md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
@@ -109,4 +144,4 @@ SELECT c.doc_id, c.size, c.source_size, c.target, coalesce(t.taken, 0) AS taken
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL, "op9_mix_sources": OP9_SQL}
+    return {"op6_line_dedup": OP6_SQL, "op8_resolve_revisits": OP8_SQL, "op9_mix_sources": OP9_SQL}
