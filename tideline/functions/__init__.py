@@ -1 +1 @@
-
+"""Helpers on columns and small tables."""
