@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: White space of the word contract: blank and the bytes 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_MASK = (1 << 64) - 1
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -39,9 +39,17 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str, **options) -> DataFrame:
-    """Write df to the shared folder and read it again: the lineage ends there and survives lost executors."""
-    path = new_path(df.sparkSession, tag)
-    df.write.options(**options).parquet(path)
+    """Write df to the shared folder and read it again: the lineage ends there and survives lost executors.
+
+    Batches to Python are kept small meanwhile, as whole texts are in them.
+    """
+    path, conf = new_path(df.sparkSession, tag), df.sparkSession.conf
+    before = conf.get(_BATCH)
+    conf.set(_BATCH, "1000")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        conf.set(_BATCH, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tideline_path = path
     return out
