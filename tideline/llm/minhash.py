@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import column, connected_components, drop_table, materialize, mix64, shingle_hashes
+from tideline.llm.common import column, connected_components, drop_table, materialize, mix64, release, shingle_hashes, small
 
 #: Hash collections and hashes in each. Two documents meet in a table if two of their
 #: collections agree: at a similarity of 0.75 a collection agrees with probability
@@ -20,6 +20,10 @@ COLLECTIONS, HASHES = 14, 2
 #: One-bit sketch: words of 64 bins.
 SKETCH = 4
 _BINS = 64 * SKETCH
+#: Bitmap of a set: words of 64 places.
+BITMAP = 32
+#: Ids that are sent to all executors, to pick texts without a shuffle of all texts; more are joined by a shuffle.
+MOST_IDS = 250_000
 _SALT = np.array([int.from_bytes(hashlib.blake2b(b"minhash %d" % i, digest_size=8).digest(), "little") | 1 for i in range(2 * COLLECTIONS * HASHES)], np.uint64)
 
 
@@ -77,6 +81,26 @@ def _sets(k: int):
     return run
 
 
+def _shingles(batches):
+    """A row for each shingle of stored sets."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 500):
+            part = batch.slice(i, 500)
+            sets = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+            ids = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([np.empty(0, np.int64), *sets]))], names=["doc_id", "s"])
+
+
+def _bitmaps(batches):
+    """A bit for each place that some shingle of a stored set hashes to."""
+    for batch in batches:
+        maps = np.zeros((batch.num_rows, 64 * BITMAP), np.uint8)
+        for row, x in zip(maps, batch.column(1).to_pylist(), strict=True):
+            row[np.frombuffer(x, np.uint64) % np.uint64(64 * BITMAP)] = 1
+        maps = np.packbits(maps, axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(maps), pa.list_(pa.int64()))], names=["doc_id", "bits"])
+
+
 def _linked(percent: int):
     def run(batches):
         for batch in batches:
@@ -111,7 +135,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     pair of such collections. In a table's bucket the least doc_id is the pivot: all are
     held against it, which links most copies at once. Where a bucket's members then still
     lie in several components, the members outside the pivot's are held against all of
-    other components. So every pair of a bucket is either compared or already connected;
+    other components; but what two documents share is at most what each of them shares
+    with any other document of such buckets, and pairs for which that is too little are
+    left out. So every pair of a bucket is compared, connected already or ruled out;
     buckets are never emitted as all pairs and have no cap. Pairs that sizes or sketches
     rule out aside, all are confirmed on the full sets, read from the texts again.
 
@@ -143,12 +169,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "minhash-pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = materialize(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary"), "minhash-sets")
+        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "minhash-wanted")
+        sets = materialize(rows.join(small(wanted, MOST_IDS), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary"), "minhash-sets")
         a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
         b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
         out = materialize(pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(_linked(percent), "a long, b long"), "minhash-links")
         drop_table(sets)
+        release(docs.sparkSession)
         return out
 
     to_pivot = tables.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -160,11 +187,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     named = materialize(named, "minhash-named")
     own = named.where("doc_id = pivot").select("bucket", F.col("comp").alias("home"))
     outside = materialize(named.join(own, "bucket").where("comp <> home").select("bucket", F.col("doc_id").alias("o"), F.col("comp").alias("o_comp"), "pivot"), "minhash-outside")
-    mixed = outside.select("bucket").distinct()
-    there = named.join(mixed, "bucket").where("doc_id <> pivot").select("bucket", F.col("doc_id").alias("m"), F.col("comp").alias("m_comp"))
-    there = there.join(brief.withColumnRenamed("doc_id", "m"), "m").select("bucket", "m", "m_comp", F.struct("n", "sketch").alias("y"))
-    here = outside.join(brief.withColumnRenamed("doc_id", "o"), "o").select("bucket", "o", "o_comp", F.struct("n", "sketch").alias("x"))
-    more = here.join(there, "bucket").where((F.col("o_comp") != F.col("m_comp")) & _likely("x", "y", percent))
+    mixed = materialize(outside.select("bucket").distinct(), "minhash-mixed")
+    # shared with no other document of those buckets: what no link can count on
+    there = named.join(mixed, "bucket")
+    sets = materialize(rows.join(small(materialize(there.select("doc_id").distinct(), "minhash-there"), MOST_IDS), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary"), "minhash-sets")
+    parts = materialize(sets.mapInArrow(_shingles, "doc_id long, s long"), "minhash-shingles")
+    bits = sets.mapInArrow(_bitmaps, "doc_id long, bits array<long>")
+    known = materialize(parts.groupBy("s").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("s"), "minhash-known")
+    held = materialize(parts.distinct().join(known, "s").groupBy("doc_id").agg(F.count(F.lit(1)).alias("held")), "minhash-held")
+    seen = materialize(first.select("doc_id", "n").join(held, "doc_id").join(bits.dropDuplicates(["doc_id"]), "doc_id").where(F.col("held") * 100 >= F.col("n") * percent), "minhash-seen")
+    # plain columns that are never null: a condition on them compiles to little code
+    flat = lambda side: [F.coalesce(c, F.lit(0)).alias(f"{side}_{n}") for n, c in [("n", F.col("n")), ("held", F.col("held")), *((i, F.col("bits")[i]) for i in range(BITMAP))]]
+    there = there.where("doc_id <> pivot").select("bucket", F.col("doc_id").alias("m"), F.col("comp").alias("m_comp"))
+    there = there.join(seen.withColumnRenamed("doc_id", "m"), "m").select("bucket", "m", "m_comp", *flat("y"))
+    here = outside.join(seen.withColumnRenamed("doc_id", "o"), "o").select("bucket", "o", "o_comp", *flat("x"))
+    both = F.col("x_n") + F.col("y_n")
+    sizes = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
+    # each place that differs takes a shingle that only one of the two has
+    differ = sum(F.bit_count(F.col(f"x_{i}").bitwiseXOR(F.col(f"y_{i}"))) for i in range(BITMAP))
+    fits = sizes & (F.least("x_held", "y_held") * (100 + percent) >= both * percent) & (differ * (100 + percent) <= both * (100 - percent))
+    more = here.join(there, "bucket").where((F.col("o_comp") != F.col("m_comp")) & fits)
     more = more.select(F.least("o", "m").alias("a"), F.greatest("o", "m").alias("b")).distinct()
     links = links.union(confirmed(more))
     comp = materialize(connected_components(links), "minhash-comp")
@@ -179,4 +221,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """docs without the near-duplicates of a lower doc_id: one document of each component stays."""
     gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    return docs.join(small(materialize(gone, "minhash-gone"), MOST_IDS), docs["doc_id"] == F.col("gone_id"), "left_anti")
