@@ -132,7 +132,8 @@ class LineField:
         ridge regression on the logistic scale; then weights and transitions are
         climbed together by Adam on the exact gradient from the marginals.
         """
-        x, _, counts = line_features(texts)
+        parts = [line_features(texts[i : i + 200]) for i in range(0, len(texts), 200)]
+        x, _, counts = map(np.concatenate, zip(*parts, strict=True))
         doc = np.repeat(np.arange(len(counts)), counts)
         y = labels[doc].astype(np.float64)
         line_weight = (1.0 / counts)[doc]
