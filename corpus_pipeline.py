@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import materialize, read_table
+from tideline.llm.common import fresh, materialize, read_table
 from tideline.llm.line_dedup import dedup_lines
 from tideline.llm.minhash import keep_one
 from tideline.llm.mixing import mix_sources
@@ -32,9 +32,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: up to three rows, or none. Texts without words are not taken."""
-    times = mix_sources(docs).where("taken > 0").groupBy(F.col("doc_id").alias("mix_id")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("mix_times"))
-    out = docs.join(times, docs["doc_id"].eqNullSafe(F.col("mix_id")))
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_times"))).alias("mix_copy")).drop("mix_copy")
+    mix_id, mix_times, mix_copy = (fresh(docs, x) for x in ("mix_id", "mix_times", "mix_copy"))
+    times = mix_sources(docs).where("taken > 0").groupBy(F.col("doc_id").alias(mix_id)).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias(mix_times))
+    out = docs.join(times, docs["doc_id"].eqNullSafe(F.col(mix_id)))
+    return out.withColumn(mix_copy, F.explode(F.sequence(F.lit(1), F.col(mix_times)))).select(*[docs[c] for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
