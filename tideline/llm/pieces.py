@@ -116,7 +116,7 @@ class Lattice:
         flat[own] = _OWN_SPACE
         left = np.repeat(start + size, size) - np.arange(len(flat))
         n, most = len(flat), self.longest
-        ids, weights = np.full((n, most), -1, np.int32), np.zeros((n, most))
+        ids, weights = np.full((n, most), -1, np.int32), np.zeros((n, most), np.float32)
         h = np.zeros(n, np.uint64)
         at = np.arange(n)
         with np.errstate(over="ignore"):
@@ -226,7 +226,7 @@ def seeds_of(keys: list, seed: int) -> np.ndarray:
 _OUT = "doc_id long, n_pieces long, ids array<int>, ids_crc32 long, lossless boolean"
 
 
-def encode_pieces(docs: DataFrame, model: str, theta: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", step: int = 1000) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, theta: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", step: int = 250) -> DataFrame:
     """(doc_id, n_pieces, ids, ids_crc32, lossless) of every whole text.
 
     The draw depends on seed, id and text alone, not on partitions or batches; rows equal
@@ -239,8 +239,8 @@ def encode_pieces(docs: DataFrame, model: str, theta: float = 1.0, seed: int = 0
         lat = lattice(model, theta)
         for batch in batches:
             i = 0
-            while i < batch.num_rows:  # up to `step` rows or some 4 MB
-                part, room = batch.slice(i, step), 4_000_000
+            while i < batch.num_rows:  # up to `step` rows or a million characters: sums take some 200 bytes for each
+                part, room = batch.slice(i, step), 1_000_000
                 texts = []
                 for t in part.column(1).to_pylist():
                     room -= len(t or "")
