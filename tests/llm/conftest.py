@@ -21,7 +21,8 @@ def corpus():
         for _ in range(rng.randrange(0, 9)):
             w[rng.randrange(len(w))] = f"x{i}"
         out[i] = " ".join(w)
-    out |= {75: out[60], 76: out[60].upper(), 77: None, 78: "", 79: "   \n\t ", 80: "one", 81: "one two", 82: "one two", 83: words(rng, 9000), 84: "é▁ñ  日本語 😀\n\n x", 85: " ".join(["so"] * 900), 86: "a\n" * 400, 87: out[83][:6000] + " tail"}
+    out |= {75: out[60], 76: out[60].upper(), 77: None, 78: "", 79: "   \n\t ", 80: "one", 81: "one two", 82: "one two", 83: words(rng, 9000), 84: "é▁ñ  日本語 😀\n\n x", 85: " ".join(["so"] * 900), 86: "a\n" * 400}
+    out[87] = out[83][:6000] + " tail"
     block = "\n".join(f"line {k} " + words(rng, 12, 5000) for k in range(6))
     out |= {88: block, 89: "head\n" + block + "\nend", 90: block + "\n" + block, 91: "x\ny\nz"}
     return out

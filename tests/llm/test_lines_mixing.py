@@ -74,15 +74,16 @@ def test_mix_matches_sql(spark, docs):
 
 
 def test_mix_takes_come_near_targets(spark):
-    rows = [(i, ("a", "b", "c", None)[min(i % 10, 3)], " ".join(["w"] * (1 + i * 7 % 50))) for i in range(4000)]
+    rows = [(i, ("a", "b", "c", None)[min(i % 10, 3)], " ".join(["w"] * (1 + (i * i + i // 10) % 50))) for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     one, two = mix_sources(df).collect(), mix_sources(df.repartition(13)).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, two))
     by = defaultdict(int)
     for r in one:
         assert r.taken <= 3 * r.size and r.taken % max(r.size, 1) == 0
-        by[r.target] += r.taken
-    for target, taken in by.items():
+        by[(min(r.doc_id % 10, 3), r.target)] += r.taken
+    assert len(by) == 4
+    for (_, target), taken in by.items():
         assert abs(taken - target) <= 60
     assert sum(by.values()) <= sum(r.size for r in one)
 
