@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,26 +22,47 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.ui
 _BYTES = np.arange(4, dtype=np.uint8)
 MAGIC = b"TIDEIDS1"
 _RAGGED = re.compile(r" (?=\s|\Z)")
+#: Sentence marks and symbols that the pattern parts from letters before them; no apostrophe.
+_ENDS = "!#$%&()*+,-./:;<=>?@[\\]^`{|}~"
+#: Mark of a part without a blank before it. No decoded UTF-8 holds a surrogate.
+_BARE = "\ud800"
 
 
 def pack_ids(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of unsigned 32-bit integers."""
-    r = np.ascontiguousarray(ranks, "<u4")
-    n = (1 + (r > 0xFF) + (r > 0xFFFF) + (r > 0xFFFFFF)).astype(np.uint8)
+    """(control bytes, data bytes) of unsigned integers of 16 or 32 bits."""
+    wide = ranks.dtype.itemsize > 2
+    r = np.ascontiguousarray(ranks, "<u4" if wide else "<u2")
+    more = (r > 0xFF).view(np.uint8)  # bytes after the first
+    if wide:
+        more = more + (r > 0xFFFF) + (r > 0xFFFFFF)
     two = np.zeros(-(-len(r) // 4) * 4, np.uint8)
-    two[: len(r)] = n - 1
-    control = two.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
-    data = r.view(np.uint8).reshape(-1, 4)[_BYTES < n[:, None]]
-    return control.sum(axis=1).astype(np.uint8).tobytes(), data.tobytes()
+    two[: len(r)] = more
+    two = two.reshape(-1, 4)
+    control = two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6
+    size = r.dtype.itemsize
+    data = r.view(np.uint8).reshape(-1, size)[_BYTES[:size] <= more[:, None]]
+    return control.tobytes(), data.tobytes()
 
 
 def unpack_ids(block: bytes, n: int) -> np.ndarray:
     """The n integers of a block of control bytes and the data bytes behind them."""
     k = -(-n // 4)
     lengths = LENGTHS[np.frombuffer(block, np.uint8, k)].reshape(-1)[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[_BYTES < lengths[:, None]] = np.frombuffer(block, np.uint8, offset=k)
-    return out.view("<u4").reshape(-1)
+    size = 2 if not n or lengths.max() <= 2 else 4
+    out = np.zeros((n, size), np.uint8)
+    out[_BYTES[:size] < lengths[:, None]] = np.frombuffer(block, np.uint8, offset=k)
+    return out.view(f"<u{size}").reshape(-1)
+
+
+class _Known(dict):
+    """Ids of parts as bytes. A part without ids is noted in `missing`, with a buffer that its ids will be put in."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.missing: dict[str, bytearray] = {}
+
+    def __missing__(self, part: str) -> bytearray:
+        return self.missing.setdefault(part, bytearray())
 
 
 class Encoder:
@@ -49,21 +70,26 @@ class Encoder:
 
     The vocabulary's splitting pattern puts a blank with the visible character after it,
     so a text may be cut before each such blank and the parts be encoded apart; a part
-    that comes again is not encoded again. `most` bounds the parts remembered.
+    that comes again is not encoded again. It also parts letters from the marks behind
+    them, so a word with such an end needs only the word's and the end's ids. `most`
+    bounds the parts remembered.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1_600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.known = most, {}
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.most, self.known = most, _Known()
 
     @staticmethod
     def parts(text: str) -> list[str]:
         """The parts after the first stand without their leading blank; the first has a mark instead."""
         out = text.split(" ")
-        if _RAGGED.search(text):
+        # a part that is empty or starts with ASCII white space is the least or has one before it
+        if min(out)[:1] <= " " or not text.isascii() and _RAGGED.search(text):
             joined = out[:1]
             for p in out[1:]:
                 if p == "" or p[0].isspace():
@@ -71,22 +97,58 @@ class Encoder:
                 else:
                     joined.append(p)
             out = joined
-        out[0] = "\0" + out[0]
+        out[0] = _BARE + out[0]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [self.parts(t) if t else [] for t in texts]
-        every = set().union(*split)
-        new = list(every - self.known.keys())
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list(every)
-        if new:
-            found = self.tokenizer.encode_batch_fast([p[1:] if p[0] == "\0" else " " + p for p in new], add_special_tokens=False)
-            self.known.update((p, array("I", x.ids).tobytes()) for p, x in zip(new, found, strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        """Ids of each text, as bytes of this vocabulary's dtype."""
+        known = self.known
+        found = [list(map(known.__getitem__, self.parts(t))) if t else [] for t in texts]
+        self._learn(known.missing)
+        out = [b"".join(f) for f in found]
+        known.missing = {}
+        if len(known) > self.most:  # the parts met first are the common ones
+            self.known = _Known(islice(known.items(), self.most // 2))
+        return out
+
+    def _learn(self, missing: dict[str, bytearray]) -> None:
+        known, new, ended = self.known, {}, []
+        for p in missing:
+            word = p.rstrip(_ENDS)
+            if len(word) < len(p) and word[-1:].isalpha():
+                end = _BARE + p[len(word) :]
+                ended.append((p, word, end))
+                if word not in known:
+                    new[word] = None
+                if end not in known:
+                    new[end] = None
+            else:
+                new[p] = None
+        self._encode_parts(list(new))
+        for p, word, end in ended:
+            known[p] = known[word] + known[end]
+        for p, buffer in missing.items():
+            buffer += known[p]
+
+    def _encode_parts(self, parts: list[str], chunk: int = 100) -> None:
+        """Encode parts; those without white space inside in chunks of one to a line, as a line's end is a token of its own."""
+        known = self.known
+        plain = [p for p in parts if p.isprintable() and " " not in p]
+        lines = [" " + "\n ".join(plain[i : i + chunk]) for i in range(0, len(plain), chunk)]
+        for i, x in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(x.ids, self.dtype)
+            size = ids.itemsize
+            ends = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
+            mine = plain[i * chunk : (i + 1) * chunk]
+            if len(ends) != len(mine):
+                raise ValueError("this vocabulary has no token of its own for a line's end")
+            data, at = ids.tobytes(), 0
+            for p, end in zip(mine, ends, strict=True):
+                known[p] = data[size * at : size * end]
+                at = end + 1
+        other = [p for p in parts if not p.isprintable() or " " in p]
+        found = self.tokenizer.encode_batch_fast([p[1:] if p[:1] == _BARE else " " + p for p in other], add_special_tokens=False)
+        known.update((p, np.array(x.ids, self.dtype).tobytes()) for p, x in zip(other, found, strict=True))
 
 
 @lru_cache(maxsize=2)
@@ -98,8 +160,8 @@ def _encoder(path: str) -> Encoder:
 
 
 def _ids(batch: pa.RecordBatch, vocabulary: str, end_id: int, step: int = 512) -> Iterator[tuple]:
-    tail = np.array([end_id], "<u4").tobytes()
     encoder = _encoder(vocabulary)
+    tail = np.array([end_id], encoder.dtype).tobytes()
     for i in range(0, batch.num_rows, step):
         part = batch.slice(i, step)
         texts = [t or "" for t in part.column(1).to_pylist()]
@@ -107,43 +169,38 @@ def _ids(batch: pa.RecordBatch, vocabulary: str, end_id: int, step: int = 512) -
 
 
 def _encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """(doc_id, part, seq, wide, ids) in ascending doc_id order: the ids of a part's seq-th document."""
+    """(doc_id, part, seq, ids) in ascending doc_id order: the ids of a part's seq-th document."""
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             rows = []
             for doc_id, ids in _ids(batch, vocabulary, end_id):
-                x = np.frombuffer(ids, "<u4")
-                wide = bool(x.max() > 0xFFFF)
-                rows.append((doc_id, part, seq, wide, ids if wide else x.astype("<u2").tobytes()))
+                rows.append((doc_id, part, seq, ids))
                 seq += 1
             if rows:
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "part", "seq", "wide", "ids"])
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "part", "seq", "ids"])
 
     by = F.col("doc_id").asc_nulls_last()
-    return docs.repartitionByRange(by).sortWithinPartitions(by, "text").mapInArrow(run, "doc_id long, part int, seq long, wide boolean, ids binary")
+    return docs.repartitionByRange(by).sortWithinPartitions(by, "text").mapInArrow(run, "doc_id long, part int, seq long, ids binary")
 
 
-def id_counts(encoded: DataFrame) -> DataFrame:
+def id_counts(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """(id, n) over all documents; one row for each id that occurs."""
 
     def run(batches):
-        total = np.zeros(0, np.int64)
+        dtype, total = _encoder(vocabulary).dtype, np.zeros(0, np.int64)
         for batch in batches:
-            for wide, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = np.bincount(np.frombuffer(ids, "<u4" if wide else "<u2"))
-                if len(c) > len(total):
-                    c[: len(total)] += total
-                    total = c
-                else:
-                    total[: len(c)] += c
+            for i in range(0, batch.num_rows, 500):
+                c = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(i, 500).to_pylist()), dtype), minlength=len(total))
+                c[: len(total)] += total
+                total = c
         at = np.flatnonzero(total)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
-    return encoded.select("wide", "ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 _INDEX = "doc_id long, file string, part int, seq long, offset long, length long, before long, n_tokens long"
@@ -161,9 +218,10 @@ def write_token_files(docs: DataFrame, root: str, vocabulary: str, end_id: int =
     """
     rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     encoded = materialize(_encoded(rows, vocabulary, end_id), "token-ids", compression="zstd")
-    counts = sorted((-r["n"], r["id"]) for r in id_counts(encoded).collect())
+    counts = sorted((-r["n"], r["id"]) for r in id_counts(encoded, vocabulary).collect())
     by_rank = np.array([i for _, i in counts], "<u4")
-    rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, "<u4")
+    dtype = _encoder(vocabulary).dtype
+    rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, dtype)
     rank_of[by_rank] = np.arange(len(by_rank))
     fs, base = open_store(root)
     fs.create_dir(base, recursive=True)
@@ -182,14 +240,14 @@ def write_token_files(docs: DataFrame, root: str, vocabulary: str, end_id: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
         for batch in batches:
-            for doc_id, part, seq, wide, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, part, seq, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if last != (part, seq - 1):  # another part, or another piece of one
                     yield from end()
                     name = f"ids-{part:08d}-{seq:012d}-{uuid.uuid4().hex}.bin"
                     out, at, before, rows = fs.open_output_stream(f"{base}/{name}"), len(MAGIC), 0, []
                     out.write(MAGIC)
                 last = (part, seq)
-                ranks = rank_of[np.frombuffer(ids, "<u4" if wide else "<u2")]
+                ranks = rank_of[np.frombuffer(ids, dtype)]
                 block = b"".join(pack_ids(ranks))
                 out.write(block)
                 rows.append((doc_id, name, part, seq, at, len(block), before, len(ranks)))
