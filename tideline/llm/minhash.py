@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import column, connected_components, drop_table, materialize, mix64, release, shingle_hashes, small
+from tideline.llm.common import column, connected_components, drop_table, fresh, materialize, mix64, release, shingle_hashes, small
 
 #: Hash collections and hashes in each. Two documents meet in a table if two of their
 #: collections agree: at a similarity of 0.75 a collection agrees with probability
@@ -153,11 +153,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
 
     # collections that at least two classes share
     single = first.select("doc_id", F.posexplode("keys").alias("c", "key"))
-    shared = single.groupBy("c", "key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("c", "key")
+    shared = materialize(single.groupBy("c", "key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("c", "key"), "minhash-shared")
     live = single.join(shared, ["c", "key"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("live")).where("size(live) > 1")
     pairs = F.flatten(F.transform("live", lambda x, i: F.transform(F.slice("live", i + 2, F.size("live")), lambda y: F.xxhash64(x["c"], x["key"], y["c"], y["key"]))))
     tables = materialize(live.select("doc_id", F.explode(pairs).alias("bucket")), "minhash-tables")
-    pivots = tables.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("times")).where("times > 1").select("bucket", "pivot")
+    pivots = materialize(tables.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("times")).where("times > 1").select("bucket", "pivot"), "minhash-pivots")
     tables = materialize(tables.join(pivots, "bucket"), "minhash-buckets")
 
     brief = first.select("doc_id", "n", "sketch")
@@ -220,5 +220,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """docs without the near-duplicates of a lower doc_id: one document of each component stays."""
-    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(small(materialize(gone, "minhash-gone"), MOST_IDS), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    gone_id = fresh(docs, "gone_id")
+    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(small(materialize(gone, "minhash-gone"), MOST_IDS), docs["doc_id"] == F.col(gone_id), "left_anti")
