@@ -14,7 +14,7 @@ MODEL = str(public_tokenizers.path("piece_bpe_32k.model"))
 
 def ways(lat, word):
     """Every segmentation of one word with its weight."""
-    _, (size,), ids, weights = lat.edges([word])
+    _, (size,), _, ids, weights = lat.edges([word])
 
     def go(at):
         if at == size:

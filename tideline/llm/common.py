@@ -106,7 +106,7 @@ def word_count(text: Column) -> Column:
 class WordHashes(dict):
     """64-bit hash of each lower-cased word, remembered for a bounded number of words."""
 
-    MOST = 400_000
+    MOST = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:

@@ -21,7 +21,8 @@ MOST_CHARS = 40
 #: Mark of a word without a blank before it. No decoded UTF-8 holds a surrogate.
 _BARE = "\ud800"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SPELL = 1 << 20
+#: A character that its bytes' pieces spell: as an edge, and, more than the character, as a draw.
+_SPELLED, _SPELL = -2, 1 << 22
 
 
 class Lattice:
@@ -55,6 +56,7 @@ class Lattice:
                 self.bytes.append(piece.replace(chr(SPACE), " ").encode())
                 if chr(SPACE) not in piece[1:]:
                     found.append((piece, i, (10.0 - sp.get_score(i)) ** -theta))
+        self.id_type = np.int16 if n <= 1 << 15 else np.int32
         self.longest = max(len(p) for p, _, _ in found)
         cps = [np.frombuffer(p.encode("utf-32-le"), "<u4") for p, _, _ in found]
         hashes = []
@@ -106,7 +108,7 @@ class Lattice:
         return out
 
     def edges(self, words: list[str]):
-        """(first node of each word, its characters, ids, weights): edges from each node, one for each length."""
+        """(first node of each word, its characters, all characters, ids, weights): edges from each node, one for each length."""
         bare = np.array([w[:1] == _BARE for w in words], bool)
         flat = np.frombuffer("".join(w[1:] if b else chr(SPACE) + w for w, b in zip(words, bare, strict=True)).encode("utf-32-le", "surrogatepass"), "<u4").copy()
         size = np.array([len(w) for w in words], np.int64) - bare + ~bare
@@ -128,19 +130,29 @@ class Lattice:
                 ids[at, k - 1], weights[at, k - 1] = self.find(h[at])
         spell = np.flatnonzero(ids[:, 0] < 0)
         weights[spell, 0] = self.FALLBACK
-        c = flat[spell].astype(np.int64)
-        ids[spell, 0] = np.where(c < 128, self.byte_id[np.minimum(c, 127)], _SPELL + c)
-        return start, size, ids, weights
-
-    def filtered(self, words: list[str]):
-        """edges() with, for each node but a word's first, the running sums over the lengths of its last edge."""
-        start, size, ids, weights = self.edges(words)
+        ids[spell, 0] = np.where(flat[spell] < 128, self.byte_id[np.minimum(flat[spell], 127)], _SPELLED)
+        return start, size, flat, ids, weights
+
+    def filtered(self, words: list[str], chunk: int = 20_000):
+        """(start, size, characters, ids, sums, total of each word).
+
+        ids are those of edges(); sums are, for each node but a word's first, the running
+        shares over the lengths of its last edge. Words are filtered in chunks, as the
+        weights are needed for a chunk only.
+        """
+        parts = [self._filtered(words[i : i + chunk]) for i in range(0, len(words), chunk)]
+        before = np.cumsum([0] + [len(p[2]) for p in parts])
+        start = np.concatenate([p[0] + b for p, b in zip(parts, before, strict=False)])
+        return start, *(np.concatenate([p[k] for p in parts]) for k in range(1, 6))
+
+    def _filtered(self, words: list[str]):
+        start, size, flat, ids, weights = self.edges(words)
         n, most = len(ids), self.longest
         alpha = np.ones(n + 1)  # alpha of the node before character i; a word's first node has 1
         sums = np.ones((n, most), np.float32)  # of the node behind character i
         order = np.argsort(-size, kind="stable")
         begin, length = start[order], size[order]
-        ending = np.empty(len(words))
+        ending = np.ones(len(words))
         for j in range(1, int(length[0]) + 1 if len(length) else 1):
             m = int(np.searchsorted(-length, -j, side="right"))
             at = begin[:m] + j
@@ -154,7 +166,7 @@ class Lattice:
             more = length[:m] > j
             alpha[at[more]] = total[more]
             ending[order[:m][~more]] = total[~more]
-        return start, size, ids, sums, ending
+        return start, size, flat, ids.astype(self.id_type), sums, ending
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
         """Piece ids of each text, a draw from its segmentations that its seed determines."""
@@ -163,7 +175,7 @@ class Lattice:
         if not words:
             return [np.empty(0, np.int32) for _ in texts]
         index = dict(zip(words, range(len(words)), strict=True))
-        start, size, ids, sums, _ = self.filtered(words)
+        start, size, flat, ids, sums, _ = self.filtered(words)
         count = np.array([len(s) for s in split], np.int64)
         which = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
         first = np.cumsum(count) - count
@@ -185,7 +197,10 @@ class Lattice:
             if len(over):
                 k[over] = self.longest - 1 - (np.diff(sums[node[over]], axis=1, prepend=np.float32(0)) > 0)[:, ::-1].argmax(axis=1)
             j = j - 1 - k
-            out[place[at] + j] = ids[base[at] + j, k]
+            piece = ids[base[at] + j, k].astype(np.int64)
+            spelled = np.flatnonzero(piece == _SPELLED)
+            piece[spelled] = _SPELL + flat[base[at[spelled]] + j[spelled]]
+            out[place[at] + j] = piece
             on = j > 0
             at, j = at[on], j[on]
         kept = out >= 0
@@ -193,8 +208,8 @@ class Lattice:
         chars = np.add.reduceat(np.append(long, 0), np.minimum(first, len(long))) * (count > 0)
         ends = np.cumsum(chars)
         bounds = np.concatenate([[0], np.where(ends > 0, behind[ends - 1], 0)])
-        flat = out[kept]
-        return [self._spelled(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        drawn = out[kept]
+        return [self._spelled(drawn[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def _spelled(self, ids: np.ndarray) -> np.ndarray:
         """ids with each character that no piece has as the pieces of its bytes."""
@@ -226,7 +241,7 @@ def seeds_of(keys: list, seed: int) -> np.ndarray:
 _OUT = "doc_id long, n_pieces long, ids array<int>, ids_crc32 long, lossless boolean"
 
 
-def encode_pieces(docs: DataFrame, model: str, theta: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", step: int = 250) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, theta: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", step: int = 400) -> DataFrame:
     """(doc_id, n_pieces, ids, ids_crc32, lossless) of every whole text.
 
     The draw depends on seed, id and text alone, not on partitions or batches; rows equal
@@ -239,8 +254,8 @@ def encode_pieces(docs: DataFrame, model: str, theta: float = 1.0, seed: int = 0
         lat = lattice(model, theta)
         for batch in batches:
             i = 0
-            while i < batch.num_rows:  # up to `step` rows or a million characters: sums take some 200 bytes for each
-                part, room = batch.slice(i, step), 1_000_000
+            while i < batch.num_rows:  # up to `step` rows or some million characters: each of a distinct word takes some 100 bytes
+                part, room = batch.slice(i, step), 1_250_000
                 texts = []
                 for t in part.column(1).to_pylist():
                     room -= len(t or "")
