@@ -31,7 +31,7 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def to_png(payload: bytes, level: int = 1) -> bytes:
+def to_png(payload: bytes, level: int = 6) -> bytes:
     """The payload as samples of an 8-bit grey PNG, 64 to a row, without loss."""
     rows = np.zeros((len(payload) // WIDTH, WIDTH + 1), np.uint8)
     rows[:, 1:] = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
@@ -121,7 +121,7 @@ def write_media(docs: DataFrame, root: str, shard_bytes: int = 256 << 20, id_col
     """
     rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     index = materialize(rows.mapInArrow(_pack(root, shard_bytes), _INDEX_DDL), "media-index")
-    one = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place"))
+    one = materialize(index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place")), "media-places")
     return index.select("doc_id", "digest", "n_bytes", "payload_bytes").join(one, "digest").select("doc_id", "digest", "n_bytes", "payload_bytes", "place.*")
 
 
