@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import column, materialize
+from tideline.llm.common import column, fresh, materialize
 
 
 def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,14 +29,16 @@ def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_c
     runs = runs.select("id", "part", F.posexplode(F.transform(starts, lambda i: F.struct(F.xxhash64(*at(i)).alias("h1"), F.xxhash64(F.lit("second"), *at(i)).alias("h2")))).alias("pos", "h"))
     runs = materialize(runs.select("id", "part", "pos", "h.h1", "h.h2"), "line-runs")
     first = runs.groupBy("h1", "h2").agg(F.min(F.struct("id", "part", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = materialize(first, "line-first")  # a table of its own, so that Spark can split a hot window's side of the join
     later = runs.join(first, ["h1", "h2"]).where(~F.struct("id", "part", "pos").eqNullSafe(F.col("first")))
     marks = later.groupBy("id", "part").agg(F.collect_set("pos").alias("starts"))
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + window - 1))))
-    marks = marks.select(F.col("id").alias("m_id"), F.col("part").alias("m_part"), covered.alias("gone"))
+    m_id, m_part, gone = (fresh(d, x) for x in ("m_id", "m_part", "gone"))
+    marks = marks.select(F.col("id").alias(m_id), F.col("part").alias(m_part), covered.alias(gone))
     lines = F.split(column(d, text_col), "\n", -1)
-    out = d.join(marks, column(d, id_col).eqNullSafe(F.col("m_id")) & (F.xxhash64(column(d, text_col)) == F.col("m_part")), "left")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    out = d.join(marks, column(d, id_col).eqNullSafe(F.col(m_id)) & (F.xxhash64(column(d, text_col)) == F.col(m_part)), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     kept = F.array_join(F.transform(stay, lambda i: lines[i]), "\n")
     n = F.when(column(d, text_col).isNull(), 0).otherwise(F.size(lines))
-    new = F.when(F.col("gone").isNull(), column(d, text_col)).otherwise(kept)
-    return out.select(*[new.alias(c) if c == text_col else column(d, c) for c in d.columns], n.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    new = F.when(F.col(gone).isNull(), column(d, text_col)).otherwise(kept)
+    return out.select(*[new.alias(c) if c == text_col else column(d, c) for c in d.columns], n.cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))
