@@ -39,6 +39,56 @@ def test_draws_follow_the_lattice(word):
     assert set(got) <= set(want)
 
 
+def crossings(lat, word):
+    """Probability, by sums in logarithms, that a piece ends at each node inside one word."""
+    _, (size,), _, _, weights = lat.edges([word])
+    steps = [(a, a + k, np.log(float(weights[a, k - 1]))) for a in range(size) for k in range(1, min(lat.longest, size - a) + 1) if weights[a, k - 1] > 0]
+    to, past = np.full(size + 1, -np.inf), np.full(size + 1, -np.inf)
+    to[0] = past[size] = 0
+    for a, b, w in steps:
+        to[b] = np.logaddexp(to[b], to[a] + w)
+    for a, b, w in reversed(steps):
+        past[a] = np.logaddexp(past[a], past[b] + w)
+    return np.minimum(np.exp(to + past - to[size])[1:-1], 1)
+
+
+@pytest.mark.parametrize("word", ["thenotherwise" * 9, "x\tthen\nonhe" * 8, "日本語の文は長い" * 12])
+def test_long_words_are_not_cut(word):
+    lat, n = lattice(MODEL), 4000
+    want, got = crossings(lat, word), np.zeros(len(word) + 1)
+    for ids in lat.sample([f"\n {word}"] * n, seeds_of(range(n), 3)):
+        ends = np.cumsum([len(lat.bytes[i]) for i in ids.tolist()])
+        got += np.isin(np.cumsum([1] + [len(c.encode()) for c in " " + word])[1:], ends)
+    assert (abs(got[:-1] / n - want) < 5 * (want * (1 - want) / n) ** 0.5 + 1e-3).all()
+
+
+def test_runs_of_blanks_are_in_the_lattice():
+    lat, n = lattice(MODEL), 30_000
+    want = ways(lat, "   on")
+    total = sum(want.values())
+    assert any(lat.bytes[s[0]] == b"    " for s in want)
+    got = Counter(tuple(x[1:].tolist()) for x in lat.sample(["\n    on"] * n, seeds_of(range(n), 3)))
+    for s, w in want.items():
+        assert abs(got[s] / n - w / total) < 5 * (w / total / n) ** 0.5 + 1e-3
+    assert set(got) <= set(want)
+
+
+def test_chunks_do_not_matter():
+    lat = lattice(MODEL)
+    words = ["then", "otherwise日本" * 70, "\ud800so", "", "a  b\n" * 33, "\ud800", "x" * 300]
+    whole = lat.filtered(words)
+    for chunk in (7, 50, 301):
+        start, size, flat, ids, sums = lat.filtered(words, chunk)
+        assert all((a == b).all() for a, b in zip((start, size, flat, ids), whole, strict=False))
+        assert abs(sums - whole[4]).max() < 1e-6
+
+
+def test_very_long_word():
+    lat, text = lattice(MODEL), "".join(np.random.default_rng(0).choice(list("abc\n/é日😀"), 170_000))
+    (ids,) = lat.sample([text], seeds_of([1], 0))
+    assert lat.decode(ids) == text
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=80), st.integers(0, 10))
 def test_lossless_and_reproducible(text, key):

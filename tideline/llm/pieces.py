@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 from itertools import chain
@@ -16,8 +17,10 @@ from tideline.llm.common import column, mix64
 SPACE = 0x2581
 #: A text's own U+2581: past Unicode, so that no piece has it and its bytes stand for it.
 _OWN_SPACE = 0x110000
-#: Words longer than this are cut; the lattice then passes through each cut.
-MOST_CHARS = 40
+#: The first blank of a run, where a word begins.
+_BLANK = re.compile("(?<! ) ")
+#: Words filtered side by side from which a loop over lengths is faster than an array of them.
+_MANY = 64
 #: Mark of a word without a blank before it. No decoded UTF-8 holds a surrogate.
 _BARE = "\ud800"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -30,9 +33,10 @@ class Lattice:
 
     A segmentation's probability is proportional to the product of its pieces' weights,
     (rank + 10) ** -theta for a piece of that rank in the model and FALLBACK for a
-    character spelled in byte pieces. Pieces begin at most one word: the lattice falls
-    apart into words, each with the blank before it, so each distinct word of a batch is
-    filtered once and its occurrences are sampled from the same sums.
+    character spelled in byte pieces. No piece used has a blank behind another character:
+    the lattice falls apart into words, each with all blanks before it, so each distinct
+    word of a batch is filtered once and its occurrences are sampled from the same sums.
+    Words are whole, however long.
     """
 
     FALLBACK = 1e-6
@@ -54,7 +58,7 @@ class Lattice:
                 self.bytes.append(b"")
             else:
                 self.bytes.append(piece.replace(chr(SPACE), " ").encode())
-                if chr(SPACE) not in piece[1:]:
+                if chr(SPACE) not in piece.lstrip(chr(SPACE)):
                     found.append((piece, i, (10.0 - sp.get_score(i)) ** -theta))
         self.id_type = np.int16 if n <= 1 << 15 else np.int32
         self.longest = max(len(p) for p, _, _ in found)
@@ -97,25 +101,19 @@ class Lattice:
 
     @staticmethod
     def words(text: str) -> list[str]:
-        out = text.split(" ")
+        """Words without their first blank; the first, which has none, has a mark instead."""
+        out = _BLANK.split(text) if "  " in text else text.split(" ")
         out[0] = _BARE + out[0]
-        if len(max(out, key=len)) > MOST_CHARS:
-            cut = []
-            for w in out:
-                cut.append(w[:MOST_CHARS])
-                cut.extend(_BARE + w[i : i + MOST_CHARS - 1] for i in range(MOST_CHARS, len(w), MOST_CHARS - 1))
-            out = cut
         return out
 
     def edges(self, words: list[str]):
         """(first node of each word, its characters, all characters, ids, weights): edges from each node, one for each length."""
         bare = np.array([w[:1] == _BARE for w in words], bool)
-        flat = np.frombuffer("".join(w[1:] if b else chr(SPACE) + w for w, b in zip(words, bare, strict=True)).encode("utf-32-le", "surrogatepass"), "<u4").copy()
+        flat = np.frombuffer("".join(w[1:] if b else " " + w for w, b in zip(words, bare, strict=True)).encode("utf-32-le", "surrogatepass"), "<u4").copy()
         size = np.array([len(w) for w in words], np.int64) - bare + ~bare
         start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-        own = flat == SPACE
-        own[start[~bare]] = False
-        flat[own] = _OWN_SPACE
+        flat[flat == SPACE] = _OWN_SPACE
+        flat[flat == ord(" ")] = SPACE
         left = np.repeat(start + size, size) - np.arange(len(flat))
         n, most = len(flat), self.longest
         ids, weights = np.full((n, most), -1, np.int32), np.zeros((n, most), np.float32)
@@ -133,40 +131,76 @@ class Lattice:
         ids[spell, 0] = np.where(flat[spell] < 128, self.byte_id[np.minimum(flat[spell], 127)], _SPELLED)
         return start, size, flat, ids, weights
 
-    def filtered(self, words: list[str], chunk: int = 20_000):
-        """(start, size, characters, ids, sums, total of each word).
+    def filtered(self, words: list[str], chunk: int = 160_000):
+        """(start, size, characters, ids, sums).
 
         ids are those of edges(); sums are, for each node but a word's first, the running
-        shares over the lengths of its last edge. Words are filtered in chunks, as the
-        weights are needed for a chunk only.
+        shares over the lengths of its last edge. Words are filtered in chunks of about
+        `chunk` characters, as the weights are needed for a chunk only; a longer word is
+        filtered over several.
         """
-        parts = [self._filtered(words[i : i + chunk]) for i in range(0, len(words), chunk)]
+        parts, first, room = [], 0, chunk
+        for i, w in enumerate([*words, ""]):
+            room -= len(w)
+            if i > first and (room < 0 or i == len(words)):
+                some = words[first:i]
+                parts.append(self._filtered(some) if len(some[0]) <= chunk else self._carried(some[0], chunk))
+                first, room = i, chunk - len(w)
         before = np.cumsum([0] + [len(p[2]) for p in parts])
         start = np.concatenate([p[0] + b for p, b in zip(parts, before, strict=False)])
-        return start, *(np.concatenate([p[k] for p in parts]) for k in range(1, 6))
+        return start, *(np.concatenate([p[k] for p in parts]) for k in range(1, 5))
 
     def _filtered(self, words: list[str]):
         start, size, flat, ids, weights = self.edges(words)
-        n, most = len(ids), self.longest
-        alpha = np.ones(n + 1)  # alpha of the node before character i; a word's first node has 1
-        sums = np.ones((n, most), np.float32)  # of the node behind character i
         order = np.argsort(-size, kind="stable")
-        begin, length = start[order], size[order]
-        ending = np.ones(len(words))
-        for j in range(1, int(length[0]) + 1 if len(length) else 1):
+        length = size[order]
+        sums = self._sums(np.ones(len(ids) + 1), weights, start[order], length, 1, int(length[0]))
+        return start, size, flat, ids.astype(self.id_type), sums
+
+    def _carried(self, word: str, chunk: int):
+        """_filtered() of one word, `chunk` characters at a time; the last nodes' alpha goes on to the next."""
+        text, most, parts, known = word[1:] if word[:1] == _BARE else " " + word, self.longest, [], np.ones(1)
+        for a in range(0, len(text), chunk):
+            low, b = max(0, a + 1 - most), min(a + chunk, len(text))
+            _, size, flat, ids, weights = self.edges([_BARE + text[low : b + most]])
+            alpha = np.ones(len(ids) + 1)
+            alpha[: len(known)] = known
+            sums = self._sums(alpha, weights, np.zeros(1, np.int64), size, a - low + 1, b - low)
+            parts.append([x[a - low : b - low] for x in (flat, ids.astype(self.id_type), sums)])
+            known = alpha[max(0, b + 1 - most) - low : b - low + 1]
+        return np.zeros(1, np.int64), np.array([len(text)]), *map(np.concatenate, zip(*parts, strict=True))
+
+    def _sums(self, alpha: np.ndarray, weights: np.ndarray, begin: np.ndarray, length: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Running shares of the last edges' lengths, for the nodes behind characters `first` to `last` of each word, longest first.
+
+        alpha is that of the node before each character, a word's first node having 1. A
+        word's last alphas are scaled by a power of two time and again, which leaves the
+        shares as they are and keeps long words from vanishing.
+        """
+        most = self.longest
+        sums = np.ones((len(weights), most), np.float32)  # of the node behind each character
+        back = np.arange(1, most + 1)
+        for j in range(first, last + 1):
             m = int(np.searchsorted(-length, -j, side="right"))
             at = begin[:m] + j
-            run = np.empty((min(j, most), m))
-            for k in range(1, len(run) + 1):
-                np.multiply(alpha[at - k], weights[at - k, k - 1], out=run[k - 1])
-                if k > 1:
-                    run[k - 1] += run[k - 2]
+            if m < _MANY:
+                k = back[:j]
+                run = (alpha[at[:, None] - k] * weights[at[:, None] - k, k - 1]).cumsum(axis=1).T
+            else:
+                run = np.empty((min(j, most), m))
+                for k in range(1, len(run) + 1):
+                    np.multiply(alpha[at - k], weights[at - k, k - 1], out=run[k - 1])
+                    if k > 1:
+                        run[k - 1] += run[k - 2]
             total = run[-1]
             sums[at - 1, : len(run)] = (run / total).T
             more = length[:m] > j
-            alpha[at[more]] = total[more]
-            ending[order[:m][~more]] = total[~more]
-        return start, size, flat, ids.astype(self.id_type), sums, ending
+            at, total = at[more], total[more]
+            alpha[at] = total
+            if j % most == 0:
+                near = at[:, None] + 1 - back
+                alpha[near] = np.ldexp(alpha[near], -np.frexp(total)[1][:, None])
+        return sums
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
         """Piece ids of each text, a draw from its segmentations that its seed determines."""
@@ -175,14 +209,16 @@ class Lattice:
         if not words:
             return [np.empty(0, np.int32) for _ in texts]
         index = dict(zip(words, range(len(words)), strict=True))
-        start, size, flat, ids, sums, _ = self.filtered(words)
+        start, size, flat, ids, sums = self.filtered(words)
         count = np.array([len(s) for s in split], np.int64)
         which = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
         first = np.cumsum(count) - count
-        nth = np.arange(len(which)) - np.repeat(first, count)
+        long = size[which]
+        turns = (long >> 20) + 1  # of 2**20 numbers, one for each character
+        nth = np.cumsum(turns) - turns
+        nth -= np.repeat(nth[np.minimum(first, len(nth) - 1)], count)
         with np.errstate(over="ignore"):
             seed = np.repeat(seeds, count) + nth.astype(np.uint64) * np.uint64(1 << 20)
-        long = size[which]
         place = np.cumsum(long) - long
         out = np.full(int(long.sum()), -1, np.int64)
         at = np.flatnonzero(long)
