@@ -78,6 +78,17 @@ def test_parts_are_encoded_as_the_whole(texts):
         assert np.frombuffer(got, e.dtype).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_literal_added_tokens_are_as_in_the_library(spark):
+    t = Tokenizer.from_file(BPE)
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "so<|endoftext|><|endoftext|>.\n\n  x", "one <|endoftext| > two |>", "plain <|text|>"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [505, 220, 50256, 734]
+    for _ in range(2):
+        assert [np.frombuffer(x, _encoder().dtype).tolist() for x in _encoder().encode(texts)] == want
+    got = token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BPE).collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in got} == {i: (len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for i, x in enumerate(want)}
+
+
 def test_bounded_memory_of_parts():
     e = Encoder(BPE, most=50)
     for k in range(20):

@@ -72,14 +72,15 @@ class Encoder:
     so a text may be cut before each such blank and the parts be encoded apart; a part
     that comes again is not encoded again. It also parts letters from the marks behind
     them, so a word with such an end needs only the word's and the end's ids. `most`
-    bounds the parts remembered.
+    bounds the parts remembered. A text that holds an added token, such as a literal
+    <|endoftext|>, has that token's id there, as in the library, and is encoded whole.
     """
 
     def __init__(self, path: str, most: int = 1_600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.most, self.known = most, _Known()
@@ -103,9 +104,12 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes of this vocabulary's dtype."""
         known = self.known
-        found = [list(map(known.__getitem__, self.parts(t))) if t else [] for t in texts]
+        whole = {i: t for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        found = [list(map(known.__getitem__, self.parts(t))) if t and i not in whole else [] for i, t in enumerate(texts)]
         self._learn(known.missing)
         out = [b"".join(f) for f in found]
+        for i, x in zip(whole, self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False), strict=True):
+            out[i] = np.array(x.ids, self.dtype).tobytes()
         known.missing = {}
         if len(known) > self.most:  # the parts met first are the common ones
             self.known = _Known(islice(known.items(), self.most // 2))
