@@ -51,6 +51,16 @@ def test_has_rows(spark, name):
     assert plans.queries()[name](spark, SF).count() > 0
 
 
+def test_monte_carlo_queries_are_of_full_size(spark, monkeypatch):
+    from tideline.operators import montecarlo
+
+    sizes, simulate = [], montecarlo.simulate
+    monkeypatch.setattr(montecarlo, "simulate", lambda stats, years=10, sims=10_000, *a, **k: sizes.append((years, sims)) or simulate(stats, years, sims, *a, **k))
+    for name in ("mc_paths", "research_report"):
+        plans.queries()[name](spark, SF)
+    assert sizes == [(plans.P.mc_years, plans.P.mc_sims)] * 2 == [(10, 10_000)] * 2
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -171,14 +171,14 @@ QUERIES = {
     "ff5_regression": lambda i: factors.regress(i.series, i.factors),
     "ff3_regression": lambda i: factors.regress(i.series, i.factors, "FF3 "),
     "factor_table": lambda i: factors.fit_statistics(i.series, i.factors),
-    "mc_paths": lambda i: montecarlo.simulate(risk.portfolio_stats(i.current, i.bl_mu, i.cov), years=1, sims=100, paths=True),
+    "mc_paths": lambda i: montecarlo.simulate(risk.portfolio_stats(i.current, i.bl_mu, i.cov), P.mc_years, P.mc_sims, paths=True),
     "mc_report": lambda i: montecarlo.risk_report(montecarlo.simulate(risk.portfolio_stats(i.current, i.bl_mu, i.cov), P.mc_years, P.mc_sims)),
     "walkforward_weights": lambda i: _walk(i).weights,
     "walkforward_diagnostics": lambda i: _walk(i).diagnostics,
     "walkforward_layer_on": lambda i: _walk(i, True).diagnostics,
     "walkforward_series": lambda i: _walk(i).series,
     "live_report": lambda i: _report(workflows.live(i.prices, BOOK, replace(P, implementation_layer=True))),
-    "research_report": lambda i: _report(workflows.research(i.prices, BOOK, replace(P, mc_sims=500, mc_years=2), i.factors)),
+    "research_report": lambda i: _report(workflows.research(i.prices, BOOK, P, i.factors)),
 }
 
 
