@@ -183,8 +183,9 @@ def _cut(batches):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): texts as UTF-8 without the bytes that repeated windows cover.
 
-    The suffixes at all window starts are ordered down to DEPTH bytes by passes over
-    digits, most significant first, and a pass goes on only with groups of two or more:
+    Not a radix sort: no pass takes a suffix's leading digits, and suffixes are grouped,
+    not ordered. What the passes call digits are keys from anywhere in a window of DEPTH
+    bytes, and a pass goes on only with groups of two or more:
 
     1. A window's first digit is the DIGIT bytes of least hash inside it, its anchor.
        Windows of an anchor are neighbours and travel as one row: the anchor's digit and
