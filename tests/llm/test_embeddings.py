@@ -42,6 +42,15 @@ def test_brute_force(spark, noise):
     assert sum(got[i].component_id == comp[i] and got[i].kept == (comp[i] == i) for i in ids) >= 0.999 * len(ids)
 
 
+def test_both_sides_of_a_border_count_their_links(spark):
+    turn = np.random.default_rng(4).uniform(0, 2 * np.pi, 500)
+    x = np.stack([np.cos(turn), np.sin(turn)], axis=1).astype(np.float32)
+    ids = list(range(len(x)))
+    n, comp = brute(ids, x.astype(float), [1] * len(x), 0.995)
+    got = similar_vectors(table(spark, [(i, v.tolist(), 1, 0, 0, 0) for i, v in zip(ids, x, strict=True)]), least=0.995).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (n[i], comp[i]) for i in ids}
+
+
 def test_odd_vectors(spark):
     v = [1.0] + [0.0] * 7
     rows = [(1, v, 1, 0, 0, 0), (2, v, 1, 0, 0, 0), (3, None, 1, 0, 0, 0), (4, [0.0] * 8, 1, 0, 0, 0), (5, [float("nan")] + v[1:], 1, 0, 0, 0), (6, [None, *v[1:]], 1, 0, 0, 0), (7, v, None, 0, 0, 0), (8, v, 2, 0, 0, 0), (None, v, 1, 0, 0, 0), (9, [1.0], 1, 0, 0, 0), (2, v, 1, 0, 0, 0), (10, [float("inf")] + v[1:], 1, 0, 0, 0)]

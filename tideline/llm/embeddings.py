@@ -146,15 +146,16 @@ def _meet(model: Quantiser, least: float):
     return run
 
 
-def similar_vectors(vectors: DataFrame, least: float = 0.93, slack: float = 0.5, fit_rows: int = FIT_ROWS, chunk: int = CHUNK, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def similar_vectors(vectors: DataFrame, least: float = 0.93, slack: float = 1.0, fit_rows: int = FIT_ROWS, chunk: int = CHUNK, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every vector.
 
     Coarse centres and residual codebooks are fitted on at most fit_rows vectors, in the
     order of a hash of their ids; every vector is indexed and every vector is a query. A
     query probes each list whose region is within slack * r of it, where r is the
-    distance that the least cosine leaves two unit vectors. At slack 1 no link can be
-    missed; at 0.5 one is if the difference of its vectors points at another region by
-    half its length, which in d dimensions is 0.5 * sqrt(d) deviations off (four at 64).
+    distance that the least cosine leaves two unit vectors. At slack 1, the default, no
+    link can be missed by either side; at 0.5 a query misses one if the difference of its
+    vectors points at another region by half its length, which in d dimensions is
+    0.5 * sqrt(d) deviations off (four at 64).
     Of a list all vectors whose table-lookup distance is within r and their own coding
     error get the exact cosine, in double precision, so the codes lose nothing.
 
