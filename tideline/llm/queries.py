@@ -31,7 +31,7 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept"), "text")
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

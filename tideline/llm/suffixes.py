@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -85,7 +86,17 @@ def anchors(data: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray,
     return place, h[place], first, np.diff(np.append(first, len(low)))
 
 
-_ANCHORS = "id long, part long, pos int, x0 int, m int, g long, c long"
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2b, as two columns, of the bytes between starts and ends with an offset each.
+
+    What settles a window is this digest of the bytes themselves, not the rolling hash.
+    """
+    view, of = memoryview(data), hashlib.blake2b
+    found = b"".join([of(view[a:b], digest_size=16, salt=o.to_bytes(8, "little")).digest() for a, b, o in zip(starts.tolist(), ends.tolist(), offsets.tolist(), strict=True)])
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
+
+
+_ANCHORS = "id long, part long, pos int, x0 int, m int, g long, c long, c2 long"
 
 
 def _batch(columns: dict) -> pa.RecordBatch:
@@ -102,18 +113,17 @@ def _find_anchors(batches):
             part = batch.slice(i, 1000)
             found = []
             for id_, key, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                data = np.frombuffer(data, np.uint8)
-                rolling = Rolling(data)
-                pos, g, x0, m = anchors(data, rolling)
+                text = np.frombuffer(data, np.uint8)
+                pos, g, x0, m = anchors(text, Rolling(text))
                 if len(pos):
-                    c = mix64(rolling.of(x0, x0 + m - 1 + DEPTH) + (pos - x0).astype(np.uint64))
-                    found.append((np.full(len(pos), id_), np.full(len(pos), key), pos.astype(np.int32), x0.astype(np.int32), m.astype(np.int32), _signed(g), _signed(c)))
+                    c = digests(data, x0, x0 + m - 1 + DEPTH, pos - x0)
+                    found.append((np.full(len(pos), id_), np.full(len(pos), key), pos.astype(np.int32), x0.astype(np.int32), m.astype(np.int32), _signed(g), c[:, 0], c[:, 1]))
             if found:
                 names = [x.split()[0] for x in _ANCHORS.split(", ")]
                 yield _batch(dict(zip(names, map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
 
-_BLOCKS = "id long, part long, pos int, o1 int, o2 int, g long, core long, sub long, mine boolean"
+_BLOCKS = "id long, part long, pos int, o1 int, o2 int, g long, core long, sub long, sub2 long, mine boolean"
 
 
 def _find_blocks(batches):
@@ -130,25 +140,23 @@ def _find_blocks(batches):
             o1, o2, p = np.maximum(k * STEP, low[of]), np.minimum(k * STEP + STEP - 1, high[of]), pos[of]
             with np.errstate(over="ignore"):
                 core = mix64(rolling.of(p - k * STEP, p - k * STEP - STEP + 1 + DEPTH) + k.astype(np.uint64))
-                sub = mix64(rolling.of(p - o2, p - o1 + DEPTH) + (o1 * DEPTH + o2).astype(np.uint64))
-            yield _batch({"id": np.full(len(of), id_), "part": np.full(len(of), key), "pos": p.astype(np.int32), "o1": o1.astype(np.int32), "o2": o2.astype(np.int32), "g": g[of], "core": _signed(core), "sub": _signed(sub), "mine": mine[of].astype(bool)})
+            sub = digests(data, p - o2, p - o1 + DEPTH, o2)
+            yield _batch({"id": np.full(len(of), id_), "part": np.full(len(of), key), "pos": p.astype(np.int32), "o1": o1.astype(np.int32), "o2": o2.astype(np.int32), "g": g[of], "core": _signed(core), "sub": sub[:, 0], "sub2": sub[:, 1], "mine": mine[of].astype(bool)})
 
 
-_WINDOWS = "id long, part long, x int, g long, h long, mine boolean"
+_WINDOWS = "id long, part long, x int, g long, h long, h2 long, mine boolean"
 
 
 def _find_windows(batches):
     for batch in batches:
         for id_, key, data, wants in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            rolling = Rolling(np.frombuffer(data, np.uint8))
             pos, o1, o2, g, mine = (np.array([w[k] for w in wants]) for k in ("pos", "o1", "o2", "g", "mine"))
             n = o2 - o1 + 1
             of = np.repeat(np.arange(len(pos)), n)
             o = o1[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
             x = pos[of] - o
-            with np.errstate(over="ignore"):
-                h = mix64(rolling.of(x, x + DEPTH) + o.astype(np.uint64))
-            yield _batch({"id": np.full(len(of), id_), "part": np.full(len(of), key), "x": x.astype(np.int32), "g": g[of], "h": _signed(h), "mine": mine[of].astype(bool)})
+            h = digests(data, x, x + DEPTH, o)
+            yield _batch({"id": np.full(len(of), id_), "part": np.full(len(of), key), "x": x.astype(np.int32), "g": g[of], "h": h[:, 0], "h2": h[:, 1], "mine": mine[of].astype(bool)})
 
 
 def merged(starts, ends) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +169,7 @@ def merged(starts, ends) -> tuple[np.ndarray, np.ndarray]:
     return s[new], e[np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)]
 
 
-_KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+_KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text string"
 
 
 def _cut(batches):
@@ -171,17 +179,17 @@ def _cut(batches):
             for id_, data, starts, ends in zip(*(part.column(j).to_pylist() for j in range(4)), strict=True):
                 data = data or b""
                 if starts is None:
-                    rows.append((id_, len(data), 0, 0, data))
+                    rows.append((id_, len(data), 0, 0, data, data.decode(errors="replace")))
                     continue
                 s, e = merged(starts, ends)
                 kept = b"".join(data[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(data)], strict=True))
-                rows.append((id_, len(data), len(data) - len(kept), len(s), kept))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                rows.append((id_, len(data), len(data) - len(kept), len(s), kept, kept.decode(errors="replace")))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in _KEPT.split(", ")])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): texts as UTF-8 without the bytes that repeated windows cover.
+    """(doc_id, n_bytes, n_removed, n_spans, kept, text): texts as UTF-8 without the bytes that repeated windows cover.
 
     Not a radix sort: no pass takes a suffix's leading digits, and suffixes are grouped,
     not ordered. What the passes call digits are keys from anywhere in a window of DEPTH
@@ -196,10 +204,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     3. Windows of blocks left over are held against each other in full.
 
     Groups are counted, never gathered: every pass is a count by key, summed before its
-    shuffle, and a join with the counts. Equality is that of 64-bit hashes within a
-    group of equal digits.
+    shuffle, and a join with the counts. Bytes that settle a window are compared by 128
+    bits of BLAKE2b of the bytes themselves; rolling hashes only rule windows out.
 
-    A null text is empty. Texts under DEPTH bytes stay whole. Two rows with equal id and
+    kept holds the bytes that stay; text is the same as a string, where a character that
+    a window's edge cuts in two is U+FFFD. A null text is empty. Texts under DEPTH bytes stay whole. Two rows with equal id and
     text are two documents and repeat each other; a null id is allowed. An empty table
     gives no rows; other columns are ignored.
     """
@@ -210,17 +219,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = materialize(long.select("id", "part", "data").mapInArrow(_find_anchors, _ANCHORS), "suffix-anchors")
 
     # pass 1
-    same = materialize(found.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n")), "suffix-bytes")
+    same = materialize(found.groupBy("g", "c", "c2").agg(F.count(F.lit(1)).alias("n")), "suffix-bytes")
     digits = same.groupBy("g").agg(F.sum("n").alias("times"), F.min("n").alias("least")).where("times > 1")
     digits = materialize(digits.select("g", (F.col("least") == 1).alias("open")), "suffix-digits")
     same = materialize(same.join(digits, "g"), "suffix-groups")
-    found = materialize(found.join(same, ["g", "c"]), "suffix-found")
+    found = materialize(found.join(same, ["g", "c", "c2"]), "suffix-found")
     release(spark)
     span = lambda start, end: F.struct(start.cast("int").alias("s"), end.cast("int").alias("e"))
     settled = found.where("n > 1").select("id", "part", span(F.col("x0"), F.col("x0") + F.col("m") - 1 + DEPTH).alias("span"))
     place = ("pos", "x0", "m")
     alone = found.where("n = 1").select("id", "part", "g", *place, F.lit(True).alias("mine"))
-    one = found.where("n > 1 and open").groupBy("g", "c").agg(F.min(F.struct("id", "part", *place)).alias("r")).select("r.id", "r.part", "g", *(f"r.{x}" for x in place), F.lit(False).alias("mine"))
+    one = found.where("n > 1 and open").groupBy("g", "c", "c2").agg(F.min(F.struct("id", "part", *place)).alias("r")).select("r.id", "r.part", "g", *(f"r.{x}" for x in place), F.lit(False).alias("mine"))
     wants = alone.union(one).groupBy("id", "part").agg(F.collect_list(F.struct(*place, "g", "mine")).alias("wants"))
     texts = materialize(long.join(wants, ["id", "part"]).select("id", "part", "data", "wants"), "suffix-texts", compression="zstd")
     release(spark)
@@ -229,19 +238,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = materialize(texts.mapInArrow(_find_blocks, _BLOCKS), "suffix-blocks")
     cores = materialize(blocks.groupBy("g", "core").agg(F.count(F.lit(1)).alias("n"), F.max("mine").alias("any")).where("n > 1 and any").select("g", "core"), "suffix-cores")
     blocks = materialize(blocks.join(cores, ["g", "core"]).drop("core"), "suffix-left")
-    subs = materialize(blocks.groupBy("g", "sub").agg(F.count(F.lit(1)).alias("n")), "suffix-subs")
-    blocks = materialize(blocks.join(subs, ["g", "sub"]), "suffix-blocks-found")
+    subs = materialize(blocks.groupBy("g", "sub", "sub2").agg(F.count(F.lit(1)).alias("n")), "suffix-subs")
+    blocks = materialize(blocks.join(subs, ["g", "sub", "sub2"]), "suffix-blocks-found")
     release(spark)
     settled = settled.union(blocks.where("n > 1 and mine").select("id", "part", span(F.col("pos") - F.col("o2"), F.col("pos") - F.col("o1") + DEPTH)))
     place = ("pos", "o1", "o2")
     alone = blocks.where("n = 1").select("id", "part", "g", *place, "mine")
-    one = blocks.where("n > 1").groupBy("g", "sub").agg(F.min(F.struct("id", "part", *place)).alias("r")).select("r.id", "r.part", "g", *(f"r.{x}" for x in place), F.lit(False).alias("mine"))
+    one = blocks.where("n > 1").groupBy("g", "sub", "sub2").agg(F.min(F.struct("id", "part", *place)).alias("r")).select("r.id", "r.part", "g", *(f"r.{x}" for x in place), F.lit(False).alias("mine"))
     wants = alone.union(one).groupBy("id", "part").agg(F.collect_list(F.struct(*place, "g", "mine")).alias("wants"))
 
     # pass 3
     windows = materialize(texts.drop("wants").join(wants, ["id", "part"]).select("id", "part", "data", "wants").mapInArrow(_find_windows, _WINDOWS), "suffix-windows")
-    twice = materialize(windows.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n"), F.max("mine").alias("any")).where("n > 1 and any").select("g", "h"), "suffix-twice")
-    settled = settled.union(windows.where("mine").join(twice, ["g", "h"]).select("id", "part", span(F.col("x"), F.col("x") + DEPTH)))
+    twice = materialize(windows.groupBy("g", "h", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("mine").alias("any")).where("n > 1 and any").select("g", "h", "h2"), "suffix-twice")
+    settled = settled.union(windows.where("mine").join(twice, ["g", "h", "h2"]).select("id", "part", span(F.col("x"), F.col("x") + DEPTH)))
     spans = materialize(settled.groupBy("id", "part").agg(F.collect_set("span").alias("spans")).select("id", "part", F.col("spans.s").alias("starts"), F.col("spans.e").alias("ends")), "suffix-spans")
     for t in (texts, blocks, windows, found):
         drop_table(t)
