@@ -73,6 +73,42 @@ def test_runs_of_blanks_are_in_the_lattice():
     assert set(got) <= set(want)
 
 
+def whole_ways(text):
+    """Every segmentation of a whole text with its weight, from the library's list of pieces alone."""
+    sp, pieces, of_byte = sentencepiece.SentencePieceProcessor(model_file=MODEL), {}, {}
+    for i in range(sp.get_piece_size()):
+        if sp.is_byte(i):
+            of_byte[int(sp.id_to_piece(i)[3:5], 16)] = i
+        elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
+            pieces[sp.id_to_piece(i).replace("\u2581", " ")] = (i, 1 / (10 - sp.get_score(i)))
+    longest = max(map(len, pieces))
+
+    def go(at):
+        if at == len(text):
+            yield (), 1.0
+        for end in range(at + 1, min(at + longest, len(text)) + 1):
+            if text[at:end] in pieces:
+                (i, w), spelled = pieces[text[at:end]], None
+            elif end == at + 1:
+                spelled, w = tuple(of_byte[b] for b in text[at].encode()), Lattice.FALLBACK
+            else:
+                continue
+            for rest, v in go(end):
+                yield (*(spelled or (i,)), *rest), w * v
+
+    return dict(go(0))
+
+
+@pytest.mark.parametrize("text", ["a    b", "on  to it", "a\t  so", "\u2603 at\u2603", "no\nso on"])
+def test_draws_follow_the_library_pieces(text):
+    want, n = whole_ways(text), 20_000
+    total = sum(want.values())
+    got = Counter(tuple(x.tolist()) for x in lattice(MODEL).sample([text] * n, seeds_of(range(n), 5)))
+    assert set(got) <= set(want)
+    for s, w in want.items():
+        assert abs(got[s] / n - w / total) < 5 * (w / total / n) ** 0.5 + 1e-3
+
+
 def test_chunks_do_not_matter():
     lat = lattice(MODEL)
     words = ["then", "otherwise日本" * 70, "\ud800so", "", "a  b\n" * 33, "\ud800", "x" * 300]
@@ -110,7 +146,7 @@ def test_library_decodes_the_pieces():
 def test_query_form(docs, no_docs, corpus):
     out = encode_pieces(docs, MODEL).cache()
     rows = out.collect()
-    assert len(rows) == docs.count() and all(r.lossless and r.n_pieces == len(r.ids) for r in rows)
+    assert len(rows) == docs.count() and all(r.lossless is (None if r.doc_id == 77 else True) and r.n_pieces == len(r.ids) for r in rows)
     assert all(r.ids == [] for r in rows if r.doc_id in (77, 78))
     other = encode_pieces(docs.repartition(5), MODEL, step=3).collect()
     assert {(r.doc_id, r.ids_crc32) for r in rows} == {(r.doc_id, r.ids_crc32) for r in other}

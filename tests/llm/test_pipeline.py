@@ -63,5 +63,22 @@ def test_encode(stages):
     assert after.count() == before.count() and after.where("not lossless").count() == 0
 
 
+def test_run_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, columns of clashing names; then no documents at all."""
+    good = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (10**9, None, "en", None, None), (10**9 + 1, "", None, "s", 0), (10**9 + 2, "so it goes\n" * 20_000, "en", "s", None), (10**9 + 3, "word " * 50, "en", "s", 250), (10**9 + 3, "word " * 50, "en", "s", 250)], good.schema)
+    docs = good.unionByName(odd)
+    for c in ("taken", "size", "score", "mix_id", "kept", "n_removed", "ids"):
+        docs = docs.withColumn(c, F.lit("!"))
+    docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/odd/labels.parquet")
+    out = cp.run(spark, f"{tmp_path}/odd")
+    assert out.columns == ["doc_id", "n_pieces", "ids", "ids_crc32", "lossless"] and out.where("not lossless").count() == 0
+    assert out.select("doc_id").distinct().count() > 100
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert cp.run(spark, f"{tmp_path}/none").collect() == []
+
+
 def test_run(spark, stages):
     assert cp.run(spark, SF).select("doc_id", "ids_crc32").exceptAll(stages[-1][1].select("doc_id", "ids_crc32")).count() == 0

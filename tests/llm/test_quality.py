@@ -3,8 +3,11 @@ import zlib
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from tideline.llm.common import slices
 from tideline.llm.quality import Chains, LineField, keep_good, line_features, quality
 
 
@@ -77,6 +80,26 @@ def test_edges(docs, no_docs, labelled):
         quality(teach, labels.limit(0)).collect()
 
 
+def test_extra_columns_and_repeated_ids(spark, docs, labelled):
+    """Columns that clash with the operator's names, labels with nulls and repeats, several texts of an id."""
+    labels = labelled.select("doc_id", "quality", F.lit(1).alias("text"), F.lit("x").alias("score")).union(spark.createDataFrame([(None, 1, 1, "x"), (3, None, 1, "x"), (4, 0, 1, "x"), (4, 0, 1, "x")], "doc_id long, quality int, text int, score string"))
+    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
+    teach = labelled.select("doc_id", "text", *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in extra])
+    both = docs.unionByName(teach).unionByName(teach.limit(50))
+    out = quality(both, labels).collect()
+    assert len(out) == docs.count() + 850 and all(r.score is not None for r in out)
+    kept = keep_good(both, labels)
+    assert kept.columns == both.columns
+    assert kept.count() == sum(r.predicted for r in out)
+
+
+def test_slices_bound_rows_and_characters():
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab", None, "x" * 50, "", "c", "d"])], names=["t"])
+    found = [t for part, t in slices(batch, 0, 3, 10)]
+    assert found == [["ab", ""], ["x" * 50], ["", "c", "d"]]
+    assert [part.num_rows for part, _ in slices(batch, 0, 2, 1000)] == [2, 2, 2]
+
+
 def test_score_is_between_lines():
     f = LineField.fit(["good words here.\nand more"] * 20 + ["x*** y*** z***"] * 20, np.array([1] * 20 + [0] * 20))
     a, b, c = f.score(["good words here.\nand more", "x*** y*** z***", ""])

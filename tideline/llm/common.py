@@ -5,9 +5,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +31,10 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode only, one of our own where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (at or _own_folder()).rstrip("/")
 
 
@@ -55,9 +59,10 @@ def materialize(df: DataFrame, tag: str, **options) -> DataFrame:
     return out
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote and that nothing reads any more."""
-    delete_path(df.sparkSession, df._tideline_path)
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote and that nothing reads any more."""
+    for df in tables:
+        delete_path(df.sparkSession, df._tideline_path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -140,7 +145,22 @@ def shingle_hashes(text: str | None, k: int = 5) -> np.ndarray:
         return np.unique(mix64(s + np.uint64(k)))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def slices(batch: pa.RecordBatch, at: int, rows: int, chars: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """(part, texts of its column `at`, null as "") of up to `rows` rows and about `chars` characters; a longer text is a part of its own."""
+    i = 0
+    while i < batch.num_rows:
+        part, room, texts = batch.slice(i, rows), chars, []
+        for t in part.column(at):
+            text = t.as_py() or ""
+            room -= len(text)
+            if texts and room < 0:
+                break
+            texts.append(text)
+        yield part.slice(0, len(texts)), texts
+        i += len(texts)
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): smallest id reachable over undirected edges; ids without edges are absent.
 
     Large-star and small-star passes in turn, each written to the shared folder, until
@@ -150,7 +170,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = materialize(e, "cc")
     mark = None
-    for _ in range(rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -164,7 +184,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("v").alias("id")).distinct()
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component")))
+    out = e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component")))
+    out._tideline_path = e._tideline_path  # for drop_table()
+    return out

@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from tideline.llm.common import column, mix64
+from tideline.llm.common import column, mix64, slices
 
 SPACE = 0x2581
 #: A text's own U+2581: past Unicode, so that no piece has it and its bytes stand for it.
@@ -281,27 +281,17 @@ def encode_pieces(docs: DataFrame, model: str, theta: float = 1.0, seed: int = 0
     """(doc_id, n_pieces, ids, ids_crc32, lossless) of every whole text.
 
     The draw depends on seed, id and text alone, not on partitions or batches; rows equal
-    in both are drawn alike. lossless is whether the ids decode to the text. Null and
-    empty texts have no pieces; null ids draw as "None". An empty table gives no rows;
+    in both are drawn alike. lossless is whether the ids decode to the text, null for a
+    null text. Null and empty texts have no pieces; null ids draw as "None". An empty table gives no rows;
     other columns are ignored.
     """
 
     def run(batches):
         lat = lattice(model, theta)
         for batch in batches:
-            i = 0
-            while i < batch.num_rows:  # up to `step` rows or some million characters: each of a distinct word takes some 100 bytes
-                part, room = batch.slice(i, step), 1_250_000
-                texts = []
-                for t in part.column(1).to_pylist():
-                    room -= len(t or "")
-                    if texts and room < 0:
-                        break
-                    texts.append(t or "")
-                part = part.slice(0, len(texts))
-                i += len(texts)
+            for part, texts in slices(batch, 1, step, 1_250_000):  # each character of a distinct word takes some 100 bytes
                 found = lat.sample(texts, seeds_of(part.column(0).to_pylist(), seed))
-                same = [lat.decode(x) == t for x, t in zip(found, texts, strict=True)]
+                same = [lat.decode(x) == t if ok else None for x, t, ok in zip(found, texts, part.column(1).is_valid().to_pylist(), strict=True)]
                 crc = [zlib.crc32(np.ascontiguousarray(x, "<i4").tobytes()) for x in found]
                 sizes = np.array([len(x) for x in found], np.int64)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())

@@ -10,10 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import column
+from pyspark.sql.window import Window
 
-#: Rows the classifier is fitted on at most, and the longest text (characters) among them.
-FIT_ROWS, FIT_CHARS = 6000, 20_000
+from tideline.llm.common import column, slices
+
+#: Rows the classifier is fitted on at most, the longest text among them and the characters of all.
+FIT_ROWS, FIT_CHARS, FIT_ALL = 6000, 20_000, 40_000_000
+#: Rows and characters that are scored at once; a character takes some 40 bytes meanwhile.
+SCORE_ROWS, SCORE_CHARS = 500, 600_000
 _KINDS = 0x3000
 _POWERS = np.random.default_rng(11).integers(1, 1 << 62, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -173,11 +177,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> LineField:
-    """Fit on at most fit_rows labelled documents that are not held out, in the order of a hash of their ids."""
+    """Fit on labelled documents that are not held out, in the order of a hash of their ids.
+
+    At most fit_rows of them, of at most FIT_CHARS characters each and FIT_ALL together.
+    Of rows equal in doc_id the greatest label and the least text count.
+    """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     rows = docs.select(column(docs, "doc_id").alias("doc_id"), column(docs, "text").alias("text")).where(F.length("text") <= FIT_CHARS)
-    sample = sorted((r["doc_id"], r["text"], r["quality"]) for r in rows.join(F.broadcast(known), "doc_id").collect())
+    taught = rows.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
+    taught = taught.withColumn("upto", F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)))  # of fit_rows rows
+    sample = sorted((r["doc_id"], r["text"], r["quality"]) for r in taught.where(F.col("upto") <= FIT_ALL).select("doc_id", "text", "quality").collect())
     if not sample:
         raise ValueError("no labelled documents to fit on")
     return LineField.fit([t for _, t, _ in sample], np.array([q for _, _, q in sample]))
@@ -189,9 +199,8 @@ def score_quality(docs: DataFrame, model: LineField) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                scores = cell.value.score([t or "" for t in part.column(1).to_pylist()])
+            for part, texts in slices(batch, 1, SCORE_ROWS, SCORE_CHARS):
+                scores = cell.value.score(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.clip(scores, 0.0, 1.0))], names=["doc_id", "score"])
 
     rows = docs.select(column(docs, "doc_id").cast("long").alias("doc_id"), column(docs, "text").cast("string").alias("text"))
@@ -220,9 +229,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                scores = cell.value.score([t or "" for t in part.column(at).to_pylist()])
+            for part, texts in slices(batch, at, SCORE_ROWS, SCORE_CHARS):
+                scores = cell.value.score(texts)
                 yield part.filter(pa.array(scores >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
