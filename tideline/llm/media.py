@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import column, materialize, new_path, open_store
+from tideline.llm.common import column, drop_table, materialize, new_path, open_store
 
 WIDTH = 64
 #: Bytes of a stored file up to the end of its IHDR chunk: all that metadata needs.
@@ -69,8 +69,8 @@ def feature(payload: bytes, width: int, height: int) -> str:
     return f"gray8 {width}x{height} mean={x.mean():.3f} std={x.std():.3f} entropy={abs(float(-(p * np.log2(p)).sum())):.4f} distinct={len(p)}"
 
 
-INDEX = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-_INDEX_DDL = "doc_id long, digest string, n_bytes long, payload_bytes long, shard string, offset long, length long"
+INDEX = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+_INDEX_DDL = "doc_id long, digest binary, n_bytes long, payload_bytes long, shard string, offset long, length long"
 
 
 def _pack(root: str, shard_bytes: int):
@@ -90,13 +90,13 @@ def _pack(root: str, shard_bytes: int):
         for batch in batches:
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 payload = padded(data or b"")
-                digest = hashlib.sha256(payload).hexdigest()
+                digest = hashlib.sha256(payload).digest()
                 if digest not in seen:
                     if out is None:
                         name = f"{uuid.uuid4().hex}.tar"
                         out = fs.open_output_stream(f"{base}/{name}")
                     stored = to_png(payload)
-                    info = tarfile.TarInfo(f"{digest}.png")
+                    info = tarfile.TarInfo(f"{digest.hex()}.png")
                     info.size = len(stored)
                     head = info.tobuf(tarfile.USTAR_FORMAT if len(stored) < 8 << 30 else tarfile.GNU_FORMAT)
                     out.write(head + stored + b"\0" * (-len(stored) % 512))
@@ -115,77 +115,91 @@ def write_media(docs: DataFrame, root: str, shard_bytes: int = 256 << 20, id_col
     """Store every text of docs under root; (doc_id, digest, n_bytes, payload_bytes, shard, offset, length).
 
     The index is written to the shared folder, so shards are written once. Payloads are
-    addressed by their SHA-256: a task stores a payload once, and of copies that several
-    tasks stored the index names one, the least (shard, offset). A shard's rows leave a
-    task only after the shard is closed; what a lost task leaves behind is unreferenced.
+    addressed by their SHA-256: a task stores a payload once; copies that several tasks
+    met are stored by each, of which places() names one. A shard's rows leave a task only
+    after the shard is closed; what a lost task leaves behind is unreferenced.
     """
     rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
-    index = materialize(rows.mapInArrow(_pack(root, shard_bytes), _INDEX_DDL), "media-index")
-    one = materialize(index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place")), "media-places")
-    return index.select("doc_id", "digest", "n_bytes", "payload_bytes").join(one, "digest").select("doc_id", "digest", "n_bytes", "payload_bytes", "place.*")
+    return materialize(rows.mapInArrow(_pack(root, shard_bytes), _INDEX_DDL), "media-index")
 
 
-_META = "shard string, offset long, length long, width long, height long, bits long"
-_READ = "digest string, width long, height long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def places(index: DataFrame) -> DataFrame:
+    """(digest, shard, offset, length) of each payload: of its stored copies the least (shard, offset)."""
+    return index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.*")
 
 
-def _reader(root: str, names: list[str], row):
+_PLACE = ["digest", "shard", "offset", "length"]
+_META = "digest binary, shard string, offset long, length long, width long, height long, bits long"
+_READ = _META + ", payload_sha256 binary, tail_crc32 long, media_sha256 binary, feature string"
+#: Stored bytes that one task reads at about most while that leaves at most MOST_READERS tasks; beyond that tasks read more.
+READ_BYTES, MOST_READERS = 16 << 20, 50_000
+
+
+def _by_place(stored: DataFrame) -> DataFrame:
+    """Payloads in the order of their places, as many partitions as their bytes need."""
+    total = stored.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    n = max(1, min(-(-total // READ_BYTES), MOST_READERS))
+    return stored.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset")
+
+
+def _reader(root: str, fields: str, row):
+    names, types = zip(*((f.split()[0], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.split()[1]]) for f in fields.split(", ")), strict=True)
+
     def run(batches):
         fs, base = open_store(root)
         shard, f = None, None
         for batch in batches:
             found = []
             for r in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
-                if r[0] != shard:
+                if r[1] != shard:
                     if f is not None:
                         f.close()
-                    shard, f = r[0], fs.open_input_file(f"{base}/{r[0]}")
-                found.append(row(f, r))
+                    shard, f = r[1], fs.open_input_file(f"{base}/{r[1]}")
+                found.append((*r, *row(f, r)))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=list(names))
         if f is not None:
             f.close()
 
     return run
 
 
-def media_metadata(index: DataFrame, root: str) -> DataFrame:
-    """Width, height and bits of each stored file, from a range read of its first 33 bytes."""
+def media_metadata(stored: DataFrame, root: str) -> DataFrame:
+    """places() with width, height and bits of each stored file, from a range read of its first 33 bytes."""
 
     def row(f, r):
-        return (*r, *png_header(f.read_at(min(HEADER, r[2]), r[1])))
+        return png_header(f.read_at(min(HEADER, r[3]), r[2]))
 
-    places = index.select("shard", "offset", "length").distinct().repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
-    return places.mapInArrow(_reader(root, ["shard", "offset", "length", "width", "height", "bits"], row), _META)
+    return _by_place(stored.select(*_PLACE)).mapInArrow(_reader(root, _META, row), _META)
 
 
-def read_media(index: DataFrame, root: str) -> DataFrame:
-    """One row for each stored payload: what its header says and what its bytes, read back, hold."""
+def read_media(described: DataFrame, root: str) -> DataFrame:
+    """media_metadata() with what each payload's bytes, read back, hold."""
 
     def row(f, r):
-        _, offset, length, digest = r
-        width, height, _ = png_header(f.read_at(min(HEADER, length), offset))
-        stored = f.read_at(length, offset)
+        stored = f.read_at(r[3], r[2])
         payload = from_png(stored)
-        return (digest, width, height, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), length, hashlib.sha256(stored).hexdigest(), feature(payload, width, height))
+        return hashlib.sha256(payload).digest(), zlib.crc32(payload[-WIDTH:]), hashlib.sha256(stored).digest(), feature(payload, r[4], r[5])
 
-    names = [x.split()[0] for x in _READ.split(", ")]
-    places = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("p.*", "digest")
-    places = places.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
-    return places.mapInArrow(_reader(root, names, row), _READ)
+    columns = [x.split()[0] for x in _META.split(", ")]
+    return _by_place(described.select(*columns)).mapInArrow(_reader(root, _READ, row), _READ)
 
 
 def media_columns(docs: DataFrame, root: str | None = None) -> DataFrame:
-    """Every row's payload stored, read back and described.
+    """Every row's payload stored, described by its header alone, and read back.
 
     Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature, width and height. A null text is an empty one: 64 zero bytes.
-    Equal texts share one stored file; repeated rows stay, one row out for each row in.
-    An empty table gives no rows; other columns of docs are ignored.
+    media_sha256 and feature; then the media columns: digest, shard, offset and length,
+    by which the payload is found, and width, height and bits from header range reads. A
+    null text is an empty one: 64 zero bytes. Equal texts share one stored file; repeated
+    rows stay, one row out for each row in. An empty table gives no rows; other columns
+    of docs are ignored.
     """
     root = root or new_path(docs.sparkSession, "media")
     index = write_media(docs, root)
-    index = materialize(index, "media-rows")
-    seen = read_media(index, root)
-    rows = index.select("doc_id", "digest", "n_bytes", "payload_bytes")
-    return rows.join(seen, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+    stored = materialize(places(index), "media-places")
+    described = materialize(media_metadata(stored, root), "media-headers")
+    drop_table(stored)
+    rows = index.select("doc_id", "digest", "n_bytes", "payload_bytes").join(read_media(described, root), "digest")
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return rows.select("doc_id", "n_bytes", "payload_bytes", text("payload_sha256"), "tail_crc32", F.col("length").alias("media_bytes"), text("media_sha256"), "feature", text("digest"), "shard", "offset", "length", "width", "height", "bits")
