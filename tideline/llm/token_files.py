@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tideline.llm.common import column, drop_table, materialize, new_path, open_store
 
@@ -267,13 +268,15 @@ def write_token_files(docs: DataFrame, root: str, vocabulary: str, end_id: int =
 def read_token_files(index: DataFrame, root: str, each, fields: str) -> DataFrame:
     """each(doc_id, start, ids) for every document of the files; start counts the ids of all documents before it.
 
-    The driver gets one row for each file: its place and its number of ids.
+    Ids before a file are summed over the files of its part, and over the parts before it
+    (as many as the encoding had partitions); a table of the files is joined to the index.
     """
-    files = index.groupBy("file").agg(F.min(F.struct("part", "seq")).alias("place"), F.sum("n_tokens").alias("n")).orderBy("place").collect()
-    starts, total = {}, 0
-    for r in files:
-        starts[r["file"]] = total
-        total += r["n"]
+    files = materialize(index.groupBy("file").agg(F.first("part").alias("part"), F.min("seq").alias("seq"), F.sum("n_tokens").alias("n")), "token-file-sizes")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = files.groupBy("part").agg(F.sum("n").alias("n")).select("part", before(Window.orderBy("part")).alias("base"))
+    files = files.select("file", "part", before(Window.partitionBy("part").orderBy("seq")).alias("inside"))
+    starts = materialize(files.join(parts, "part").select("file", (F.col("base") + F.col("inside")).alias("start")), "token-file-starts")
+    rows = index.join(starts, "file").select("doc_id", "file", "offset", "length", "n_tokens", (F.col("start") + F.col("before")).alias("start"))
     names = [x.split()[0] for x in fields.split(", ")]
 
     def read(batches):
@@ -283,20 +286,20 @@ def read_token_files(index: DataFrame, root: str, each, fields: str) -> DataFram
         name, f = None, None
         for batch in batches:
             found = []
-            for doc_id, file, _, _, offset, length, before, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, file, offset, length, n, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if file != name:
                     if f is not None:
                         f.close()
                     name, f = file, fs.open_input_file(f"{base}/{file}")
                     if f.read_at(len(MAGIC), 0) != MAGIC:
                         raise ValueError(f"{file} is not a token file")
-                found.append(each(doc_id, starts[file] + before, by_rank[unpack_ids(f.read_at(length, offset), n)]))
+                found.append(each(doc_id, start, by_rank[unpack_ids(f.read_at(length, offset), n)]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=names)
         if f is not None:
             f.close()
 
-    return index.mapInArrow(read, fields)
+    return rows.mapInArrow(read, fields)
 
 
 def token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, root: str | None = None) -> DataFrame:
