@@ -59,6 +59,15 @@ def test_threshold_is_met_exactly(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    """Id 5 has four texts: two that are others' copies, one near a third document, one alone."""
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"{k}{rng.randrange(999)}" for _ in range(60)) for k in "abc")
+    rows = [(2, a), (5, a), (5, b), (9, b), (5, c), (7, c + " more"), (5, "quite another thing altogether here"), (8, "it stands alone"), (None, a), (None, b)]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id)
+    assert got == [(2, 2, True), *[(5, 2, False)] * 4, (7, 2, False), (8, 8, True), (9, 2, False)]
+
+
 def test_empty_and_keep_one(docs, no_docs, corpus):
     assert near_duplicates(no_docs).collect() == []
     out = keep_one(docs)

@@ -142,7 +142,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     rule out aside, all are confirmed on the full sets, read from the texts again.
 
     Null texts and texts without words: n_shingles 0, linked with nothing, kept. Rows
-    equal in doc_id and text get one row each and share their result; other columns are
+    equal in doc_id get one row each; they are one document, which is linked where any of
+    its texts is, so they share component and kept; other columns are
     ignored, an empty table gives no rows, and null ids are not supported as documents
     (their rows come back with null component and kept true).
     """
@@ -151,14 +152,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     full = feats.where("n > 0 and doc_id is not null")
     first = materialize(full.groupBy("d1", "d2").agg(F.min_by(F.struct("doc_id", "n", "keys", "sketch"), "doc_id").alias("r")).select("d1", "d2", "r.*"), "minhash-class")
 
+    # different texts of one id: their classes are linked
+    text = F.struct("d1", "d2")
+    several = full.groupBy("doc_id").agg(F.min(text).alias("x"), F.max(text).alias("most")).where("x <> most").select("doc_id", "x")
+    several = materialize(full.select("doc_id", text.alias("y")).join(several, "doc_id").where("y <> x").select("x", "y").distinct(), "minhash-several")
+    of = lambda c: first.select(text.alias(c), F.col("doc_id").alias(f"{c}_id"))
+    given = materialize(several.join(of("x"), "x").join(of("y"), "y").select(F.col("x_id").alias("a"), F.col("y_id").alias("b")), "minhash-given")
+
     # collections that at least two classes share
     single = first.select("doc_id", F.posexplode("keys").alias("c", "key"))
     shared = materialize(single.groupBy("c", "key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("c", "key"), "minhash-shared")
     live = single.join(shared, ["c", "key"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("live")).where("size(live) > 1")
     pairs = F.flatten(F.transform("live", lambda x, i: F.transform(F.slice("live", i + 2, F.size("live")), lambda y: F.xxhash64(x["c"], x["key"], y["c"], y["key"]))))
-    tables = materialize(live.select("doc_id", F.explode(pairs).alias("bucket")), "minhash-tables")
-    pivots = materialize(tables.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("times")).where("times > 1").select("bucket", "pivot"), "minhash-pivots")
-    tables = materialize(tables.join(pivots, "bucket"), "minhash-buckets")
+    all_tables = materialize(live.select("doc_id", F.explode(pairs).alias("bucket")), "minhash-tables")
+    pivots = materialize(all_tables.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("times")).where("times > 1").select("bucket", "pivot"), "minhash-pivots")
+    tables = materialize(all_tables.join(pivots, "bucket"), "minhash-buckets")
+    drop_table(several, shared, all_tables, pivots)
 
     brief = first.select("doc_id", "n", "sketch")
 
@@ -174,28 +183,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
         a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
         b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
         out = materialize(pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(_linked(percent), "a long, b long"), "minhash-links")
-        drop_table(sets)
+        drop_table(pairs, wanted, sets)
         release(docs.sparkSession)
         return out
 
     to_pivot = tables.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = confirmed(likely(to_pivot))
-    comp = materialize(connected_components(links), "minhash-comp")
+    to_pivot = confirmed(likely(to_pivot))
+    links = given.union(to_pivot)
+    comp = connected_components(links)
 
     # buckets whose members lie in several components
     named = tables.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "pivot", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     named = materialize(named, "minhash-named")
+    drop_table(tables, comp)
     own = named.where("doc_id = pivot").select("bucket", F.col("comp").alias("home"))
     outside = materialize(named.join(own, "bucket").where("comp <> home").select("bucket", F.col("doc_id").alias("o"), F.col("comp").alias("o_comp"), "pivot"), "minhash-outside")
     mixed = materialize(outside.select("bucket").distinct(), "minhash-mixed")
     # shared with no other document of those buckets: what no link can count on
     there = named.join(mixed, "bucket")
-    sets = materialize(rows.join(small(materialize(there.select("doc_id").distinct(), "minhash-there"), MOST_IDS), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary"), "minhash-sets")
+    those = materialize(there.select("doc_id").distinct(), "minhash-there")
+    sets = materialize(rows.join(small(those, MOST_IDS), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary"), "minhash-sets")
     parts = materialize(sets.mapInArrow(_shingles, "doc_id long, s long"), "minhash-shingles")
     bits = sets.mapInArrow(_bitmaps, "doc_id long, bits array<long>")
     known = materialize(parts.groupBy("s").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("s"), "minhash-known")
     held = materialize(parts.distinct().join(known, "s").groupBy("doc_id").agg(F.count(F.lit(1)).alias("held")), "minhash-held")
-    seen = materialize(first.select("doc_id", "n").join(held, "doc_id").join(bits.dropDuplicates(["doc_id"]), "doc_id").where(F.col("held") * 100 >= F.col("n") * percent), "minhash-seen")
+    seen = materialize(first.select("doc_id", "n").join(held, "doc_id").join(bits.distinct(), "doc_id").where(F.col("held") * 100 >= F.col("n") * percent), "minhash-seen")
     # plain columns that are never null: a condition on them compiles to little code
     flat = lambda side: [F.coalesce(c, F.lit(0)).alias(f"{side}_{n}") for n, c in [("n", F.col("n")), ("held", F.col("held")), *((i, F.col("bits")[i]) for i in range(BITMAP))]]
     there = there.where("doc_id <> pivot").select("bucket", F.col("doc_id").alias("m"), F.col("comp").alias("m_comp"))
@@ -208,8 +220,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     fits = sizes & (F.least("x_held", "y_held") * (100 + percent) >= both * percent) & (differ * (100 + percent) <= both * (100 - percent))
     more = here.join(there, "bucket").where((F.col("o_comp") != F.col("m_comp")) & fits)
     more = more.select(F.least("o", "m").alias("a"), F.greatest("o", "m").alias("b")).distinct()
-    links = links.union(confirmed(more))
-    comp = materialize(connected_components(links), "minhash-comp")
+    more = confirmed(more)
+    comp = connected_components(links.union(more))
+    drop_table(given, to_pivot, more, named, outside, mixed, those, sets, parts, known, held, seen)
 
     classes = first.select("d1", "d2", F.col("doc_id").alias("rep")).join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     classes = classes.select("d1", "d2", F.coalesce("component", "rep").alias("component"))
