@@ -12,7 +12,7 @@ def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_c
     """docs with text reduced to the lines that no later repeat covers, plus n_lines and n_removed.
 
     Lines are what "\\n" separates. Every run of `window` consecutive lines is hashed to
-    128 bits; of a run that occurs more than once, in any document, the first occurrence
+    128 bits, from two hashes of each line; of a run that occurs more than once, in any document, the first occurrence
     by (doc_id, line) stays and each later one marks its `window` lines. Marked positions
     of overlapping windows merge, and marked lines go.
 
@@ -22,11 +22,11 @@ def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_c
     """
     d = docs.drop("n_lines", "n_removed")
     key = (column(d, id_col), F.xxhash64(column(d, text_col)))
-    hashes = F.transform(F.split(column(d, text_col), "\n", -1), lambda x: F.xxhash64(x))
+    hashes = F.transform(F.split(column(d, text_col), "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("second"), x).alias("b")))
     runs = d.select(key[0].alias("id"), key[1].alias("part"), hashes.alias("lh")).where(F.size("lh") >= window).distinct()
-    at = lambda i: [F.col("lh")[i + k] for k in range(window)]
+    at = lambda i, h: [F.col("lh")[i + k][h] for k in range(window)]
     starts = F.sequence(F.lit(0), F.size("lh") - window)
-    runs = runs.select("id", "part", F.posexplode(F.transform(starts, lambda i: F.struct(F.xxhash64(*at(i)).alias("h1"), F.xxhash64(F.lit("second"), *at(i)).alias("h2")))).alias("pos", "h"))
+    runs = runs.select("id", "part", F.posexplode(F.transform(starts, lambda i: F.struct(F.xxhash64(*at(i, "a")).alias("h1"), F.xxhash64(*at(i, "b")).alias("h2")))).alias("pos", "h"))
     runs = materialize(runs.select("id", "part", "pos", "h.h1", "h.h2"), "line-runs")
     first = runs.groupBy("h1", "h2").agg(F.min(F.struct("id", "part", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     first = materialize(first, "line-first")  # a table of its own, so that Spark can split a hot window's side of the join
