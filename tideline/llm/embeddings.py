@@ -11,14 +11,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import column, connected_components, materialize
+from tideline.llm.common import column, connected_components, materialize, small
 
 #: Vectors that the quantisers are fitted on at most, and vectors for each of their lists.
 FIT_ROWS, FIT_LIST = 65_536, 16
 #: Vector lengths that get quantisers of their own; others are compared in one list.
 FIT_LENGTHS = 8
 #: Rows of a list, and queries of it, that meet in one group at about most.
-CHUNK = 2048
+CHUNK = 1024
+#: Rows of the table of lists that are sent to all executors; more are joined by a shuffle.
+MOST_CHUNKS = 250_000
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
@@ -250,12 +252,14 @@ def similar_vectors(vectors: DataFrame, least: float = 0.93, sigmas: float = 5.0
     place, rest = ["label", "length", "cell"], ["vec_id", "times", "vec"]
     asked = index.select("label", "length", F.explode("probes").alias("cell"), *rest, F.col("cell").alias("home"))
     parts = lambda df, name: df.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias(name))
-    chunks = materialize(parts(index, "l_chunks").join(parts(asked, "q_chunks"), place), "vector-chunks")
+    chunks = small(materialize(parts(index, "l_chunks").join(parts(asked, "q_chunks"), place), "vector-chunks"), MOST_CHUNKS)
     own = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     stored = index.join(chunks, place).select(*place, *rest, "codes", "err", "probes", F.lit(None).cast("int").alias("home"), own("l_chunks", 1).alias("l"), all_of("q_chunks").alias("q"), F.lit(True).alias("stored"))
     asked = asked.join(chunks, place).select(*place, *rest, F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("err"), F.lit(None).cast("array<int>").alias("probes"), "home", all_of("l_chunks").alias("l"), own("q_chunks", 2).alias("q"), F.lit(False).alias("stored"))
-    met = stored.unionByName(asked).groupBy(*place, "l", "q").applyInArrow(lambda t: _meet(cells.value, least, wide)(t), "vec_id long, n long, root long")
+    # one column, as rows that a join has dealt by label and cell would be left where they are
+    met = stored.unionByName(asked).withColumn("group", F.struct(*place, "l", "q"))
+    met = met.groupBy("group").applyInArrow(lambda t: _meet(cells.value, least, wide)(t), "vec_id long, n long, root long")
     met = materialize(met, "vector-links")
     n = met.groupBy("vec_id").agg(F.sum("n").alias("n"))
     comp = connected_components(met.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "vec_id")
