@@ -1,6 +1,8 @@
 """Hand-computed cases of each quirk."""
 
+import contextlib
 import datetime as dt
+import io
 from dataclasses import replace
 
 import numpy as np
@@ -8,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.config import LIVE, ModelParams, Portfolio
+from tideline.functions.small import printed
 from tideline.kernels import qp, special
 from tideline.operators import backtest, bayes, costs, factors, montecarlo, moments, optimize, performance, risk, rolling
-from tideline.operators.returns import daily_returns, densify, drawdowns, growth, portfolio_series, require
+from tideline.operators.returns import daily_returns, densify, drawdowns, growth, growth_frame, on_days_of, portfolio_series, require
 from tideline.plans import workflows
 from tideline.sources.factors import FF3, load_factors
 from tideline.sources.panel import literal_table, long_to_wide, read_prices, wide_to_long
@@ -82,6 +85,40 @@ def test_windows_around_a_day(spark):
     assert sorted(x.ret for x in rolling.window_samples(r, dates, 3).collect()) == [2, 4, 8, 16]  # today and three before
 
 
+def test_running_sums_are_those_of_the_samples(spark):
+    """Against every sample laid out: late assets, nulls, positions that some assets lack, a first sample from the start."""
+    rng = np.random.default_rng(4)
+    rows = [(day(i), i, a, None if rng.random() < 0.1 or i < late else float(rng.normal(0.001, 0.02))) for i in range(60) for a, late in (("A", 0), ("B", 7), ("C", 30)) if rng.random() > 0.05]
+    r = spark.createDataFrame(rows, "day date, loc long, asset string, ret double")
+    dates = spark.createDataFrame([(day(n), n) for n in (20, 33, 34, 59)], "rebalance_date date, loc long")
+    sample = rolling.window_samples(r, dates, 20)
+    want_mu = {(x.rebalance_date, x.asset): x.mu for x in sample.groupBy("rebalance_date", "asset").agg(F.avg("ret").alias("mu")).collect()}
+    plain = moments.pairs(sample.where("ret is not null"), "rebalance_date").groupBy("rebalance_date", "asset_i", "asset_j").agg(F.covar_samp("x", "y").alias("cov"))
+    near = lambda df: {(x.rebalance_date, x.asset_i, x.asset_j): x.cov for x in df.collect()}
+    for shrink, want in ((False, plain), (True, moments.shrunk_cov(sample, 1, ("rebalance_date",)))):
+        mu, cov = rolling.window_moments(r, dates, 20, 1, shrink)
+        got = {(x.rebalance_date, x.asset): x.mu for x in mu.collect()}
+        assert got.keys() == want_mu.keys() and all(got[k] == (None if v is None else pytest.approx(v, abs=1e-12)) for k, v in want_mu.items())
+        got, want = near(cov), near(want)
+        assert got.keys() == want.keys() and all(got[k] == (None if v is None else pytest.approx(v, abs=1e-13)) for k, v in want.items())
+
+
+def test_series_side_by_side(spark):
+    a, b, none = series(spark, [0.1, 0.1], "a"), series(spark, [None, 1.0, 1.0], "b"), series(spark, [0.5]).limit(0)
+    out = growth_frame({"a": a, "b b": b}, {"later": none})
+    assert out.columns == ["day", "a", "b b", "later"]
+    assert [tuple(r)[1:] for r in out.orderBy("day").collect()] == [(1.1, None, None), (pytest.approx(1.21), 2.0, None), (None, 4.0, None)]
+    assert on_days_of(b, a).count() == 2 and on_days_of(b, none).count() == 0
+    with pytest.raises(KeyError):
+        on_days_of(a, b)
+
+
+def test_printed_tables_round_half_to_even(spark):
+    df = spark.createDataFrame([("x", 0.00125, 2), ("y", 0.125, 3), ("z", None, 4)], "a string, v double, n int")
+    assert [tuple(r) for r in printed(df, 2).collect()] == [("x", 0.0, 2), ("y", 0.12, 3), ("z", None, 4)]
+    assert printed(df).first().v == 0.0012 and printed(df.withColumn("v", F.lit(0.00375)), 4).first().v == 0.0038
+
+
 def test_rolling_vol_needs_every_asset(spark):
     got = rolling.rolling_statistics(rets(spark, {"A": [1.0, 2.0, 3.0, 4.0], "B": [None, None, 1.0, 1.0]}), 2, 1).orderBy("day").collect()
     assert [x.vol is None for x in got] == [True, True]
@@ -220,6 +257,12 @@ def test_special_functions():
     assert special.t_two_sided(2.0, 10) == pytest.approx(0.0733880348)
     assert special.t_two_sided(0.1, 5) == pytest.approx(0.924230141)
     assert special.f_upper(3, 2, 20) == pytest.approx(0.0725381503)
+    assert special.t_quantile(0.95, 10) == pytest.approx(2.228138852) and special.t_quantile(0.5, 1) == pytest.approx(1.0)
+    x = np.random.default_rng(3).normal(size=(4000, 60))
+    z = (x - x.mean(axis=1, keepdims=True)) / x.std(axis=1, keepdims=True)
+    k2 = [special.omnibus(s, k, 60) for s, k in zip((z**3).mean(axis=1), (z**4).mean(axis=1), strict=True)]
+    assert np.mean(k2) == pytest.approx(2, abs=0.2) and np.mean(np.exp(-np.array(k2) / 2) < 0.05) == pytest.approx(0.055, abs=0.015)
+    assert special.omnibus(0.0, 0.1, 50) > 20 and np.isnan(special.omnibus(0, 3, 7))
     assert special.incomplete_beta(1, 1, 0.3) == pytest.approx(0.3)
 
 
@@ -233,7 +276,15 @@ def test_regression(spark):
     a = np.column_stack([np.ones(200), x])
     beta = np.linalg.lstsq(a, y, rcond=None)[0]
     assert [got[t].coef for t in ("const", "mkt_rf", "smb", "hml")] == pytest.approx(beta.tolist(), abs=1e-9)
+    rest = y - a @ beta
+    error = np.sqrt(rest @ rest / 196 * np.diag(np.linalg.inv(a.T @ a)))
+    rows = {r.term: r for r in factors.coefficients(s, f, "ff3").collect()}
+    assert [rows[t].std_err for t in ("const", "mkt_rf", "smb", "hml")] == pytest.approx(error.tolist(), rel=1e-6)
+    assert (rows["smb"].high - rows["smb"].low) / 2 / rows["smb"].std_err == pytest.approx(1.97214, abs=1e-4)  # of 196 degrees of freedom
     fit = {r.metric: r.value for r in factors.fit_statistics(s, f, "ff3").collect()}
+    assert fit["condition_number"] == pytest.approx(np.linalg.cond(a)) and fit["df_residuals"] == 196
+    z = (rest - rest.mean()) / rest.std()
+    assert fit["omnibus"] == pytest.approx(special.omnibus((z**3).mean(), (z**4).mean(), 200)) and 0 <= fit["omnibus_p_value"] <= 1
     e = y - a @ beta
     assert fit["r_squared"] == pytest.approx(1 - (e @ e) / ((y - y.mean()) ** 2).sum())
     assert fit["durbin_watson"] == pytest.approx((np.diff(e) ** 2).sum() / (e @ e))
@@ -257,11 +308,26 @@ def test_factor_files(spark, tmp_path):
         load_factors(spark, str(tmp_path / "g.csv"), "ff3")
 
 
+def explained(df):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
 def test_price_sources(spark, tmp_path):
     df = spark.createDataFrame([(day(0), "A", 1.0), (day(1), "A", 2.0), (day(0), "B", 3.0)], "day date, asset string, close double")
     df.write.parquet(str(tmp_path / "p"))
     got = read_prices(spark, str(tmp_path / "p"), ["A"], "2024-01-01", "2024-01-02")
     assert [tuple(r) for r in got.collect()] == [(day(0), "A", 1.0)]
+    plan = explained(got)
+    assert "GreaterThanOrEqual(day,2024-01-01), LessThan(day,2024-01-02)" in plan and "(asset,A)" in plan[plan.index("PushedFilters") :]
+    late = df.selectExpr("cast(day as timestamp) as at", "asset as name", "close as quote", "'x' as more")
+    late.write.parquet(str(tmp_path / "r"))
+    other = read_prices(spark, str(tmp_path / "r"), ["A", "B"], "2024-01-02", day="at", asset="name", close="quote")
+    assert [tuple(r) for r in other.collect()] == [(day(1), "A", 2.0)]
+    plan = explained(other)
+    assert "GreaterThanOrEqual(at,2024-01-02" in plan and "In(name, [A,B])" in plan and "more" not in plan
     df.drop("close").write.parquet(str(tmp_path / "q"))
     with pytest.raises(ValueError):
         read_prices(spark, str(tmp_path / "q"), ["A"])
@@ -328,13 +394,35 @@ def test_workflows_and_reports(spark, tmp_path):
     plain = workflows.live(df, book, replace(p, use_black_litterman=False, use_shrinkage=False, implementation_layer=False))
     assert "implementation" not in plain and plain["expected_returns"].where("hist_mu = bl_mu").count() == 3
     at = tmp_path / "new" / "report.html"
-    workflows.write_html({"weights": live["target_weights"]}, str(at))
-    assert "weights" in at.read_text()
+    workflows.write_html({"weights": live["target_weights"], "growth": research["growth"], "many": spark.range(1700)}, str(at))
+    assert "weights" in at.read_text() and at.read_text().count("<tr>") == 3 + 3 + 129 + 1700
+    none = workflows.research(df, book, replace(p, walk_window=500))
+    assert none["growth"].where("`Walk-Forward OOS` is not null").count() == 0 and none["walkforward_summary"].count() == 0
     s = series(spark, [0.01, None, -0.02, 0.03])
     workflows.performance_report(s, str(at), s)
     assert "Sharpe" in at.read_text()
 
 
+def test_live_portfolio(spark):
+    """The workflow on the quoted universe: fixed and least weights hold, no weight is over its bound."""
+    rng = np.random.default_rng(12)
+    names = LIVE.universe
+    close = 100 * np.cumprod(1 + 0.0006 + rng.normal(size=(260, len(names))) * 0.012, axis=0)
+    df = spark.createDataFrame([(day(i), a, float(close[i, k])) for i in range(260) for k, a in enumerate(names)], "day date, asset string, close double")
+    with pytest.warns(UserWarning):
+        out = workflows.live(df, LIVE)
+    w = {r.asset: r.weight for r in out["target_summary"].collect()}
+    assert w["QQQ"] == pytest.approx(0.35) and min(w["IWM"], w["LMT"]) >= 0.05 and max(w.values()) <= 0.4 and sum(w.values()) == pytest.approx(1, abs=1e-4)
+    assert [r.asset for r in out["trade_sheet"].collect()] == LIVE.assets
+
+
+def test_small_tables_beyond_the_bound_are_written(spark, monkeypatch):
+    from tideline.functions import small
+
+    monkeypatch.setattr(small, "MOST", 10)
+    assert small.settle(spark.range(10)).count() == 10 and sorted(r.id for r in small.settle(spark.range(25)).collect()) == list(range(25))
+
+
 def test_order_of_rows_does_not_matter(spark):
     _, x = walk_data(spark)
     df = spark.createDataFrame([(day(i), a, float(100 * (1 + x[:i, k].sum()))) for i in range(60) for k, a in enumerate("ABC")], "day date, asset string, close double")

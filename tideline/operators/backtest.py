@@ -73,11 +73,27 @@ def walk_forward(returns: DataFrame, book: Portfolio, p: ModelParams = ModelPara
     groups = rows.groupBy() if p.implementation_layer else rows.groupBy("rebalance_date")
     targets = settle(groups.applyInPandas(run, _TARGETS))
     weights = targets.select("rebalance_date", "asset", "asset_ord", "weight")
-    prev = F.coalesce(F.lag("weight").over(Window.partitionBy("asset").orderBy("rebalance_date")), asset_weights(first))
-    moved = targets.withColumn("move", F.abs(F.col("weight") - prev))
-    diagnostics = moved.groupBy("rebalance_date").agg(F.first("expected_return").alias("expected_return"), F.first("volatility").alias("volatility"), F.sum("move").alias("turnover"))
-    diagnostics = diagnostics.select("rebalance_date", "expected_return", "volatility", F.when(F.col("volatility") > 0, F.try_divide(F.col("expected_return") - p.risk_free, F.col("volatility"))).alias("sharpe"), "turnover")
-    return Backtest(history_series(r, weights), weights, diagnostics)
+    stats = targets.groupBy("rebalance_date").agg(F.first("expected_return").alias("expected_return"), F.first("volatility").alias("volatility"))
+    return Backtest(history_series(r, weights), weights, _diagnostics(stats, turnover_history(weights, first), p.risk_free))
+
+
+def turnover_history(weights: DataFrame, start: dict[str, float]) -> DataFrame:
+    """(rebalance_date, turnover): absolute changes against the previous target, of the first date against start."""
+    prev = F.coalesce(F.lag("weight").over(Window.partitionBy("asset").orderBy("rebalance_date")), asset_weights(start))
+    return weights.withColumn("move", F.abs(F.col("weight") - prev)).groupBy("rebalance_date").agg(F.sum("move").alias("turnover"))
+
+
+def _diagnostics(stats: DataFrame, turnover: DataFrame, rf: float) -> DataFrame:
+    sharpe = F.when(F.col("volatility") > 0, F.try_divide(F.col("expected_return") - rf, F.col("volatility")))
+    return stats.join(turnover, "rebalance_date").select("rebalance_date", "expected_return", "volatility", sharpe.alias("sharpe"), "turnover")
+
+
+def policy_diagnostics(weights: DataFrame, mu: DataFrame, cov: DataFrame, start: dict[str, float], rf: float = 0.04) -> DataFrame:
+    """Diagnostics of given weights (rebalance_date, asset, weight) under each date's moments, as window_moments() gives them."""
+    at = lambda side: weights.select("rebalance_date", F.col("asset").alias(f"asset_{side}"), F.col("weight").alias(f"w_{side}"))
+    vol = cov.join(at("i"), ["rebalance_date", "asset_i"]).join(at("j"), ["rebalance_date", "asset_j"]).groupBy("rebalance_date").agg(F.sqrt(F.sum(F.col("w_i") * F.col("w_j") * F.col("cov"))).alias("volatility"))
+    ret = weights.join(mu, ["rebalance_date", "asset"]).groupBy("rebalance_date").agg(F.sum(F.col("weight") * F.col("mu")).alias("expected_return"))
+    return _diagnostics(ret.join(vol, "rebalance_date"), turnover_history(weights, start), rf)
 
 
 def latest_weights(weights: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideline.kernels.special import f_upper, t_two_sided
+from tideline.kernels.special import f_upper, omnibus, t_quantile, t_two_sided
 from tideline.sources.factors import FF3, FF5
 
 
@@ -37,6 +37,11 @@ def gram(rows: DataFrame, names: list[str]) -> DataFrame:
 
 def regress(series: DataFrame, factors: DataFrame, model: str = "ff5") -> DataFrame:
     """(series, term, coef, t_stat, p_value) by ordinary least squares; terms const and the factors."""
+    return coefficients(series, factors, model).select("series", "term", "coef", "t_stat", "p_value")
+
+
+def coefficients(series: DataFrame, factors: DataFrame, model: str = "ff5", level: float = 0.95) -> DataFrame:
+    """regress() with the standard error of each coefficient and its interval of that confidence."""
     names = factor_names(model)
     terms = ["one", *names]
 
@@ -53,14 +58,20 @@ def regress(series: DataFrame, factors: DataFrame, model: str = "ff5") -> DataFr
             rest = max(0.0, r["y__y"] - beta @ xy)
             se = np.sqrt(rest / (n - k) * np.diag(inverse))
             t = np.divide(beta, se, out=np.full(k, np.inf), where=se > 0)
-            out += [(r["series"], "const" if a == "one" else a, b, x, t_two_sided(x, n - k) if math.isfinite(x) else 0.0) for a, b, x in zip(terms, beta, t, strict=True)]
-        return pd.DataFrame(out, columns=["series", "term", "coef", "t_stat", "p_value"])
+            far = t_quantile(level, n - k)
+            out += [(r["series"], "const" if a == "one" else a, b, e, x, t_two_sided(x, n - k) if math.isfinite(x) else 0.0, b - far * e, b + far * e) for a, b, e, x in zip(terms, beta, se, t, strict=True)]
+        return pd.DataFrame(out, columns=["series", "term", "coef", "std_err", "t_stat", "p_value", "low", "high"])
 
-    return gram(regression_rows(series, factors, model), names).groupBy("series").applyInPandas(run, "series string, term string, coef double, t_stat double, p_value double")
+    return gram(regression_rows(series, factors, model), names).groupBy("series").applyInPandas(run, "series string, term string, coef double, std_err double, t_stat double, p_value double, low double, high double")
 
 
 def fit_statistics(series: DataFrame, factors: DataFrame, model: str = "ff5") -> DataFrame:
-    """(series, metric, value) of the fit: R2, its adjusted form, F and its p, AIC, BIC, log likelihood, Durbin-Watson, Jarque-Bera."""
+    """(series, metric, value) of the fit.
+
+    R2 and its adjusted form, F, log likelihood, AIC, BIC, Durbin-Watson, degrees of
+    freedom, the residuals' skewness and kurtosis with the Jarque-Bera and omnibus tests
+    of them, and the condition number of the design.
+    """
     names = factor_names(model)
     rows = regression_rows(series, factors, model)
     coef = regress(series, factors, model).groupBy("series").agg(F.map_from_entries(F.collect_list(F.struct("term", "coef"))).alias("b"))
@@ -70,17 +81,23 @@ def fit_statistics(series: DataFrame, factors: DataFrame, model: str = "ff5") ->
     e = rows.join(F.broadcast(coef), "series").select("series", "day", "y", (F.col("y") - fitted).alias("e"))
     e = e.withColumn("step", F.col("e") - F.lag("e").over(Window.partitionBy("series").orderBy("day")))
     s = e.groupBy("series").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col("e") * F.col("e")).alias("sse"), (F.var_samp("y") * (F.count(F.lit(1)) - 1)).alias("sst"), F.sum(F.col("step") * F.col("step")).alias("ssd"), F.avg(F.pow("e", F.lit(3))).alias("m3"), F.avg(F.pow("e", F.lit(4))).alias("m4"))
-    k = len(names)
+    k, terms = len(names), ["one", *names]
+    s = s.join(gram(rows, names).drop("n"), "series")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in pdf.itertuples():
+            at = lambda a, b: getattr(r, f"{a}__{b}", None) if hasattr(r, f"{a}__{b}") else getattr(r, f"{b}__{a}")  # noqa: B023, E731
+            size = np.linalg.eigvalsh(np.array([[at(a, b) for b in terms] for a in terms]))
             n, m2 = r.n, r.sse / r.n
             r2 = 1 - r.sse / r.sst
             f = (r2 / k) / ((1 - r2) / (n - k - 1))
             ll = -n / 2 * (math.log(2 * math.pi) + math.log(r.sse / n) + 1)
             skew, kurt = r.m3 / m2**1.5, r.m4 / m2**2
-            values = {"r_squared": r2, "adj_r_squared": 1 - (1 - r2) * (n - 1) / (n - k - 1), "f_statistic": f, "f_p_value": f_upper(f, k, n - k - 1), "log_likelihood": ll, "aic": 2 * (k + 1) - 2 * ll, "bic": math.log(n) * (k + 1) - 2 * ll, "durbin_watson": r.ssd / r.sse, "skew": skew, "kurtosis": kurt, "jarque_bera": n / 6 * (skew**2 + (kurt - 3) ** 2 / 4), "observations": n}
+            values = {"r_squared": r2, "adj_r_squared": 1 - (1 - r2) * (n - 1) / (n - k - 1), "f_statistic": f, "f_p_value": f_upper(f, k, n - k - 1), "log_likelihood": ll, "aic": 2 * (k + 1) - 2 * ll, "bic": math.log(n) * (k + 1) - 2 * ll, "durbin_watson": r.ssd / r.sse, "skew": skew, "kurtosis": kurt, "jarque_bera": n / 6 * (skew**2 + (kurt - 3) ** 2 / 4), "observations": n, "df_model": float(k), "df_residuals": n - k - 1, "condition_number": math.sqrt(size[-1] / size[0])}
+            values["omnibus"] = omnibus(skew, kurt, n)
+            # both tests have two degrees of freedom
+            values |= {f"{m}_p_value": math.exp(-values[m] / 2) for m in ("jarque_bera", "omnibus")}
             out += [(r.series, m, v) for m, v in values.items()]
         return pd.DataFrame(out, columns=["series", "metric", "value"])
 

@@ -48,7 +48,11 @@ def shrinkage(parts: DataFrame, *group: str) -> DataFrame:
 def shrunk_cov(returns: DataFrame, days: int = 252, group: tuple[str, ...] = ()) -> DataFrame:
     """(asset_i, asset_j, cov) shrunk towards a multiple of the identity, times days."""
     parts = shrinkage_parts(returns, *group)
-    level = shrinkage(parts, *group)
+    return shrunk(parts, shrinkage(parts, *group), days, group)
+
+
+def shrunk(parts: DataFrame, level: DataFrame, days: int = 252, group: tuple[str, ...] = ()) -> DataFrame:
+    """(asset_i, asset_j, cov) of shrinkage_parts() and their shrinkage()."""
     joined = parts.join(F.broadcast(level), list(group)) if group else parts.join(F.broadcast(level))
     target = F.when(F.col("asset_i") == F.col("asset_j"), F.col("delta") * F.col("m")).otherwise(0.0)
     return joined.select(*group, "asset_i", "asset_j", (((1 - F.col("delta")) * F.col("s") + target) * days).alias("cov"))

@@ -69,15 +69,22 @@ def drawdowns(series: DataFrame) -> DataFrame:
     return growth(series).withColumn("drawdown", F.col("value") / F.max("value").over(upto("series")) - 1)
 
 
-def growth_frame(series: list[DataFrame], later: DataFrame | None = None) -> DataFrame:
-    """One column of growth for each series, on the union of their days; `later` only on days of the others."""
+def growth_frame(series: dict[str, DataFrame], later: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One column of growth for each named series, on the union of their days; those `later` only on days of the others.
+
+    A series without rows gives a column of nulls.
+    """
     out = None
-    for s in series:
-        name = s.select("series").first()
-        name = name[0] if name else "series"
-        g = growth(s).select("day", F.col("value").alias(name))
-        out = g if out is None else out.join(g, "day", "full_outer")
-    if later is not None:
-        name = later.select("series").first()[0]
-        out = out.join(growth(later).select("day", F.col("value").alias(name)), "day", "left")
+    for how, some in (("full_outer", series), ("left", later or {})):
+        for name, s in some.items():
+            g = growth(s).select("day", F.col("value").alias(name))
+            out = g if out is None else out.join(g, "day", how)
     return out
+
+
+def on_days_of(series: DataFrame, days: DataFrame) -> DataFrame:
+    """Rows of series on the days of another; KeyError for a day that series lacks."""
+    wanted = days.select("day").distinct()
+    if (missing := wanted.join(series, "day", "left_anti").orderBy("day").first()) is not None:
+        raise KeyError(f"no row for {missing['day']}")
+    return series.join(wanted, "day", "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,16 +41,40 @@ def window_samples(returns: DataFrame, dates: DataFrame, window: int = 756) -> D
     return returns.join(at, "loc")
 
 
+def window_sums(rows: DataFrame, dates: DataFrame, window: int, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """(rebalance_date, keys, sums) over the rows whose loc lies in each date's sample.
+
+    Every row is summed once into running sums; a date asks for them at its own position
+    and just before its sample. The asking rows, two for each date and key, go through
+    the same window as the data, so no sample is copied and gaps in loc do no harm.
+    """
+    rows = rows.select("loc", *keys, *[c.alias(n) for n, c in sums.items()])
+    ask = dates.select("rebalance_date", F.explode(F.array(F.struct(F.col("loc").alias("at"), F.lit(1.0).alias("sign")), F.struct((F.col("loc") - window - 1).alias("at"), F.lit(-1.0).alias("sign")))).alias("a"))
+    ask = rows.select(*keys).distinct().join(F.broadcast(ask.select("rebalance_date", "a.*")))
+    every = rows.unionByName(ask.select(F.col("at").alias("loc"), *keys, *[F.lit(0.0).alias(n) for n in sums], "rebalance_date", "sign"), allowMissingColumns=True)
+    upto = Window.partitionBy(*keys).orderBy("loc").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    every = every.select(*keys, "rebalance_date", "sign", *[F.sum(n).over(upto).alias(n) for n in sums]).where("rebalance_date is not null")
+    return every.groupBy("rebalance_date", *keys).agg(*[F.sum(F.col("sign") * F.col(n)).alias(n) for n in sums])
+
+
 def window_moments(returns: DataFrame, dates: DataFrame, window: int = 756, days: int = 252, shrink: bool = False) -> tuple[DataFrame, DataFrame]:
-    """((rebalance_date, asset, mu), (rebalance_date, asset_i, asset_j, cov)) of every sample."""
-    from tideline.operators.moments import pairs, shrunk_cov
-
-    sample = window_samples(returns, dates, window)
-    mu = sample.groupBy("rebalance_date", "asset").agg((F.avg("ret") * days).alias("mu"))
-    if shrink:
-        return mu, shrunk_cov(sample, days, ("rebalance_date",))
-    both = pairs(sample.where("ret is not null"), "rebalance_date")
-    return mu, both.groupBy("rebalance_date", "asset_i", "asset_j").agg((F.covar_samp("x", "y") * days).alias("cov"))
+    """((rebalance_date, asset, mu), (rebalance_date, asset_i, asset_j, cov)) of every sample, from running sums."""
+    from tideline.operators.moments import pairs, shrinkage, shrunk
+
+    known, x, y = F.col("ret").isNotNull().cast("double"), F.col("x"), F.col("y")
+    mu = window_sums(returns, dates, window, ["asset"], {"rows": F.lit(1.0), "n": known, "s": F.coalesce("ret", F.lit(0.0))}).where("rows > 0.5")
+    mu = mu.select("rebalance_date", "asset", (F.try_divide("s", "n") * days).alias("mu"))
+    keys, a, b, n = ["asset_i", "asset_j"], F.col("a"), F.col("b"), F.col("n")
+    if not shrink:
+        s = window_sums(pairs(returns.where("ret is not null"), "loc"), dates, window, keys, {"n": F.lit(1.0), "a": x, "b": y, "ab": x * y}).where("n > 0.5")
+        return mu, s.select("rebalance_date", *keys, (F.try_divide(F.col("ab") - a * b / n, n - 1) * days).alias("cov"))
+    filled = pairs(returns.withColumn("ret", F.coalesce("ret", F.lit(0.0))), "loc")
+    s = window_sums(filled, dates, window, keys, {"n": F.lit(1.0), "a": x, "b": y, "ab": x * y, "aa": x * x, "bb": y * y, "aab": x * x * y, "abb": x * y * y, "aabb": x * x * y * y}).where("n > 0.5")
+    # means of the products, and from them those of the centred returns
+    s = s.select("rebalance_date", *keys, "n", *[(F.col(c) / n).alias(c) for c in ("a", "b", "ab", "aa", "bb", "aab", "abb", "aabb")])
+    q = F.col("aabb") - 2 * b * F.col("aab") - 2 * a * F.col("abb") + b * b * F.col("aa") + a * a * F.col("bb") + 4 * a * b * F.col("ab") - 3 * a * a * b * b
+    parts = s.select("rebalance_date", *keys, (F.col("ab") - a * b).alias("s"), q.alias("q"), "n")
+    return mu, shrunk(parts, shrinkage(parts, "rebalance_date"), days, ("rebalance_date",))
 
 
 def asof_weights(returns: DataFrame, history: DataFrame) -> DataFrame:

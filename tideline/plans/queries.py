@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.config import PARTS, PARTS_TARGET, ModelParams
-from tideline.functions.small import settle
+from tideline.functions.shared import new_path
+from tideline.functions.small import printed, settle
 from tideline.operators import backtest, bayes, costs, factors, montecarlo, moments, optimize, performance, returns, risk, rolling
 from tideline.plans import workflows
-from tideline.sources.factors import FF5, parse_factors
-from tideline.sources.panel import literal_table, part_prices
+from tideline.sources.factors import FF5, load_factors, parse_factors
+from tideline.sources.panel import literal_table, part_prices, read_prices
 
 P, BOOK = ModelParams(), PARTS
+#: First day of the stored quotes that are read, and the day after their last.
+QUOTES = ("2024-01-05", "2024-01-20")
 _PRICES: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -145,7 +148,17 @@ QUERIES = {
     "wf_window_mean": lambda i: rolling.window_moments(i.mine, i.dates)[0],
     "asof_weights": lambda i: rolling.asof_weights(i.mine, i.history).select("day", "asset", "weight"),
     "wf_series_fixed_policy": lambda i: rolling.history_series(i.mine, i.history),
-    "growth_frame": lambda i: returns.growth_frame([i.series, i.bench], rolling.history_series(i.mine, i.history)),
+    "growth_frame": lambda i: returns.growth_frame({"portfolio": i.series, "MKT": i.bench}, {"walkforward_portfolio": rolling.history_series(i.mine, i.history)}),
+    "benchmark_on_days": lambda i: returns.on_days_of(i.bench, rolling.history_series(i.mine, i.history)),
+    "stored_quotes": lambda i: read_prices(i.spark, f"{i.sf_dir}/events.parquet", ["click", "purchase", "view"], *QUOTES, day="ts", asset="event_type", close="value"),
+    "printed_summary": lambda i: printed(performance.summary_table(i.series, i.bench)),
+    "wf_shrunk_cov": lambda i: rolling.window_moments(i.mine, i.dates, shrink=True)[1],
+    "diagnostics_fixed_policy": lambda i: backtest.policy_diagnostics(i.history, *rolling.window_moments(i.mine, i.dates), BOOK.weights),
+    "cml_given_frontier": lambda i: optimize.capital_market_line(risk.portfolio_stats(i.target, i.mu, i.cov), i.mine.groupBy("asset").agg((F.stddev_samp("ret") * 252**0.5).alias("vol")), performance.benchmark_point(i.bench)),
+    "bl_posterior": lambda i: bayes.posterior(i.cov, BOOK.assets, BOOK.market, views=BOOK.absolute_views, relative_views=()),
+    "ff3_regression": lambda i: factors.regress(i.series, i.factors, "FF3 "),
+    "equal_weights": lambda i: returns.portfolio_series(i.mine, dict.fromkeys(BOOK.assets, 1 / len(BOOK.assets))),
+    "factor_file": lambda i: _factor_file(i),
     "ff_single_factor": lambda i: factors.regression_rows(i.series, i.factors).groupBy("series").agg(F.regr_slope("y", "mkt_rf").alias("slope"), F.regr_intercept("y", "mkt_rf").alias("intercept"), F.count(F.lit(1)).alias("n")),
     "factor_gram": lambda i: factors.gram(factors.regression_rows(i.series, i.factors), ["mkt_rf", "smb"]).select("series", "n", *[(F.col(c) * 100).alias(c) for c in ("mkt_rf__mkt_rf", "mkt_rf__smb", "mkt_rf__y", "smb__y", "y__y")]),
     "benchmark_point": lambda i: performance.benchmark_point(i.bench),
@@ -154,7 +167,7 @@ QUERIES = {
     "market_weights": lambda i: _market_weights(i),
     "latest_weights": lambda i: backtest.latest_weights(i.history),
     "last5_diag": lambda i: backtest.last_rows(i.dates),
-    "turnover_history": lambda i: _turnover_history(i),
+    "turnover_history": lambda i: backtest.turnover_history(i.history, BOOK.weights),
     "mc_stats_from_paths": lambda i: montecarlo.terminal_stats(montecarlo.summarize(i.paths)),
     "drawdown_stats_from_paths": lambda i: montecarlo.drawdown_stats(montecarlo.summarize(i.paths)),
     "mc_report_from_paths": lambda i: montecarlo.risk_report(montecarlo.summarize(i.paths)),
@@ -162,14 +175,13 @@ QUERIES = {
     "print_weights": lambda i: costs.weight_lines(i.current),
     "optimized_summary": lambda i: costs.optimized_summary(i.target, risk.portfolio_stats(i.target, i.mu, i.cov))[0],
     # what SQL cannot say
-    "bl_posterior": lambda i: bayes.posterior(i.cov, BOOK.assets, BOOK.market, views=BOOK.absolute_views, relative_views=()),
     "max_sharpe": lambda i: optimize.max_sharpe(i.bl_mu, i.cov, BOOK.assets, P.risk_free, BOOK.bounds, BOOK.fixed, BOOK.minimum),
     "max_sharpe_unconstrained": lambda i: optimize.max_sharpe(i.bl_mu, i.cov, BOOK.assets, P.risk_free),
     "min_vol": lambda i: optimize.min_vol(i.bl_mu, i.cov, BOOK.assets, BOOK.bounds),
     "frontier": lambda i: optimize.efficient_frontier(i.bl_mu, i.cov, BOOK.assets, P.frontier_points, BOOK.bounds),
     "cml": lambda i: optimize.capital_market_line(risk.portfolio_stats(i.target, i.bl_mu, i.cov), optimize.efficient_frontier(i.bl_mu, i.cov, BOOK.assets, P.frontier_points, BOOK.bounds), performance.benchmark_point(i.bench)),
     "ff5_regression": lambda i: factors.regress(i.series, i.factors),
-    "ff3_regression": lambda i: factors.regress(i.series, i.factors, "FF3 "),
+    "factor_coefficients": lambda i: factors.coefficients(i.series, i.factors),
     "factor_table": lambda i: factors.fit_statistics(i.series, i.factors),
     "mc_paths": lambda i: montecarlo.simulate(risk.portfolio_stats(i.current, i.bl_mu, i.cov), P.mc_years, P.mc_sims, paths=True),
     "mc_report": lambda i: montecarlo.risk_report(montecarlo.simulate(risk.portfolio_stats(i.current, i.bl_mu, i.cov), P.mc_years, P.mc_sims)),
@@ -189,9 +201,11 @@ def _market_weights(i: Inputs) -> DataFrame:
     return optimize.normalize_weights(v.select(F.lit("market").alias("portfolio"), "asset", "weight"))
 
 
-def _turnover_history(i: Inputs) -> DataFrame:
-    prev = F.coalesce(F.lag("weight").over(Window.partitionBy("asset").orderBy("rebalance_date")), returns.asset_weights(BOOK.weights))
-    return i.history.withColumn("move", F.abs(F.col("weight") - prev)).groupBy("rebalance_date").agg(F.sum("move").alias("turnover"))
+def _factor_file(i: Inputs) -> DataFrame:
+    """The lines of the factor file, written as text to the shared folder and loaded from it."""
+    path = new_path(i.spark, "factors")
+    i.spark.createDataFrame([(x,) for x in FACTOR_TEXT], "value string").coalesce(1).write.text(path)
+    return load_factors(i.spark, path, " FF5")
 
 
 def queries() -> dict:
@@ -272,10 +286,14 @@ def _row(exprs: dict[str, str], source: str) -> str:
     return "SELECT " + ", ".join(f"{_r(e)} AS {n}" for n, e in exprs.items()) + f" FROM {source}"
 
 
-def _nine(labels: tuple[str, ...]) -> str:
+def _nine(labels: tuple[str, ...], shown=_r) -> str:
     columns = ("a.annual_return", "a.annual_vol", "(a.annual_return - 0.04) / a.annual_vol", "d.max_drawdown", "v.beta", "v.alpha", "v.correlation", "v.tracking_error", "v.information_ratio")
     one = "FROM ann a JOIN (SELECT series, min(drawdown) AS max_drawdown FROM fall GROUP BY series) d USING (series) JOIN versus v USING (series)"
-    return " UNION ALL ".join(f"SELECT series, '{n}' AS metric, {_r(c)} AS value {one}" for n, c in zip(labels, columns, strict=True))
+    return " UNION ALL ".join(f"SELECT series, '{n}' AS metric, {shown(c)} AS value {one}" for n, c in zip(labels, columns, strict=True))
+
+
+def _stats(w: str) -> str:
+    return _STATS.replace("w.weight", f"{w}.weight").replace("FROM w ", f"FROM {w} ").replace("JOIN w ", f"JOIN {w} ")
 
 
 _STATS = "(SELECT sum(w.weight * mu) AS er FROM w JOIN mu USING (asset)), (SELECT sqrt(sum(a.weight * b.weight * cov)) AS vol FROM cov JOIN w a ON a.asset = asset_i JOIN w b ON b.asset = asset_j)"
@@ -326,6 +344,38 @@ _SQL = {
     "benchmark_point": f"SELECT {_r('avg(ret) * 252')} AS ret, {_r('stddev_samp(ret) * sqrt(252)')} AS vol FROM bench",
     "frontier_targets": f"SELECT i AS point_id, {_r('lo + (hi - lo) * i / 49')} AS target_ret FROM (SELECT min(mu) AS lo, max(mu) AS hi FROM mu), range(0, 50) r(i)",
     "universe_dedup": "SELECT asset, CAST(row_number() OVER (ORDER BY first) - 1 AS INT) AS asset_ord FROM (SELECT asset, min(i) AS first FROM (VALUES " + ", ".join(f"('{a}', {i})" for i, a in enumerate([*BOOK.assets, "MKT", "MKT", "SMALL"])) + ") x(asset, i) GROUP BY asset)",
+    "benchmark_on_days": f"SELECT day, 'MKT' AS series, {_r('ret')} AS ret FROM bench SEMI JOIN walked USING (day)",
+    "stored_quotes": f"SELECT CAST(ts AS DATE) AS day, event_type AS asset, {_r('value')} AS close FROM events WHERE event_type IN ('click', 'purchase', 'view') AND ts >= TIMESTAMP '{QUOTES[0]}' AND ts < TIMESTAMP '{QUOTES[1]}'",
+    "printed_summary": _nine(performance.SUMMARY, lambda c: f"round_even({c}, 4) + 0.0"),
+    "equal_weights": f"SELECT day, 'portfolio' AS series, {_r(f'coalesce(sum(ret / {len(BOOK.assets)}), 0)')} AS ret FROM mine GROUP BY day",
+    "wf_shrunk_cov": f"""SELECT rebalance_date, asset_i, asset_j, {_r('((1 - delta) * s + CASE WHEN asset_i = asset_j THEN delta * m ELSE 0 END) * 252')} AS cov FROM (
+      WITH x AS (SELECT rebalance_date, day, asset, coalesce(ret, 0) - avg(coalesce(ret, 0)) OVER (PARTITION BY rebalance_date, asset) AS x FROM sample),
+      parts AS (SELECT rebalance_date, a.asset AS asset_i, b.asset AS asset_j, avg(a.x * b.x) AS s, avg(a.x * a.x * b.x * b.x) AS q, count(*) AS n FROM x a JOIN x b USING (rebalance_date, day) GROUP BY 1, 2, 3),
+      sums AS (SELECT rebalance_date, count(DISTINCT asset_i)::DOUBLE AS p, sum(s) FILTER (WHERE asset_i = asset_j) / count(DISTINCT asset_i) AS m, sum(s * s) AS ss, sum(q) AS qq, max(n)::DOUBLE AS n FROM parts GROUP BY 1)
+      SELECT parts.*, m, least((ss - p * m * m) / p, (qq - ss) / (p * sums.n)) / ((ss - p * m * m) / p) AS delta FROM parts JOIN sums USING (rebalance_date))""",
+    "diagnostics_fixed_policy": f"""SELECT rebalance_date, {_r('er')} AS expected_return, {_r('vol')} AS volatility, {_r('(er - 0.04) / vol')} AS sharpe, {_r('turnover')} AS turnover FROM
+      (SELECT rebalance_date, sum(weight * mu) AS er FROM history JOIN (SELECT rebalance_date, asset, avg(ret) * 252 AS mu FROM sample GROUP BY 1, 2) USING (rebalance_date, asset) GROUP BY 1)
+      JOIN (SELECT c.rebalance_date, sqrt(sum(a.weight * b.weight * cov)) AS vol FROM (SELECT rebalance_date, a.asset AS i, b.asset AS j, covar_samp(a.ret, b.ret) * 252 AS cov FROM sample a JOIN sample b USING (rebalance_date, day) WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2, 3) c
+        JOIN history a ON a.rebalance_date = c.rebalance_date AND a.asset = i JOIN history b ON b.rebalance_date = c.rebalance_date AND b.asset = j GROUP BY 1) USING (rebalance_date)
+      JOIN (SELECT rebalance_date, sum(abs(weight - prev)) AS turnover FROM (SELECT h.rebalance_date, h.weight, coalesce(lag(h.weight) OVER (PARTITION BY h.asset ORDER BY rebalance_date), w.weight) AS prev FROM history h JOIN w USING (asset)) GROUP BY 1) USING (rebalance_date)""",
+    "cml_given_frontier": f"SELECT {_r('x')} AS x, {_r('0.04 + (er - 0.04) / vol * x')} AS y FROM (SELECT er, vol, unnest([0.0::DOUBLE, far * 1.1]) AS x FROM {_stats('t')}, (SELECT greatest(max(v), max(b)) AS far FROM (SELECT stddev_samp(ret) * sqrt(252) AS v FROM mine GROUP BY asset), (SELECT stddev_samp(ret) * sqrt(252) AS b FROM bench)))",
+    # three views by Cramer's rule
+    "bl_posterior": f"""SELECT asset, {_r('pi + c1 * (r1 * (b * c - f * f) + r2 * (e * f - c * d) + r3 * (d * f - b * e)) / det + c2 * (r1 * (e * f - c * d) + r2 * (a * c - e * e) + r3 * (d * e - a * f)) / det + c3 * (r1 * (d * f - b * e) + r2 * (d * e - a * f) + r3 * (a * b - d * d)) / det')} AS bl_mu, {_r('pi')} AS pi FROM (
+      SELECT *, a * (b * c - f * f) - d * (d * c - e * f) + e * (d * f - b * e) AS det FROM
+        (SELECT asset_i AS asset, {', '.join(f"max(cov) FILTER (WHERE asset_j = '{v}') AS c{n}" for n, v in enumerate(BOOK.absolute_views, 1))} FROM cov GROUP BY 1) JOIN pi USING (asset),
+        (SELECT {', '.join(f"max(cov) FILTER (WHERE asset_i = '{x}' AND asset_j = '{y}') * {2 if x == y else 1} AS {n}" for n, x, y in zip('abcdef', [*BOOK.absolute_views, *(list(BOOK.absolute_views)[k] for k in (0, 0, 1))], [*BOOK.absolute_views, *(list(BOOK.absolute_views)[k] for k in (1, 2, 2))], strict=True))} FROM cov),
+        (SELECT {', '.join(f"max({q} - pi) FILTER (WHERE asset = '{v}') AS r{n}" for n, (v, (q, _)) in enumerate(BOOK.absolute_views.items(), 1))} FROM pi))""",
+    # the normal equations of centred factors by Cramer's rule; Student's t by Simpson's rule
+    "ff3_regression": f"""SELECT 'portfolio' AS series, term, {_r('coef')} AS coef, {_r('t')} AS t_stat, {_r("1 - 2 * h / 3 * exp(lgamma((n - 3) / 2) - lgamma((n - 4) / 2)) / sqrt((n - 4) * pi()) * (SELECT sum(CASE WHEN k IN (0, 20000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + k * h * k * h / (n - 4), -(n - 3) / 2)) FROM range(0, 20001) s(k))")} AS p_value FROM (
+      SELECT n, coef, term, coef / sqrt(s2 / n * v) AS t, least(abs(coef / sqrt(s2 / n * v)), 40.0) / 20000 AS h FROM (
+        SELECT n, n * (vy - b1 * y1 - b2 * y2 - b3 * y3) / (n - 4) AS s2,
+          unnest(['const', 'mkt_rf', 'smb', 'hml']) AS term, unnest([my - b1 * m1 - b2 * m2 - b3 * m3, b1, b2, b3]) AS coef,
+          unnest([1 + m1 * m1 * i11 + m2 * m2 * i22 + m3 * m3 * i33 + 2 * (m1 * m2 * i12 + m1 * m3 * i13 + m2 * m3 * i23), i11, i22, i33]) AS v FROM (
+          SELECT *, i11 * y1 + i12 * y2 + i13 * y3 AS b1, i12 * y1 + i22 * y2 + i23 * y3 AS b2, i13 * y1 + i23 * y2 + i33 * y3 AS b3 FROM (
+            SELECT *, (b * c - f * f) / det AS i11, (a * c - e * e) / det AS i22, (a * b - d * d) / det AS i33, (e * f - c * d) / det AS i12, (d * f - b * e) / det AS i13, (d * e - a * f) / det AS i23 FROM (
+              SELECT *, a * (b * c - f * f) - d * (d * c - e * f) + e * (d * f - b * e) AS det FROM (
+                SELECT count(*)::DOUBLE AS n, avg(y) AS my, avg(mkt_rf) AS m1, avg(smb) AS m2, avg(hml) AS m3, var_pop(y) AS vy, var_pop(mkt_rf) AS a, var_pop(smb) AS b, var_pop(hml) AS c, covar_pop(mkt_rf, smb) AS d, covar_pop(mkt_rf, hml) AS e, covar_pop(smb, hml) AS f, covar_pop(y, mkt_rf) AS y1, covar_pop(y, smb) AS y2, covar_pop(y, hml) AS y3
+                FROM (SELECT s.ret - 0.04 / 252 AS y, mkt_rf, smb, hml FROM series s JOIN wide USING (day) WHERE s.ret IS NOT NULL AND mkt_rf IS NOT NULL AND smb IS NOT NULL AND hml IS NOT NULL)))))))""",
     "market_weights": f"SELECT 'market' AS portfolio, p_type AS asset, {_r('sum(v)::DOUBLE / sum(sum(v)) OVER ()')} AS weight FROM (SELECT p_type, CAST(round(l_extendedprice * 100) AS BIGINT) AS v FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY p_type",
     "latest_weights": "SELECT * FROM history WHERE rebalance_date = (SELECT max(rebalance_date) FROM history)",
     "last5_diag": "SELECT rebalance_date, loc FROM dates ORDER BY rebalance_date DESC LIMIT 5",
@@ -344,5 +394,8 @@ _SQL = {
 }
 
 
+_SQL["factor_file"] = _SQL["kf_parse"]
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: f"{_CTE}\n{sql}" for name, sql in _SQL.items()}

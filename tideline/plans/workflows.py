@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.config import ModelParams, Portfolio
-from tideline.functions.small import settle
+from tideline.functions.small import printed, settle
 from tideline.operators import backtest, bayes, costs, factors, montecarlo, optimize, performance, risk, rolling
 from tideline.operators.moments import mean_cov
-from tideline.operators.returns import asset_series, daily_returns, densify, growth_frame, portfolio_series, require
+from tideline.operators.returns import asset_series, daily_returns, densify, drawdowns, growth_frame, on_days_of, portfolio_series, require
 
 
 def _inputs(prices: DataFrame, book: Portfolio, p: ModelParams):
@@ -78,7 +78,7 @@ def research(prices: DataFrame, book: Portfolio, p: ModelParams = ModelParams(),
     point = performance.benchmark_point(bench, p.trading_days)
     frontier = settle(optimize.efficient_frontier(mu, cov, book.assets, p.frontier_points, book.bounds))
     ends = montecarlo.simulate(risk.portfolio_stats(start, mu, cov, p.risk_free), p.mc_years, p.mc_sims, p.trading_days, p.mc_initial, p.mc_seed)
-    has_walk = bool(walked.limit(1).count())
+    walk_bench = on_days_of(bench, walked)
     out = {
         "expected_returns": compare,
         "max_sharpe": costs.weight_lines(best),
@@ -86,11 +86,12 @@ def research(prices: DataFrame, book: Portfolio, p: ModelParams = ModelParams(),
         "portfolio_stats": stats,
         "rolling": rolling.rolling_statistics(mine, p.rolling_window, p.trading_days),
         "summary": performance.summary_table(every, bench, p.risk_free, p.trading_days),
+        "walkforward_summary": performance.summary_table(walked, walk_bench, p.risk_free, p.trading_days),
         "walkforward_weights": backtest.latest_weights(test.weights),
         "walkforward_diagnostics": backtest.last_rows(test.diagnostics),
         "risk_contribution": risk.risk_contribution(best, cov),
         "monte_carlo": montecarlo.risk_report(ends.cache()),
-        "growth": growth_frame([*series.values(), bench], walked if has_walk else None),
+        "growth": growth_frame({**series, f"{book.benchmark} Benchmark": bench}, {"Walk-Forward OOS": walked}),
         "frontier": frontier,
         "benchmark_point": point,
         "capital_market_line": optimize.capital_market_line(stats, frontier, point, p.risk_free),
@@ -99,15 +100,19 @@ def research(prices: DataFrame, book: Portfolio, p: ModelParams = ModelParams(),
         f = factor_table.cache()
         for name, s in (("factors", series["Max Sharpe"]), ("walkforward_factors", walked)):
             out[name], out[f"{name}_fit"] = factors.regress(s, f), factors.fit_statistics(s, f)
+            out[f"{name}_coefficients"] = factors.coefficients(s, f)
     return out
 
 
-def write_html(tables: dict[str, DataFrame], path: str, title: str = "Portfolio report", rows: int = 500) -> None:
-    """The tables of a report as one HTML file; parents are made, each table shows `rows` rows at most."""
+def write_html(tables: dict[str, DataFrame], path: str, title: str = "Portfolio report") -> None:
+    """The tables of a report, all their rows, as one HTML file; parents are made.
+
+    For reports: their longest tables have a row for each trading day.
+    """
     body = []
     for name, df in tables.items():
         body.append(f"<h2>{html.escape(name)}</h2><table><tr>" + "".join(f"<th>{html.escape(c)}</th>" for c in df.columns) + "</tr>")
-        body += ["<tr>" + "".join(f"<td>{html.escape(f'{v:.4f}' if isinstance(v, float) else str(v))}</td>" for v in r) + "</tr>" for r in df.limit(rows).collect()]
+        body += ["<tr>" + "".join(f"<td>{html.escape(f'{v:.4f}' if isinstance(v, float) else str(v))}</td>" for v in r) + "</tr>" for r in printed(df).toLocalIterator()]
         body.append("</table>")
     at = pathlib.Path(path)
     at.parent.mkdir(parents=True, exist_ok=True)
@@ -117,8 +122,6 @@ def write_html(tables: dict[str, DataFrame], path: str, title: str = "Portfolio
 def performance_report(series: DataFrame, path: str, benchmark: DataFrame | None = None, rf: float = 0.04, days: int = 252) -> None:
     """An HTML tearsheet of a return series, without its null days, with or without a benchmark."""
     s = series.where("ret is not null")
-    from tideline.operators.returns import drawdowns
-
     monthly = s.groupBy(F.last_day("day").alias("month")).agg((F.product(1 + F.col("ret")) - 1).alias("ret")).orderBy("month")
     deepest = drawdowns(s).orderBy("drawdown").limit(10)
     tables = {"metrics": performance.summary_table(s, benchmark, rf, days) if benchmark is not None else performance.annual_stats(s, rf, days), "monthly returns": monthly, "deepest days": deepest}

@@ -10,20 +10,22 @@ from pyspark.sql.window import Window
 SMOOTHING = 63
 
 
-def read_prices(spark: SparkSession, path: str, assets: list[str], start: str | None = None, end: str | None = None, fmt: str = "parquet", **options) -> DataFrame:
+def read_prices(spark: SparkSession, path: str, assets: list[str], start: str | None = None, end: str | None = None, fmt: str = "parquet", day: str = "day", asset: str = "asset", close: str = "close", **options) -> DataFrame:
     """(day, asset, close) of stored quotes; assets and dates are pushed to the scan, end excluded.
 
-    The table needs day, asset and close; a ValueError names a missing close.
+    day, asset and close name the table's columns, day being a date or a timestamp; a
+    ValueError names a missing close.
     """
     df = spark.read.format(fmt).options(**options).load(path)
-    if "close" not in df.columns:
-        raise ValueError("the price table has no close column")
-    df = df.where(F.col("asset").isin(assets))
+    if close not in df.columns:
+        raise ValueError(f"the price table has no {close} column")
+    at = lambda d: F.lit(d).cast(df.schema[day].dataType)
+    df = df.where(F.col(asset).isin(assets))
     if start:
-        df = df.where(F.col("day") >= F.to_date(F.lit(start)))
+        df = df.where(F.col(day) >= at(start))
     if end:
-        df = df.where(F.col("day") < F.to_date(F.lit(end)))
-    return df.select(F.to_date("day").alias("day"), "asset", F.col("close").cast("double").alias("close"))
+        df = df.where(F.col(day) < at(end))
+    return df.select(F.to_date(day).alias("day"), F.col(asset).alias("asset"), F.col(close).cast("double").alias("close"))
 
 
 def wide_to_long(prices: DataFrame, day: str = "day") -> DataFrame:
@@ -39,8 +41,10 @@ def long_to_wide(prices: DataFrame, assets: list[str], value: str = "close") ->
 def part_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(day, asset, close) made of line items: each part type's price per unit over its last 63 trading days, MKT over all.
 
-    Line items are summed by weekday and type in whole cents, before any shuffle of
-    theirs; everything after works on that small table and is exact up to one division.
+    Line items get their type from part, which Spark broadcasts where it is small and
+    else joins by a shuffle of both; then they are summed by weekday and type in whole
+    cents, partly before that sum's shuffle. Everything after works on that small table
+    and is exact up to one division.
     """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.weekday("l_shipdate") < 5)
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_type").alias("asset"))
