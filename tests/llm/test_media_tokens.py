@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from tideline.llm import media
 from tideline.llm.common import new_path
-from tideline.llm.token_files import Encoder, pack_ids, read_token_files, token_files, unpack_ids, write_token_files
+from tideline.llm.token_files import Encoder, pack_blocks, read_token_files, token_files, unpack_blocks, write_token_files
 
 BPE = str(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -143,11 +143,22 @@ def test_bounded_memory_of_parts():
     assert len(e.known) <= 100
 
 
-@given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
-def test_packing(ids):
+@given(st.lists(st.lists(st.integers(0, 32).map(lambda k: (1 << k) - 1) | st.integers(0, 2**32 - 1), max_size=11), max_size=6))
+def test_packing(docs):
     for dtype in ("<u4", "<u2"):
-        x = np.array(ids, np.uint64).astype(dtype)
-        assert unpack_ids(b"".join(pack_ids(x)), len(x)).tolist() == x.tolist()
+        parts = [np.array(d, np.uint64).astype(dtype) for d in docs]
+        counts = np.array([len(d) for d in docs], np.int64)
+        blocks = pack_blocks(np.concatenate([np.empty(0, dtype), *parts]), counts)
+        for block, x in zip(blocks, parts, strict=True):
+            # control bytes first, two bits for an id's bytes less one, lowest first; then the bytes, little end first
+            control, data, at = block[: -(-len(x) // 4)], block[-(-len(x) // 4) :], 0
+            for i, v in enumerate(x.tolist()):
+                n = (control[i // 4] >> 2 * (i % 4) & 3) + 1
+                assert int.from_bytes(data[at : at + n], "little") == v and n == max(1, (v.bit_length() + 7) // 8)
+                at += n
+            assert at == len(data)
+        starts = np.cumsum([0, *map(len, blocks)])[:-1]
+        assert unpack_blocks(b"".join(blocks), starts, counts).tolist() == [v for x in parts for v in x.tolist()]
 
 
 _made = []

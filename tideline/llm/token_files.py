@@ -29,29 +29,42 @@ _ENDS = "!#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 _BARE = "\ud800"
 
 
-def pack_ids(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of unsigned integers of 16 or 32 bits."""
+def _padded(counts: np.ndarray) -> np.ndarray:
+    """Places of the integers of several blocks, of `counts` each, when every block is padded to a multiple of four."""
+    gaps = -counts % 4
+    return np.arange(int(counts.sum())) + np.repeat(np.cumsum(gaps) - gaps, counts)
+
+
+def pack_blocks(ranks: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """A block for each run of `counts` unsigned integers of 16 or 32 bits: its control bytes, then its data bytes."""
     wide = ranks.dtype.itemsize > 2
     r = np.ascontiguousarray(ranks, "<u4" if wide else "<u2")
     more = (r > 0xFF).view(np.uint8)  # bytes after the first
     if wide:
         more = more + (r > 0xFFFF) + (r > 0xFFFFFF)
-    two = np.zeros(-(-len(r) // 4) * 4, np.uint8)
-    two[: len(r)] = more
+    quarter = -(-counts // 4)
+    two = np.zeros(4 * int(quarter.sum()), np.uint8)
+    two[_padded(counts)] = more
     two = two.reshape(-1, 4)
-    control = two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6
+    control = (two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6).tobytes()
     size = r.dtype.itemsize
-    data = r.view(np.uint8).reshape(-1, size)[_BYTES[:size] <= more[:, None]]
-    return control.tobytes(), data.tobytes()
-
-
-def unpack_ids(block: bytes, n: int) -> np.ndarray:
-    """The n integers of a block of control bytes and the data bytes behind them."""
-    k = -(-n // 4)
-    lengths = LENGTHS[np.frombuffer(block, np.uint8, k)].reshape(-1)[:n]
-    size = 2 if not n or lengths.max() <= 2 else 4
-    out = np.zeros((n, size), np.uint8)
-    out[_BYTES[:size] < lengths[:, None]] = np.frombuffer(block, np.uint8, offset=k)
+    data = r.view(np.uint8).reshape(-1, size)[_BYTES[:size] <= more[:, None]].tobytes()
+    ends = np.concatenate([[0], np.cumsum(more, dtype=np.int64) + np.arange(1, len(r) + 1)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+    at = np.concatenate([[0], np.cumsum(quarter)]).tolist()
+    return [control[a:b] + data[c:d] for a, b, c, d in zip(at, at[1:], ends, ends[1:], strict=False)]
+
+
+def unpack_blocks(data: bytes, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The integers, by table lookup, of blocks that begin at `starts` and fill data."""
+    b = np.frombuffer(data, np.uint8)
+    quarter = -(-counts // 4)
+    at = np.arange(int(quarter.sum())) + np.repeat(starts - np.cumsum(quarter) + quarter, quarter)
+    lengths = LENGTHS[b[at]].reshape(-1)[_padded(counts)]
+    size = 2 if not len(lengths) or lengths.max() <= 2 else 4
+    rest = np.ones(len(b), bool)
+    rest[at] = False
+    out = np.zeros((len(lengths), size), np.uint8)
+    out[_BYTES[:size] < lengths[:, None]] = b[rest]
     return out.view(f"<u{size}").reshape(-1)
 
 
@@ -226,6 +239,7 @@ def write_token_files(docs: DataFrame, root: str, vocabulary: str, end_id: int =
     counts = sorted((-r["n"], r["id"]) for r in id_counts(encoded, vocabulary).collect())
     by_rank = np.array([i for _, i in counts], "<u4")
     dtype = _encoder(vocabulary).dtype
+    dtype_size = np.dtype(dtype).itemsize
     rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, dtype)
     rank_of[by_rank] = np.arange(len(by_rank))
     fs, base = open_store(root)
@@ -235,6 +249,13 @@ def write_token_files(docs: DataFrame, root: str, vocabulary: str, end_id: int =
     types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     names = [x.split()[0] for x in _INDEX.split(", ")]
 
+    def blocks(batch, step=500):
+        for i in range(0, batch.num_rows, step):
+            doc_ids, parts, seqs, ids = (c.to_pylist() for c in batch.slice(i, step).columns)
+            counts = np.array([len(x) for x in ids], np.int64) // dtype_size
+            ranks = rank_of[np.frombuffer(b"".join(ids), dtype)]
+            yield from zip(doc_ids, parts, seqs, pack_blocks(ranks, counts), counts.tolist(), strict=True)
+
     def write(batches):
         fs, base = open_store(root)
         name, out, last, rows = None, None, None, []
@@ -245,19 +266,17 @@ def write_token_files(docs: DataFrame, root: str, vocabulary: str, end_id: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
         for batch in batches:
-            for doc_id, part, seq, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, part, seq, block, count in blocks(batch):
                 if last != (part, seq - 1):  # another part, or another piece of one
                     yield from end()
                     name = f"ids-{part:08d}-{seq:012d}-{uuid.uuid4().hex}.bin"
                     out, at, before, rows = fs.open_output_stream(f"{base}/{name}"), len(MAGIC), 0, []
                     out.write(MAGIC)
                 last = (part, seq)
-                ranks = rank_of[np.frombuffer(ids, dtype)]
-                block = b"".join(pack_ids(ranks))
                 out.write(block)
-                rows.append((doc_id, name, part, seq, at, len(block), before, len(ranks)))
+                rows.append((doc_id, name, part, seq, at, len(block), before, count))
                 at += len(block)
-                before += len(ranks)
+                before += count
         yield from end()
 
     index = materialize(encoded.mapInArrow(write, _INDEX), "token-index")
@@ -279,6 +298,18 @@ def read_token_files(index: DataFrame, root: str, each, fields: str) -> DataFram
     rows = index.join(starts, "file").select("doc_id", "file", "offset", "length", "n_tokens", (F.col("start") + F.col("before")).alias("start"))
     names = [x.split()[0] for x in fields.split(", ")]
 
+    def neighbours(rows, most=1 << 20):
+        """Runs of rows whose blocks follow each other in a file, up to some bytes."""
+        run, size = [], 0
+        for r in rows:
+            if run and (r[1] != run[-1][1] or r[2] != run[-1][2] + run[-1][3] or size > most):
+                yield run
+                run, size = [], 0
+            run.append(r)
+            size += r[3]
+        if run:
+            yield run
+
     def read(batches):
         fs, base = open_store(root)
         with fs.open_input_file(f"{base}/ranks.u32") as f:
@@ -286,14 +317,18 @@ def read_token_files(index: DataFrame, root: str, each, fields: str) -> DataFram
         name, f = None, None
         for batch in batches:
             found = []
-            for doc_id, file, offset, length, n, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for rows in neighbours(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                doc_ids, (file, *_), offsets, lengths, counts, begins = zip(*rows, strict=True)
                 if file != name:
                     if f is not None:
                         f.close()
                     name, f = file, fs.open_input_file(f"{base}/{file}")
                     if f.read_at(len(MAGIC), 0) != MAGIC:
                         raise ValueError(f"{file} is not a token file")
-                found.append(each(doc_id, start, by_rank[unpack_ids(f.read_at(length, offset), n)]))
+                counts = np.array(counts, np.int64)
+                ids = by_rank[unpack_blocks(f.read_at(sum(lengths), offsets[0]), np.array(offsets) - offsets[0], counts)]
+                ends = np.cumsum(counts).tolist()
+                found += [each(d, s, ids[a:b]) for d, s, a, b in zip(doc_ids, begins, [0, *ends], ends, strict=False)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=names)
         if f is not None:
