@@ -18,7 +18,7 @@ FIT_ROWS, FIT_LIST = 65_536, 16
 #: Vector lengths that get quantisers of their own; others are compared in one list.
 FIT_LENGTHS = 8
 #: Rows of a list, and queries of it, that meet in one group at about most.
-CHUNK = 1024
+CHUNK = 512
 #: Rows of the table of lists that are sent to all executors; more are joined by a shuffle.
 MOST_CHUNKS = 250_000
 
