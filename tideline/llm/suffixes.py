@@ -1,4 +1,4 @@
-"""Exact repeated-window removal: depth-limited radix sort of suffixes, most significant digits first."""
+"""Exact repeated-window removal: a depth-limited radix sort of suffixes, most significant digits first, behind a filter by anchors."""
 
 from __future__ import annotations
 
@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import column, drop_table, materialize, mix64, release
 
-#: Bytes of a repeated window, and of the first digit of a suffix.
+#: Bytes of a repeated window, and of a digit.
 DEPTH, DIGIT = 400, 100
-#: Windows of a block.
+#: Windows that one suffix stands for.
 STEP = 12
+#: Depths of the passes over a suffix: digit by digit through all that its windows share.
+PASSES = {f"d{i + 1}": min((i + 1) * DIGIT, DEPTH - STEP + 1) for i in range(-(-(DEPTH - STEP + 1) // DIGIT))}
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -123,11 +125,15 @@ def _find_anchors(batches):
                 yield _batch(dict(zip(names, map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
 
-_BLOCKS = "id long, part long, pos int, o1 int, o2 int, g long, core long, sub long, sub2 long, mine boolean"
+_BLOCKS = "id long, part long, pos int, o1 int, o2 int, g long, k int, " + "".join(f"{d} long, " for d in PASSES) + "sub long, sub2 long, mine boolean"
 
 
 def _find_blocks(batches):
-    """Blocks of STEP neighbouring windows: the bytes that all of them share and those that any of them has."""
+    """Suffixes for STEP neighbouring windows each, at the last of their starts, counted from the anchor.
+
+    Their leading digits, as hashes of all bytes through each depth of PASSES, which all
+    of the windows have; and the digest of the bytes that any of the windows has.
+    """
     for batch in batches:
         for id_, key, data, wants in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             rolling = Rolling(np.frombuffer(data, np.uint8))
@@ -138,10 +144,9 @@ def _find_blocks(batches):
             of = np.repeat(np.arange(len(pos)), n)
             k = np.repeat(k0, n) + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
             o1, o2, p = np.maximum(k * STEP, low[of]), np.minimum(k * STEP + STEP - 1, high[of]), pos[of]
-            with np.errstate(over="ignore"):
-                core = mix64(rolling.of(p - k * STEP, p - k * STEP - STEP + 1 + DEPTH) + k.astype(np.uint64))
+            lead = {d: _signed(rolling.of(p - k * STEP, p - k * STEP + depth)) for d, depth in PASSES.items()}
             sub = digests(data, p - o2, p - o1 + DEPTH, o2)
-            yield _batch({"id": np.full(len(of), id_), "part": np.full(len(of), key), "pos": p.astype(np.int32), "o1": o1.astype(np.int32), "o2": o2.astype(np.int32), "g": g[of], "core": _signed(core), "sub": sub[:, 0], "sub2": sub[:, 1], "mine": mine[of].astype(bool)})
+            yield _batch({"id": np.full(len(of), id_), "part": np.full(len(of), key), "pos": p.astype(np.int32), "o1": o1.astype(np.int32), "o2": o2.astype(np.int32), "g": g[of], "k": k.astype(np.int32), **lead, "sub": sub[:, 0], "sub2": sub[:, 1], "mine": mine[of].astype(bool)})
 
 
 _WINDOWS = "id long, part long, x int, g long, h long, h2 long, mine boolean"
@@ -191,17 +196,24 @@ def _cut(batches):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, text): texts as UTF-8 without the bytes that repeated windows cover.
 
-    Not a radix sort: no pass takes a suffix's leading digits, and suffixes are grouped,
-    not ordered. What the passes call digits are keys from anywhere in a window of DEPTH
-    bytes, and a pass goes on only with groups of two or more:
-
-    1. A window's first digit is the DIGIT bytes of least hash inside it, its anchor.
-       Windows of an anchor are neighbours and travel as one row: the anchor's digit and
-       all bytes of its windows. A digit that occurs once ends its windows; bytes that
-       occur twice settle all windows at once.
-    2. What remains is split into blocks of STEP windows. The bytes that a block's
-       windows share are the next digit.
-    3. Windows of blocks left over are held against each other in full.
+    Suffixes are sorted into groups only through DEPTH bytes, most significant digit
+    first; a group of one ends, and the groups left are the repeated windows.
+
+    1. Which windows can repeat at all: a window's anchor is the DIGIT bytes of least
+       hash inside it, so windows of an anchor are neighbours and travel as one row with
+       the anchor's digit and a digest of all their bytes. An anchor that occurs once ends
+       its windows; bytes that occur twice settle all of them at once. Of bytes that
+       occur more than once one row goes on, as the others' equal.
+    2. The windows left are split, at places counted from the anchor, into STEP
+       neighbours. The suffix at the last of their starts leads with bytes that all of
+       them have; it goes through the passes over its digits, DIGIT bytes each, and
+       leaves at the first digit at which its group is one, or only of rows kept for
+       others.
+    3. The last bytes: windows of suffixes that stayed are held against each other in
+       full, all STEP at once where possible.
+
+    The first pass is a filter by content and takes no leading digit: a row for each start
+    would shuffle eight bytes for every byte of text.
 
     Groups are counted, never gathered: every pass is a count by key, summed before its
     shuffle, and a join with the counts. Bytes that settle a window are compared by 128
@@ -216,14 +228,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     data = column(docs, text_col).cast("string")
     rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), F.coalesce(column(docs, id_col).cast("long"), F.lit(-1 << 63)).alias("id"), F.xxhash64(data).alias("part"), data.cast("binary").alias("data"))
     long = rows.where(F.length("data") >= DEPTH).select("id", "part", "data")
-    found = materialize(long.select("id", "part", "data").mapInArrow(_find_anchors, _ANCHORS), "suffix-anchors")
+    every_anchor = materialize(long.select("id", "part", "data").mapInArrow(_find_anchors, _ANCHORS), "suffix-anchors")
 
     # pass 1
-    same = materialize(found.groupBy("g", "c", "c2").agg(F.count(F.lit(1)).alias("n")), "suffix-bytes")
-    digits = same.groupBy("g").agg(F.sum("n").alias("times"), F.min("n").alias("least")).where("times > 1")
+    counts = materialize(every_anchor.groupBy("g", "c", "c2").agg(F.count(F.lit(1)).alias("n")), "suffix-bytes")
+    digits = counts.groupBy("g").agg(F.sum("n").alias("times"), F.min("n").alias("least")).where("times > 1")
     digits = materialize(digits.select("g", (F.col("least") == 1).alias("open")), "suffix-digits")
-    same = materialize(same.join(digits, "g"), "suffix-groups")
-    found = materialize(found.join(same, ["g", "c", "c2"]), "suffix-found")
+    same = materialize(counts.join(digits, "g"), "suffix-groups")
+    found = materialize(every_anchor.join(same, ["g", "c", "c2"]), "suffix-found")
+    drop_table(every_anchor, counts, digits, same)
     release(spark)
     span = lambda start, end: F.struct(start.cast("int").alias("s"), end.cast("int").alias("e"))
     settled = found.where("n > 1").select("id", "part", span(F.col("x0"), F.col("x0") + F.col("m") - 1 + DEPTH).alias("span"))
@@ -236,8 +249,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # pass 2
     blocks = materialize(texts.mapInArrow(_find_blocks, _BLOCKS), "suffix-blocks")
-    cores = materialize(blocks.groupBy("g", "core").agg(F.count(F.lit(1)).alias("n"), F.max("mine").alias("any")).where("n > 1 and any").select("g", "core"), "suffix-cores")
-    blocks = materialize(blocks.join(cores, ["g", "core"]).drop("core"), "suffix-left")
+    for digit in PASSES:
+        key = ["g", "k", digit]
+        twice = materialize(blocks.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("mine").alias("any")).where("n > 1 and any").select(*key), "suffix-ranks")
+        left = materialize(blocks.join(twice, key).drop(digit), "suffix-left")
+        drop_table(blocks, twice)
+        blocks = left
+    every_block = blocks
     subs = materialize(blocks.groupBy("g", "sub", "sub2").agg(F.count(F.lit(1)).alias("n")), "suffix-subs")
     blocks = materialize(blocks.join(subs, ["g", "sub", "sub2"]), "suffix-blocks-found")
     release(spark)
@@ -252,8 +270,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = materialize(windows.groupBy("g", "h", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("mine").alias("any")).where("n > 1 and any").select("g", "h", "h2"), "suffix-twice")
     settled = settled.union(windows.where("mine").join(twice, ["g", "h", "h2"]).select("id", "part", span(F.col("x"), F.col("x") + DEPTH)))
     spans = materialize(settled.groupBy("id", "part").agg(F.collect_set("span").alias("spans")).select("id", "part", F.col("spans.s").alias("starts"), F.col("spans.e").alias("ends")), "suffix-spans")
-    for t in (texts, blocks, windows, found):
-        drop_table(t)
+    drop_table(texts, every_block, subs, blocks, windows, twice, found)
     release(spark)
     out = rows.join(spans, ["id", "part"], "left").select("doc_id", "data", "starts", "ends")
     return out.mapInArrow(_cut, _KEPT)
