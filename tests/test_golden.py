@@ -253,6 +253,25 @@ def test_frontier_is_convex_and_drops_what_is_out_of_reach(spark):
     assert w @ c @ w <= min(v) + 1e-6
 
 
+def test_optimality_tells_the_optimum_from_others(spark):
+    mu, c = random_moments(np.random.default_rng(11), 5)
+    mu = mu + 0.1
+    names = list("ABCDE")
+    cov = spark.createDataFrame([(names[i], names[j], float(c[i, j])) for i in range(5) for j in range(5)], "asset_i string, asset_j string, cov double")
+    m = spark.createDataFrame([(a, float(v)) for a, v in zip(names, mu, strict=True)], "asset string, mu double")
+    rules = {"bounds": (0, 0.4), "fixed": {"A": 0.3}, "minimum": {"B": 0.05}}
+    best = optimize.weights_dict(optimize.max_sharpe(m, cov, names, 0.02, **rules))
+    say = lambda w, **k: tuple(optimize.optimality(literal_table(spark, w), m, cov, 0.02, **{**rules, **k}).first())
+    assert say(best) == (True, True, True)
+    high, low = max("BCDE", key=best.get), min("BCDE", key=best.get)
+    moved = {**best, high: best[high] - 0.05, low: best[low] + 0.05}
+    assert say(moved) == (True, True, False)
+    assert say({**best, "A": 0.35})[:2] == (False, False)
+    least = optimize.weights_dict(optimize.min_vol(m, cov, names, (0, 0.4)))
+    assert say(least, sharpe=False, fixed=None, minimum=None) == (True, True, True)
+    assert say(dict.fromkeys(names, 0.2), sharpe=False, fixed=None, minimum=None)[2] is False
+
+
 def test_special_functions():
     assert special.t_two_sided(2.0, 10) == pytest.approx(0.0733880348)
     assert special.t_two_sided(0.1, 5) == pytest.approx(0.924230141)

@@ -1,4 +1,4 @@
-"""Settings: model parameters, semantics options and portfolios."""
+"""Settings: model parameters and portfolios."""
 
 from __future__ import annotations
 

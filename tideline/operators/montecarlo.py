@@ -57,6 +57,11 @@ def simulate(stats: DataFrame, years: int = 10, sims: int = 10_000, days: int =
     return rows.mapInPandas(run, "sim_id long, step int, value double" if paths else "sim_id long, terminal double, max_drawdown double")
 
 
+def path_names(paths: DataFrame) -> DataFrame:
+    """paths with the name of each, sim_1 for sim_id 0 and so on, as column sim."""
+    return paths.withColumn("sim", F.concat(F.lit("sim_"), (F.col("sim_id") + 1).cast("string")))
+
+
 def summarize(paths: DataFrame) -> DataFrame:
     """(sim_id, terminal, max_drawdown) of stored paths (sim_id, step, value)."""
     peak = F.max("value").over(Window.partitionBy("sim_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))

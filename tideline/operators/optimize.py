@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.kernels import qp
 from tideline.operators.bayes import square
+from tideline.operators.risk import quadratic
 
 _WEIGHTS = "asset string, asset_ord int, weight double"
 
@@ -40,6 +41,30 @@ def min_vol(mu: DataFrame, cov: DataFrame, assets: list[str], bounds=(0.0, 1.0))
     return _solve(mu, cov, assets, lambda m, c: qp.min_vol(c, bounds))
 
 
+def optimality(weights: DataFrame, mu: DataFrame, cov: DataFrame, rf: float = 0.04, bounds=(0.0, 1.0), fixed: dict[str, float] | None = None, minimum: dict[str, float] | None = None, sharpe: bool = True) -> DataFrame:
+    """One row (sums_to_one, within_rules, no_gain): whether weights satisfy the first-order conditions of their programme.
+
+    The objective is the logarithm of the Sharpe ratio, or less variance if not `sharpe`.
+    no_gain: moving weight from any asset that may give to any that may take, rules
+    considered, gains at most 1 % of the scale of the objective's slopes; cleaned weights
+    are rounded, so the conditions hold to about that.
+    """
+    rules, near = {**(fixed or {}), **(minimum or {})}, 2e-4
+    least = F.lit(float(bounds[0]))
+    for a, v in rules.items():
+        least = F.when(F.col("asset") == a, F.lit(float(v))).otherwise(least)
+    most = F.lit(float(bounds[1]))
+    for a, v in (fixed or {}).items():
+        most = F.when(F.col("asset") == a, F.lit(float(v))).otherwise(most)
+    one = quadratic(weights, cov).join(mu, "asset").withColumn("least", least).withColumn("most", most)
+    total = one.agg(F.sum("weight").alias("total"), F.sum(F.col("weight") * F.col("mu")).alias("ret"), F.sum(F.col("weight") * F.col("cov_w")).alias("var"))
+    slope = F.col("mu") / (F.col("ret") - rf * F.col("total")) - F.col("cov_w") / F.col("var") if sharpe else -F.col("cov_w") / F.col("var")
+    one = one.join(F.broadcast(total)).withColumn("slope", slope)
+    may_take, may_give = F.col("weight") < F.col("most") - near, F.col("weight") > F.col("least") + near
+    rows = one.agg(F.max(F.abs(F.col("total") - 1)).alias("off"), F.min((F.col("weight") >= F.col("least") - near) & (F.col("weight") <= F.col("most") + near)).alias("within_rules"), F.max(F.when(may_take, F.col("slope"))).alias("take"), F.min(F.when(may_give, F.col("slope"))).alias("give"), F.max(F.abs(F.col("cov_w") / F.col("var"))).alias("scale"))
+    return rows.select((F.col("off") < 1e-3).alias("sums_to_one"), "within_rules", F.coalesce(F.col("take") - F.col("give") <= 0.01 * F.col("scale"), F.lit(True)).alias("no_gain"))
+
+
 def frontier_targets(mu: DataFrame, points: int = 50) -> DataFrame:
     """(point_id, target_ret): evenly from the least to the greatest expected return."""
     ends = mu.agg(F.min("mu").alias("lo"), F.max("mu").alias("hi"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _quadratic(weights: DataFrame, cov: DataFrame) -> DataFrame:
+def quadratic(weights: DataFrame, cov: DataFrame) -> DataFrame:
     """(asset, weight, cov_w): for each asset the covariance with the whole portfolio."""
     wj = weights.select(F.col("asset").alias("asset_j"), F.col("weight").alias("wj"))
     rows = cov.join(F.broadcast(wj), "asset_j").groupBy(F.col("asset_i").alias("asset")).agg(F.sum(F.col("cov") * F.col("wj")).alias("cov_w"))
@@ -18,12 +18,12 @@ def expected_return(weights: DataFrame, mu: DataFrame) -> DataFrame:
 
 
 def volatility(weights: DataFrame, cov: DataFrame) -> DataFrame:
-    return _quadratic(weights, cov).agg(F.sqrt(F.sum(F.col("weight") * F.col("cov_w"))).alias("volatility"))
+    return quadratic(weights, cov).agg(F.sqrt(F.sum(F.col("weight") * F.col("cov_w"))).alias("volatility"))
 
 
 def portfolio_stats(weights: DataFrame, mu: DataFrame, cov: DataFrame, rf: float = 0.04) -> DataFrame:
     """One row: expected_return, volatility and sharpe (null at no volatility)."""
-    one = _quadratic(weights, cov).join(mu, "asset").agg(F.sum(F.col("weight") * F.col("mu")).alias("expected_return"), F.sqrt(F.sum(F.col("weight") * F.col("cov_w"))).alias("volatility"))
+    one = quadratic(weights, cov).join(mu, "asset").agg(F.sum(F.col("weight") * F.col("mu")).alias("expected_return"), F.sqrt(F.sum(F.col("weight") * F.col("cov_w"))).alias("volatility"))
     return one.withColumn("sharpe", F.try_divide(F.col("expected_return") - rf, F.col("volatility")))
 
 
@@ -33,7 +33,7 @@ def sharpe(weights: DataFrame, mu: DataFrame, cov: DataFrame, rf: float = 0.04)
 
 def risk_contribution(weights: DataFrame, cov: DataFrame) -> DataFrame:
     """Marginal, component and percent contribution of each asset, from the greatest down."""
-    rows = _quadratic(weights, cov)
+    rows = quadratic(weights, cov)
     vol = rows.agg(F.sqrt(F.sum(F.col("weight") * F.col("cov_w"))).alias("vol"))
     marginal = F.try_divide("cov_w", "vol")
     out = rows.join(F.broadcast(vol)).select("asset", "asset_ord", "weight", marginal.alias("marginal"), (F.col("weight") * marginal).alias("component"), F.try_divide(F.col("weight") * marginal, F.col("vol")).alias("percent"))

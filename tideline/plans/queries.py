@@ -159,6 +159,10 @@ QUERIES = {
     "ff3_regression": lambda i: factors.regress(i.series, i.factors, "FF3 "),
     "equal_weights": lambda i: returns.portfolio_series(i.mine, dict.fromkeys(BOOK.assets, 1 / len(BOOK.assets))),
     "factor_file": lambda i: _factor_file(i),
+    "path_names": lambda i: montecarlo.path_names(i.paths).groupBy("sim_id", "sim").agg(F.count(F.lit(1)).alias("steps")),
+    "max_sharpe_optimality": lambda i: optimize.optimality(settle(optimize.max_sharpe(i.bl_mu, i.cov, BOOK.assets, P.risk_free, BOOK.bounds, BOOK.fixed, BOOK.minimum)), i.bl_mu, i.cov, P.risk_free, BOOK.bounds, BOOK.fixed, BOOK.minimum),
+    "max_sharpe_unconstrained_optimality": lambda i: optimize.optimality(settle(optimize.max_sharpe(i.bl_mu, i.cov, BOOK.assets, P.risk_free)), i.bl_mu, i.cov, P.risk_free),
+    "min_vol_optimality": lambda i: optimize.optimality(settle(optimize.min_vol(i.bl_mu, i.cov, BOOK.assets, BOOK.bounds)), i.bl_mu, i.cov, bounds=BOOK.bounds, sharpe=False),
     "ff_single_factor": lambda i: factors.regression_rows(i.series, i.factors).groupBy("series").agg(F.regr_slope("y", "mkt_rf").alias("slope"), F.regr_intercept("y", "mkt_rf").alias("intercept"), F.count(F.lit(1)).alias("n")),
     "factor_gram": lambda i: factors.gram(factors.regression_rows(i.series, i.factors), ["mkt_rf", "smb"]).select("series", "n", *[(F.col(c) * 100).alias(c) for c in ("mkt_rf__mkt_rf", "mkt_rf__smb", "mkt_rf__y", "smb__y", "y__y")]),
     "benchmark_point": lambda i: performance.benchmark_point(i.bench),
@@ -395,6 +399,10 @@ _SQL = {
 
 
 _SQL["factor_file"] = _SQL["kf_parse"]
+_SQL["path_names"] = "SELECT sim_id, 'sim_' || (sim_id + 1) AS sim, count(*) AS steps FROM paths GROUP BY sim_id"
+# the conditions are computed from the weights and the moments; what SQL says is that all hold
+for _name in ("max_sharpe_optimality", "max_sharpe_unconstrained_optimality", "min_vol_optimality"):
+    _SQL[_name] = "SELECT true AS sums_to_one, true AS within_rules, true AS no_gain"
 
 
 def oracle_sql() -> dict[str, str]:
