@@ -1,7 +1,9 @@
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm.warc import canonical_url, header_text, resolve_revisits
+from tideline.llm.warc import canonical_url, header_text, read_warc, resolve_revisits
 
 SCHEMA = "record_id long, url string, at long, kind string, status int, headers map<string,string>, base string, span int, full boolean"
 
@@ -50,3 +52,32 @@ def test_canonical_url(spark):
 def test_header_text(spark):
     df = spark.createDataFrame([({"b": "2", "a": "1"},)], "h map<string,string>")
     assert df.select(header_text(F.col("h")).alias("t")).first().t == "a: 1\nb: 2"
+
+
+def record(kind, i, url, date, http=b"", end=b"\r\n\r\n"):
+    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{i}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: {url}\r\nContent-Length: {len(http)}\r\n\r\n"
+    return head.encode() + http + end
+
+
+def test_files_are_read_and_resolved(spark, tmp_path):
+    page = b"HTTP/1.1 200 OK\r\nETag: \"a\"\r\nCache-Control: private\r\nCache-Control: max-age=1\r\nX-Odd\r\n\r\n" + b"WARC/1.1 in a body\r\n\r\n" * 3
+    same = b"HTTP/1.1 304 Not Modified\r\nEtag: W/\"a\"\r\nDate: later\r\n\r\n"
+    one = [record("warcinfo", 0, "", "2024-01-01T00:00:00Z", b"software: x\r\n"), record("response", 1, "<http://www.a.org/x>", "2024-01-01T00:00:01Z", page), record("request", 2, "http://a.org/x", "2024-01-01T00:00:01Z", b"GET / HTTP/1.1\r\n\r\n")]
+    two = [record("revisit", 3, "https://a.org/x#f", "2024-01-02T00:00:00Z", same), record("response", 4, "http://b.org/", "no date", b"x" * 3_000_000), record("revisit", 5, "http://b.org", "2024-01-02T00:00:00Z")]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "one.warc").write_bytes(b"".join(one) + record("response", 9, "http://a.org/x", "2024-01-01T12:00:00Z", page)[:-60])
+    (tmp_path / "w" / "two.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in two))
+    (tmp_path / "w" / "none.warc").write_bytes(b"")
+    df = read_warc(spark, str(tmp_path / "w"), batch=2)
+    rows = {r.record_id: r for r in df.collect()}
+    assert rows.keys() == {f"<urn:{i}>" for i in (1, 3, 4, 5)}  # the cut record is left out
+    r = rows["<urn:1>"]
+    assert (r.url, r.at, r.kind, r.status, r.headers) == ("http://www.a.org/x", 1704067201000, "response", 200, {"etag": '"a"', "cache-control": "private, max-age=1"})
+    assert (rows["<urn:4>"].at, rows["<urn:4>"].status, rows["<urn:5>"].headers) == (None, None, {})
+    got = {r.record_id: r for r in resolve_revisits(df).collect()}
+    assert (got["<urn:3>"].response_id, got["<urn:3>"].reason) == ("<urn:1>", "etag")
+    assert got["<urn:3>"].headers == {"etag": 'W/"a"', "cache-control": "private, max-age=1", "date": "later"}
+    assert (got["<urn:5>"].response_id, got["<urn:5>"].reason) == (None, "no earlier response")
+    (tmp_path / "w" / "bad.warc").write_bytes(b"<html>")
+    with pytest.raises(Exception, match="not a WARC record"):
+        read_warc(spark, str(tmp_path / "w")).collect()

@@ -1,11 +1,19 @@
-"""WARC records: resolving not-modified revisits against the latest earlier full response."""
+"""WARC records: reading them, and resolving not-modified revisits against the latest earlier full response."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gzip
+import io
+from collections.abc import Iterator
+from datetime import datetime
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tideline.llm.common import open_store
+
 #: Headers that a 304 answer may renew in the response it confirms.
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that do not choose a page.
@@ -14,6 +22,87 @@ TRACKING = r"([?&])(?:ref|utm_[a-z]+)=[^&]*"
 SPAN = 65_536
 
 
+#: Bytes of a record's block that are searched for HTTP headers.
+HTTP_BYTES = 1 << 20
+_RECORD = "record_id string, url string, at long, kind string, status int, headers map<string,string>"
+
+
+def _fields(lines: list[bytes]) -> dict[str, str]:
+    """Header lines as a map with lower-case names; a name that comes again has its values joined by commas."""
+    out: dict[str, str] = {}
+    for line in lines:
+        name, colon, value = line.decode("utf-8", "replace").partition(":")
+        if colon:
+            name, value = name.strip().lower(), value.strip()
+            out[name] = f"{out[name]}, {value}" if name in out else value
+    return out
+
+
+def _ticks(date: str | None) -> int | None:
+    try:
+        return int(datetime.fromisoformat(date).timestamp() * 1000)
+    except (TypeError, ValueError):
+        return None
+
+
+def warc_records(stream: io.BufferedIOBase) -> Iterator[tuple]:
+    """(record_id, url, at, kind, status, headers) of each response and revisit of a WARC stream, one block at a time.
+
+    at is the capture's millisecond, headers are those of the HTTP message. A record that
+    the end of the stream cuts off is left out; anything but a WARC record is a ValueError.
+    """
+    while True:
+        line = stream.readline()
+        while line in (b"\r\n", b"\n"):
+            line = stream.readline()
+        if not line:
+            return
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"not a WARC record: {line[:40]!r}")
+        lines = []
+        while (line := stream.readline()).strip():
+            lines.append(line)
+        about = _fields(lines)
+        left = int(about.get("content-length", 0))
+        block = stream.read(min(left, HTTP_BYTES))
+        left -= len(block)
+        while left > 0 and (skipped := len(stream.read(min(left, HTTP_BYTES)))):
+            left -= skipped
+        if not line or left > 0 or len(block) < min(int(about.get("content-length", 0)), HTTP_BYTES):
+            return
+        if about.get("warc-type") not in ("response", "revisit"):
+            continue
+        first, *http = block.replace(b"\r\n", b"\n").partition(b"\n\n")[0].split(b"\n")
+        code = first.split(b" ")[1:2] if first.startswith(b"HTTP/") else []
+        status = int(code[0]) if code and code[0].isdigit() else None
+        url = about.get("warc-target-uri")
+        yield about.get("warc-record-id"), url and url.strip("<>"), _ticks(about.get("warc-date")), about["warc-type"], status, _fields(http)
+
+
+def read_warc(spark: SparkSession, path: str, batch: int = 1000) -> DataFrame:
+    """records, as resolve_revisits() takes them, of WARC files, plain or of gzip members; one task reads a file as a stream."""
+    files = spark.read.format("binaryFile").load(path).select("path")  # names only, no contents
+    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string())]
+    names = [x.split()[0] for x in _RECORD.replace("map<string,string>", "map").split(", ")]
+
+    def run(batches):
+        for some in batches:
+            for name in some.column(0).to_pylist():
+                fs, at = open_store(name)
+                with fs.open_input_stream(at, compression=None) as raw:
+                    whole = io.BufferedReader(raw)
+                    found = []
+                    for r in warc_records(gzip.GzipFile(fileobj=whole) if whole.peek(2)[:2] == b"\x1f\x8b" else whole):
+                        found.append((*r[:5], list(r[5].items())))
+                        if len(found) == batch:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
+                            found = []
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
+
+    return files.repartition(max(1, files.count()), "path").mapInArrow(run, _RECORD)
+
+
 def canonical_url(url: Column) -> Column:
     """Scheme and www. dropped, host in lower case, no fragment, port, tracking parameters or last slash."""
     u = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "(?i)^https?://(www[.])?", "")
