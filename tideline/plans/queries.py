@@ -157,6 +157,8 @@ QUERIES = {
     "cml_given_frontier": lambda i: optimize.capital_market_line(risk.portfolio_stats(i.target, i.mu, i.cov), i.mine.groupBy("asset").agg((F.stddev_samp("ret") * 252**0.5).alias("vol")), performance.benchmark_point(i.bench)),
     "bl_posterior": lambda i: bayes.posterior(i.cov, BOOK.assets, BOOK.market, views=BOOK.absolute_views, relative_views=()),
     "ff3_regression": lambda i: factors.regress(i.series, i.factors, "FF3 "),
+    "ff5_regression": lambda i: factors.regress(i.series, i.factors),
+    "factor_fit": lambda i: factors.fit_statistics(i.series, i.factors).where(~F.col("metric").isin("f_p_value", "omnibus", "omnibus_p_value", "condition_number")),
     "equal_weights": lambda i: returns.portfolio_series(i.mine, dict.fromkeys(BOOK.assets, 1 / len(BOOK.assets))),
     "factor_file": lambda i: _factor_file(i),
     "path_names": lambda i: montecarlo.path_names(i.paths).groupBy("sim_id", "sim").agg(F.count(F.lit(1)).alias("steps")),
@@ -184,7 +186,6 @@ QUERIES = {
     "min_vol": lambda i: optimize.min_vol(i.bl_mu, i.cov, BOOK.assets, BOOK.bounds),
     "frontier": lambda i: optimize.efficient_frontier(i.bl_mu, i.cov, BOOK.assets, P.frontier_points, BOOK.bounds),
     "cml": lambda i: optimize.capital_market_line(risk.portfolio_stats(i.target, i.bl_mu, i.cov), optimize.efficient_frontier(i.bl_mu, i.cov, BOOK.assets, P.frontier_points, BOOK.bounds), performance.benchmark_point(i.bench)),
-    "ff5_regression": lambda i: factors.regress(i.series, i.factors),
     "factor_coefficients": lambda i: factors.coefficients(i.series, i.factors),
     "factor_table": lambda i: factors.fit_statistics(i.series, i.factors),
     "mc_paths": lambda i: montecarlo.simulate(risk.portfolio_stats(i.current, i.bl_mu, i.cov), P.mc_years, P.mc_sims, paths=True),
@@ -300,6 +301,45 @@ def _stats(w: str) -> str:
     return _STATS.replace("w.weight", f"{w}.weight").replace("FROM w ", f"FROM {w} ").replace("JOIN w ", f"JOIN {w} ")
 
 
+def _least_squares(x: list[str]) -> str:
+    """One row: n, coefficients b0 (constant), b1, ... and their variances v0, v1, ... by Gauss-Jordan steps on the factors' covariances."""
+    k = range(len(x))
+    known = "SELECT s.ret - 0.04 / 252 AS y, " + ", ".join(x) + " FROM series s JOIN wide USING (day) WHERE s.ret IS NOT NULL AND " + " AND ".join(f"{c} IS NOT NULL" for c in x)
+    means = ", ".join(f"avg({x[i]}) AS m{i}, covar_pop(y, {x[i]}) AS y{i}" for i in k)
+    cells = [(i, j) for i in k for j in range(2 * len(x))]
+    start = ", ".join(f"covar_pop({x[i]}, {x[j]}) AS a{i}_{j}" if j < len(x) else f"{float(i == j - len(x))} AS a{i}_{j}" for i, j in cells)
+    sql = f"SELECT count(*)::DOUBLE AS n, avg(y) AS my, var_pop(y) AS vy, {means}, {start} FROM ({known})"
+    rest = "n, my, vy, " + ", ".join(f"m{i}, y{i}" for i in k)
+    for p in k:
+        step = ", ".join((f"a{p}_{j} / a{p}_{p}" if i == p else f"a{i}_{j} - a{i}_{p} * a{p}_{j} / a{p}_{p}") + f" AS a{i}_{j}" for i, j in cells)
+        sql = f"SELECT {rest}, {step} FROM ({sql})"
+    inverse = {(i, j): f"a{i}_{j + len(x)}" for i in k for j in k}
+    sql = f"SELECT *, {', '.join('(' + ' + '.join(f'{inverse[i, j]} * y{j}' for j in k) + f') AS b{i + 1}' for i in k)} FROM ({sql})"
+    sql = f"SELECT *, my - {' - '.join(f'b{i + 1} * m{i}' for i in k)} AS b0, n * (vy - {' - '.join(f'b{i + 1} * y{i}' for i in k)}) / (n - {len(x) + 1}) / n AS s2 FROM ({sql})"
+    every = " + ".join(f"m{i} * m{j} * {inverse[i, j]}" for i in k for j in k)
+    return f"SELECT n, {', '.join(f'b{i}' for i in range(len(x) + 1))}, s2 * (1 + {every}) AS v0, {', '.join(f's2 * {inverse[i, i]} AS v{i + 1}' for i in k)} FROM ({sql})"
+
+
+def _regression(x: list[str]) -> str:
+    """Terms with t statistics; p values by Simpson's rule on Student's density, which is nil past 40."""
+    terms, k = ["const", *x], len(x)
+    density = f"exp(lgamma((n - {k}) / 2) - lgamma((n - {k + 1}) / 2)) / sqrt((n - {k + 1}) * pi())"
+    inside = f"(SELECT sum(CASE WHEN j IN (0, 20000) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END * pow(1 + j * h * j * h / (n - {k + 1}), -(n - {k}) / 2)) FROM range(0, 20001) s(j))"
+    rows = f"SELECT n, unnest({terms}) AS term, unnest([{', '.join(f'b{i}' for i in range(k + 1))}]) AS coef, unnest([{', '.join(f'v{i}' for i in range(k + 1))}]) AS v FROM ({_least_squares(x)})"
+    return f"SELECT 'portfolio' AS series, term, {_r('coef')} AS coef, {_r('t')} AS t_stat, {_r(f'1 - 2 * h / 3 * {density} * {inside}')} AS p_value FROM (SELECT *, coef / sqrt(v) AS t, least(abs(coef / sqrt(v)), 40.0) / 20000 AS h FROM ({rows}))"
+
+
+def _fit(x: list[str]) -> str:
+    """Statistics of the fit, from its residuals."""
+    k = len(x)
+    e = f"SELECT day, y, y - b0 - {' - '.join(f'b{i + 1} * {c}' for i, c in enumerate(x))} AS e FROM xy, ({_least_squares(x)})"
+    sums = f"SELECT count(*)::DOUBLE AS n, sum(e * e) AS sse, var_pop(y) * count(*) AS sst, sum(step * step) AS ssd, avg(e * e) AS m2, avg(e * e * e) AS m3, avg(e * e * e * e) AS m4 FROM (SELECT *, e - lag(e) OVER (ORDER BY day) AS step FROM ({e}))"
+    ll = "-n / 2 * (ln(2 * pi()) + ln(sse / n) + 1)"
+    test = "n / 6 * (m3 * m3 / pow(m2, 3) + pow(m4 / (m2 * m2) - 3, 2) / 4)"
+    values = {"r_squared": "1 - sse / sst", "adj_r_squared": f"1 - sse / sst * (n - 1) / (n - {k + 1})", "f_statistic": f"(1 - sse / sst) / {k} / (sse / sst / (n - {k + 1}))", "log_likelihood": ll, "aic": f"{2 * (k + 1)} - 2 * ({ll})", "bic": f"ln(n) * {k + 1} - 2 * ({ll})", "durbin_watson": "ssd / sse", "skew": "m3 / pow(m2, 1.5)", "kurtosis": "m4 / (m2 * m2)", "jarque_bera": test, "jarque_bera_p_value": f"exp(-({test}) / 2)", "observations": "n", "df_model": f"{k}.0", "df_residuals": f"n - {k + 1}"}
+    return " UNION ALL ".join(f"SELECT 'portfolio' AS series, '{m}' AS metric, {_r(v)} AS value FROM ({sums})" for m, v in values.items())
+
+
 _STATS = "(SELECT sum(w.weight * mu) AS er FROM w JOIN mu USING (asset)), (SELECT sqrt(sum(a.weight * b.weight * cov)) AS vol FROM cov JOIN w a ON a.asset = asset_i JOIN w b ON b.asset = asset_j)"
 _LINES = ", ".join(f"({i}, '{x}')" for i, x in enumerate(FACTOR_TEXT))
 
@@ -369,17 +409,9 @@ _SQL = {
         (SELECT asset_i AS asset, {', '.join(f"max(cov) FILTER (WHERE asset_j = '{v}') AS c{n}" for n, v in enumerate(BOOK.absolute_views, 1))} FROM cov GROUP BY 1) JOIN pi USING (asset),
         (SELECT {', '.join(f"max(cov) FILTER (WHERE asset_i = '{x}' AND asset_j = '{y}') * {2 if x == y else 1} AS {n}" for n, x, y in zip('abcdef', [*BOOK.absolute_views, *(list(BOOK.absolute_views)[k] for k in (0, 0, 1))], [*BOOK.absolute_views, *(list(BOOK.absolute_views)[k] for k in (1, 2, 2))], strict=True))} FROM cov),
         (SELECT {', '.join(f"max({q} - pi) FILTER (WHERE asset = '{v}') AS r{n}" for n, (v, (q, _)) in enumerate(BOOK.absolute_views.items(), 1))} FROM pi))""",
-    # the normal equations of centred factors by Cramer's rule; Student's t by Simpson's rule
-    "ff3_regression": f"""SELECT 'portfolio' AS series, term, {_r('coef')} AS coef, {_r('t')} AS t_stat, {_r("1 - 2 * h / 3 * exp(lgamma((n - 3) / 2) - lgamma((n - 4) / 2)) / sqrt((n - 4) * pi()) * (SELECT sum(CASE WHEN k IN (0, 20000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + k * h * k * h / (n - 4), -(n - 3) / 2)) FROM range(0, 20001) s(k))")} AS p_value FROM (
-      SELECT n, coef, term, coef / sqrt(s2 / n * v) AS t, least(abs(coef / sqrt(s2 / n * v)), 40.0) / 20000 AS h FROM (
-        SELECT n, n * (vy - b1 * y1 - b2 * y2 - b3 * y3) / (n - 4) AS s2,
-          unnest(['const', 'mkt_rf', 'smb', 'hml']) AS term, unnest([my - b1 * m1 - b2 * m2 - b3 * m3, b1, b2, b3]) AS coef,
-          unnest([1 + m1 * m1 * i11 + m2 * m2 * i22 + m3 * m3 * i33 + 2 * (m1 * m2 * i12 + m1 * m3 * i13 + m2 * m3 * i23), i11, i22, i33]) AS v FROM (
-          SELECT *, i11 * y1 + i12 * y2 + i13 * y3 AS b1, i12 * y1 + i22 * y2 + i23 * y3 AS b2, i13 * y1 + i23 * y2 + i33 * y3 AS b3 FROM (
-            SELECT *, (b * c - f * f) / det AS i11, (a * c - e * e) / det AS i22, (a * b - d * d) / det AS i33, (e * f - c * d) / det AS i12, (d * f - b * e) / det AS i13, (d * e - a * f) / det AS i23 FROM (
-              SELECT *, a * (b * c - f * f) - d * (d * c - e * f) + e * (d * f - b * e) AS det FROM (
-                SELECT count(*)::DOUBLE AS n, avg(y) AS my, avg(mkt_rf) AS m1, avg(smb) AS m2, avg(hml) AS m3, var_pop(y) AS vy, var_pop(mkt_rf) AS a, var_pop(smb) AS b, var_pop(hml) AS c, covar_pop(mkt_rf, smb) AS d, covar_pop(mkt_rf, hml) AS e, covar_pop(smb, hml) AS f, covar_pop(y, mkt_rf) AS y1, covar_pop(y, smb) AS y2, covar_pop(y, hml) AS y3
-                FROM (SELECT s.ret - 0.04 / 252 AS y, mkt_rf, smb, hml FROM series s JOIN wide USING (day) WHERE s.ret IS NOT NULL AND mkt_rf IS NOT NULL AND smb IS NOT NULL AND hml IS NOT NULL)))))))""",
+    "ff3_regression": _regression(["mkt_rf", "smb", "hml"]),
+    "ff5_regression": _regression(["mkt_rf", "smb", "hml", "rmw", "cma"]),
+    "factor_fit": _fit(["mkt_rf", "smb", "hml", "rmw", "cma"]),
     "market_weights": f"SELECT 'market' AS portfolio, p_type AS asset, {_r('sum(v)::DOUBLE / sum(sum(v)) OVER ()')} AS weight FROM (SELECT p_type, CAST(round(l_extendedprice * 100) AS BIGINT) AS v FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY p_type",
     "latest_weights": "SELECT * FROM history WHERE rebalance_date = (SELECT max(rebalance_date) FROM history)",
     "last5_diag": "SELECT rebalance_date, loc FROM dates ORDER BY rebalance_date DESC LIMIT 5",
