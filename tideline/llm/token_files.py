@@ -25,6 +25,7 @@ MAGIC = b"TIDEIDS1"
 _RAGGED = re.compile(r" (?=\s|\Z)")
 #: Sentence marks and symbols that the pattern parts from letters before them; no apostrophe.
 _ENDS = "!#$%&()*+,-./:;<=>?@[\\]^`{|}~"
+_MARKS = frozenset(_ENDS)
 #: Mark of a part without a blank before it. No decoded UTF-8 holds a surrogate.
 _BARE = "\ud800"
 
@@ -132,8 +133,11 @@ class Encoder:
     def _learn(self, missing: dict[str, bytearray]) -> None:
         known, new, ended = self.known, {}, []
         for p in missing:
+            if p[-1:] not in _MARKS:  # most parts
+                new[p] = None
+                continue
             word = p.rstrip(_ENDS)
-            if len(word) < len(p) and word[-1:].isalpha():
+            if word[-1:].isalpha():
                 end = _BARE + p[len(word) :]
                 ended.append((p, word, end))
                 if word not in known:
@@ -145,13 +149,15 @@ class Encoder:
         self._encode_parts(list(new))
         for p, word, end in ended:
             known[p] = known[word] + known[end]
-        for p, buffer in missing.items():
-            buffer += known[p]
+        for buffer, ids in zip(missing.values(), map(known.__getitem__, missing), strict=True):
+            buffer += ids
 
     def _encode_parts(self, parts: list[str], chunk: int = 100) -> None:
         """Encode parts; those without white space inside in chunks of one to a line, as a line's end is a token of its own."""
         known = self.known
-        plain = [p for p in parts if p.isprintable() and " " not in p]
+        plain, other = [], []
+        for p in parts:
+            (plain if p.isprintable() and " " not in p else other).append(p)
         lines = [" " + "\n ".join(plain[i : i + chunk]) for i in range(0, len(plain), chunk)]
         for i, x in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
             ids = np.array(x.ids, self.dtype)
@@ -160,11 +166,8 @@ class Encoder:
             mine = plain[i * chunk : (i + 1) * chunk]
             if len(ends) != len(mine):
                 raise ValueError("this vocabulary has no token of its own for a line's end")
-            data, at = ids.tobytes(), 0
-            for p, end in zip(mine, ends, strict=True):
-                known[p] = data[size * at : size * end]
-                at = end + 1
-        other = [p for p in parts if not p.isprintable() or " " in p]
+            data, ends = ids.tobytes(), [size * e for e in ends]
+            known.update(zip(mine, [data[a:b] for a, b in zip([0, *[e + size for e in ends]], ends, strict=False)], strict=True))
         found = self.tokenizer.encode_batch_fast([p[1:] if p[:1] == _BARE else " " + p for p in other], add_special_tokens=False)
         known.update((p, np.array(x.ids, self.dtype).tobytes()) for p, x in zip(other, found, strict=True))
 
@@ -187,38 +190,37 @@ def _ids(batch: pa.RecordBatch, vocabulary: str, end_id: int, step: int = 512) -
 
 
 def _encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """(doc_id, part, seq, ids) in ascending doc_id order: the ids of a part's seq-th document."""
+    """(doc_id, part, seq, ids, counts) in ascending doc_id order: the ids of a part's seq-th document.
+
+    The last row of a part has counts alone: how often each id occurs in the part.
+    """
+    types = {"doc_id": pa.int64(), "part": pa.int32(), "seq": pa.int64(), "ids": pa.binary(), "counts": pa.list_(pa.int64())}
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)], names=list(types))
 
     def run(batches):
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, total = TaskContext.get().partitionId(), 0, np.zeros(0, np.int64)
         for batch in batches:
             rows = []
             for doc_id, ids in _ids(batch, vocabulary, end_id):
-                rows.append((doc_id, part, seq, ids))
+                rows.append((doc_id, part, seq, ids, None))
                 seq += 1
             if rows:
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "part", "seq", "ids"])
+                c = np.bincount(np.frombuffer(b"".join([r[3] for r in rows]), _encoder(vocabulary).dtype), minlength=len(total))
+                c[: len(total)] += total
+                total = c
+                yield batch_of(rows)
+        if seq:
+            yield batch_of([(None, part, None, None, total)])
 
     by = F.col("doc_id").asc_nulls_last()
-    return docs.repartitionByRange(by).sortWithinPartitions(by, "text").mapInArrow(run, "doc_id long, part int, seq long, ids binary")
+    return docs.repartitionByRange(by).sortWithinPartitions(by, "text").mapInArrow(run, "doc_id long, part int, seq long, ids binary, counts array<long>")
 
 
-def id_counts(encoded: DataFrame, vocabulary: str) -> DataFrame:
+def id_counts(encoded: DataFrame) -> DataFrame:
     """(id, n) over all documents; one row for each id that occurs."""
-
-    def run(batches):
-        dtype, total = _encoder(vocabulary).dtype, np.zeros(0, np.int64)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                c = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(i, 500).to_pylist()), dtype), minlength=len(total))
-                c[: len(total)] += total
-                total = c
-        at = np.flatnonzero(total)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["id", "n"])
-
-    return encoded.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select(F.posexplode("counts").alias("id", "n")).where("n > 0").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 _INDEX = "doc_id long, file string, part int, seq long, offset long, length long, before long, n_tokens long"
@@ -236,7 +238,7 @@ def write_token_files(docs: DataFrame, root: str, vocabulary: str, end_id: int =
     """
     rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     encoded = materialize(_encoded(rows, vocabulary, end_id), "token-ids", compression="zstd")
-    counts = sorted((-r["n"], r["id"]) for r in id_counts(encoded, vocabulary).collect())
+    counts = sorted((-r["n"], r["id"]) for r in id_counts(encoded).collect())
     by_rank = np.array([i for _, i in counts], "<u4")
     dtype = _encoder(vocabulary).dtype
     dtype_size = np.dtype(dtype).itemsize
@@ -279,7 +281,8 @@ def write_token_files(docs: DataFrame, root: str, vocabulary: str, end_id: int =
                 before += count
         yield from end()
 
-    index = materialize(encoded.mapInArrow(write, _INDEX), "token-index")
+    documents = encoded.where("seq is not null").select("doc_id", "part", "seq", "ids")
+    index = materialize(documents.mapInArrow(write, _INDEX), "token-index")
     drop_table(encoded)
     return index
 
