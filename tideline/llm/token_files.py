@@ -219,8 +219,21 @@ def _encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 
 
 def id_counts(encoded: DataFrame) -> DataFrame:
-    """(id, n) over all documents; one row for each id that occurs."""
-    return encoded.select(F.posexplode("counts").alias("id", "n")).where("n > 0").groupBy("id").agg(F.sum("n").alias("n"))
+    """(id, n) over all documents; one row for each id that occurs. A task adds up its parts' counts first."""
+
+    def run(batches):
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for counts in batch.column(0):
+                c = np.array(counts.values)
+                c, total = (c, total) if len(c) > len(total) else (total.copy(), c)
+                c[: len(total)] += total
+                total = c
+        at = np.flatnonzero(total)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["id", "n"])
+
+    return encoded.where("counts is not null").select("counts").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 _INDEX = "doc_id long, file string, part int, seq long, offset long, length long, before long, n_tokens long"
