@@ -73,6 +73,30 @@ def test_mix_matches_sql(spark, docs):
     assert dict(lines) == {r.doc_id: r.n_removed for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
 
 
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(1, "a", "one two three four")],
+        [(1, "a", "one two three four"), (2, "b", "")],
+        [(1, "a", "one two three four"), (2, "b", None)],
+        [(1, "a", ""), (2, None, None)],
+        [(1, "a", "one"), (2, "b", "one two three four five six seven eight nine ten")],
+        [(i, f"s{i}", " ".join(["w"] * n)) for i, n in enumerate([1, 50, 7, 7, 300, 2, 1])],
+        [(i, "only", " ".join(["w"] * n)) for i, n in enumerate([5, 1, 1, 90, 3])],
+        [(1, None, "a b"), (2, None, "c d e")],
+    ],
+    ids=["one document", "an empty source", "a null text", "no words", "two documents", "a document a source", "one source", "null source"],
+)
+def test_small_mixes_match_sql(spark, rows):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, source VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    want = con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({OP9_SQL})").fetchall()
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert sorted(map(tuple, got)) == [pytest.approx(w, nan_ok=True) for w in sorted(want)]
+    assert sum(r.taken for r in got) <= sum({r.source_size for r in got}) * 3
+
+
 def test_mix_takes_come_near_targets(spark):
     rows = [(i, ("a", "b", "c", None)[min(i % 10, 3)], " ".join(["w"] * (1 + (i * i + i // 10) % 50))) for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")

@@ -40,7 +40,8 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), share: float = 1.0, repeats:
     Every source's documents are shuffled by a hash of seed and id and queued up to
     `repeats` times over. A copy's virtual finish time is the source's cumulative words
     up to its end, divided by the source's target. All copies in order of finish time,
-    cut where their words reach the sum of the targets, are the mix. Prefix sums run
+    cut where their words reach the sum of the targets, are the mix; copies that finish
+    at 2 or later, whose source would have twice its target, are never in it. Prefix sums run
     over fixed buckets of the hash, so that no source is ordered in one task; only the
     cut's place in virtual time (one row) reaches the driver.
 
@@ -71,7 +72,7 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), share: float = 1.0, repeats:
     budget = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("b")).first()["b"]
     over = ticks.where(F.col("upto") > F.lit(budget)).orderBy("tick").limit(1).first()
     if over is None:
-        taken = lambda at: F.lit(True)
+        taken = lambda at: at < 2
     else:
         cut = copies.where(F.col("tick") == over["tick"]).withColumn("upto", F.lit(over["upto"] - over["words"]) + F.sum("size").over(Window.orderBy("at", "h", "doc_id")))
         last = cut.where(F.col("upto") <= F.lit(budget)).agg(F.max(F.struct("at", "h")).alias("k")).first()["k"]
