@@ -15,6 +15,7 @@ from tideline.llm.pieces import encode_pieces
 from tideline.llm.quality import quality
 from tideline.llm.suffixes import remove_repeats
 from tideline.llm.token_files import token_files
+from tideline.llm.vector_codes import vector_codes
 from tideline.llm.warc import header_text, page_records, resolve_revisits
 
 
@@ -68,6 +69,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def queries() -> dict:
     return {
         "op1_near_duplicates": op1_near_duplicates,
@@ -80,6 +85,7 @@ def queries() -> dict:
         "op8_resolve_revisits": op8_resolve_revisits,
         "op9_mix_sources": op9_mix_sources,
         "op10_quality": op10_quality,
+        "op11_vector_codes": op11_vector_codes,
     }
 
 
@@ -143,5 +149,37 @@ SELECT c.doc_id, c.size, c.source_size, c.target, coalesce(t.taken, 0) AS taken
 """
 
 
+def _near_sql(books: str) -> str:
+    """(vec_id, part, x, d, entry): the nearest entry of each part in `books`, ties to the lower index."""
+    return f"""SELECT vec_id, part, any_value(x) AS x, min({{'d': d, 'e': entry}}) AS n FROM (
+      SELECT p.vec_id, p.part, p.x, b.entry, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+      FROM p JOIN {books} b ON p.part = b.part) GROUP BY vec_id, part"""
+
+
+def _mean_sql(near: str, books: str) -> str:
+    """Entries at the floor of the mean of the parts that `near` gave them."""
+    return f"""SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM {books} b LEFT JOIN (
+      SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+        SELECT part, n.e AS entry, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM {near}, unnest(range(1, len(x) + 1)) AS u(i) GROUP BY ALL)
+      GROUP BY part, entry) m ON b.part = m.part AND b.entry = m.entry"""
+
+
+OP11_SQL = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, part, list_slice(q, part * (len(q) // 16) + 1, (part + 1) * (len(q) // 16)) AS x FROM v, unnest(range(16)) AS t(part)),
+b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p QUALIFY entry < 64),
+n0 AS MATERIALIZED ({_near_sql("b0")}),
+b1 AS MATERIALIZED ({_mean_sql("n0", "b0")}),
+n1 AS MATERIALIZED ({_near_sql("b1")}),
+b2 AS MATERIALIZED ({_mean_sql("n1", "b1")}),
+n2 AS MATERIALIZED ({_near_sql("b2")}),
+c AS (SELECT vec_id, string_agg(printf('%02x', n.e), '' ORDER BY part) AS code, CAST(sum(n.d) AS BIGINT) AS error FROM n2 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2),
+l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM c JOIN v USING (vec_id) GROUP BY label)
+SELECT c.vec_id, code, error, label_error, codebooks_sha256 FROM c JOIN v USING (vec_id) JOIN l ON l.label IS NOT DISTINCT FROM v.label, h
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL, "op8_resolve_revisits": OP8_SQL, "op9_mix_sources": OP9_SQL}
+    return {"op6_line_dedup": OP6_SQL, "op8_resolve_revisits": OP8_SQL, "op9_mix_sources": OP9_SQL, "op11_vector_codes": OP11_SQL}
