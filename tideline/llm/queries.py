@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.llm.alignment import align_tokens
 from tideline.llm.common import read_table
 from tideline.llm.embeddings import similar_vectors
 from tideline.llm.line_dedup import dedup_lines
@@ -73,6 +74,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+def op12_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     return {
         "op1_near_duplicates": op1_near_duplicates,
@@ -86,6 +91,7 @@ def queries() -> dict:
         "op9_mix_sources": op9_mix_sources,
         "op10_quality": op10_quality,
         "op11_vector_codes": op11_vector_codes,
+        "op12_align_tokens": op12_align_tokens,
     }
 
 
