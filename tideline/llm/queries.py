@@ -15,6 +15,7 @@ from tideline.llm.mixing import mix_sources
 from tideline.llm.pieces import encode_pieces
 from tideline.llm.quality import quality
 from tideline.llm.suffixes import remove_repeats
+from tideline.llm.token_counts import token_counts
 from tideline.llm.token_files import token_files
 from tideline.llm.vector_codes import vector_codes
 from tideline.llm.warc import header_text, page_records, resolve_revisits
@@ -78,6 +79,10 @@ def op12_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
     return {
         "op1_near_duplicates": op1_near_duplicates,
@@ -92,6 +97,7 @@ def queries() -> dict:
         "op10_quality": op10_quality,
         "op11_vector_codes": op11_vector_codes,
         "op12_align_tokens": op12_align_tokens,
+        "op13_token_counts": op13_token_counts,
     }
 
 
