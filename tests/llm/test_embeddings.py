@@ -49,6 +49,26 @@ def test_both_sides_of_a_border_count_their_links(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (n[i], comp[i]) for i in ids}
 
 
+def shaped(kind, n=900, length=64):
+    rng = np.random.default_rng(9)
+    if kind == "circle":
+        turn, plane = rng.uniform(0, 2 * np.pi, n), np.linalg.qr(rng.normal(size=(length, 2)))[0]
+        return np.stack([np.cos(turn), np.sin(turn)], axis=1) @ plane.T + rng.normal(size=(n, length)) * 0.01
+    if kind == "half circle and noise":
+        return np.concatenate([shaped("circle", n // 2), rng.normal(size=(n - n // 2, length))])
+    return rng.normal(size=(n, int(kind))) @ rng.normal(size=(int(kind), length))
+
+
+@pytest.mark.parametrize("kind", ["circle", "half circle and noise", "2", "4", "8", "64"])
+def test_no_link_is_lost_however_vectors_lie(spark, kind):
+    """Long vectors near a circle or of low rank: their differences lie along the directions that part the lists."""
+    x = shaped(kind).astype(np.float32)
+    label = (np.arange(len(x)) % 10 == 0).astype(int)
+    linked = (unit(x.astype(float)) @ unit(x.astype(float)).T >= 0.93) & (label[:, None] == label)
+    got = {r.vec_id: r.n_links for r in similar_vectors(table(spark, [(i, v.tolist(), int(k), 0, 0, 0) for i, (v, k) in enumerate(zip(x, label, strict=True))])).collect()}
+    assert [got[i] for i in range(len(x))] == (linked.sum(axis=1) - 1).tolist()
+
+
 def test_odd_vectors(spark):
     v = [1.0] + [0.0] * 7
     rows = [(1, v, 1, 0, 0, 0), (2, v, 1, 0, 0, 0), (3, None, 1, 0, 0, 0), (4, [0.0] * 8, 1, 0, 0, 0), (5, [float("nan")] + v[1:], 1, 0, 0, 0), (6, [None, *v[1:]], 1, 0, 0, 0), (7, v, None, 0, 0, 0), (8, v, 2, 0, 0, 0), (None, v, 1, 0, 0, 0), (9, [1.0], 1, 0, 0, 0), (2, v, 1, 0, 0, 0), (10, [float("inf")] + v[1:], 1, 0, 0, 0)]

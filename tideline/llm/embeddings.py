@@ -108,21 +108,22 @@ class Models(dict):
         return Quantiser.single(length)
 
 
-def reach(least: float, length: int, sigmas: float) -> float:
+def reach(least: float, length: int, sigmas: float | None) -> float:
     """How far from a vector lists are probed.
 
     The distance r of a linked pair in two lists is at least the sum of both ways to the
     plane between them, so that one way is at most r / 2: no pair is lost at that reach.
-    The pair's difference has about r / sqrt(length) of its own length along the plane's
-    normal unless it is made for it, so `sigmas` of those are enough where vectors are long.
+    With `sigmas`, only so many deviations of a random difference's share along the plane's
+    normal are probed, which is less for long vectors and loses links of others: vectors
+    near a circle or of low rank differ in the very directions that part the lists.
     """
-    return float(np.sqrt(2 - 2 * least)) / 2 * min(1.0, sigmas / np.sqrt(length))
+    return float(np.sqrt(2 - 2 * least)) / 2 * (1.0 if sigmas is None else min(1.0, sigmas / np.sqrt(length)))
 
 
 _INDEX = "vec_id long, label long, length int, times long, vec binary, cell int, codes binary, err double, probes array<int>"
 
 
-def _index(models: Models, least: float, sigmas: float, wide: bool):
+def _index(models: Models, least: float, sigmas: float | None, wide: bool):
     kind = np.float64 if wide else np.float32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +199,7 @@ def _meet(models: Models, least: float, wide: bool, step: int = 256):
     return run
 
 
-def similar_vectors(vectors: DataFrame, least: float = 0.93, sigmas: float = 5.0, fit_rows: int = FIT_ROWS, chunk: int = CHUNK, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def similar_vectors(vectors: DataFrame, least: float = 0.93, sigmas: float | None = None, fit_rows: int = FIT_ROWS, chunk: int = CHUNK, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every vector.
 
     Equal vectors of a label are one class, which its least id stands for and which
@@ -207,14 +208,12 @@ def similar_vectors(vectors: DataFrame, least: float = 0.93, sigmas: float = 5.0
     every class is indexed and every class is a query. There are as many lists as the
     root of the largest label's classes, at most fit_rows / FIT_LIST.
 
-    A query probes each list whose region is within reach() of it: half the distance r
-    that the least cosine leaves two unit vectors, as one of a linked pair in two lists is
-    so near the border, or less in many dimensions. A pair meets where either probes the
-    other's list; met once, both count it. With sigmas over the root of the length no link
-    can be lost; the default loses one if its vectors' difference lies five deviations
-    towards another list, 6e-7 for differences of any direction, and none of up to 25
-    dimensions. Of a list all vectors whose table-lookup distance is within r and their
-    own coding error get the exact cosine, in double precision: the codes lose nothing.
+    A query probes each list whose region is within half the distance r that the least
+    cosine leaves two unit vectors, as one of a linked pair in two lists is so near the
+    border: no link is lost, however the vectors lie. A pair meets where either probes the
+    other's list; met once, both count it. Of a list all vectors whose table-lookup distance
+    is within r and their own coding error get the exact cosine, in double precision: the
+    codes lose nothing either. `sigmas` probes less and may lose links, see reach().
 
     Lists and queries meet in chunks of about `chunk` rows, each pair of chunks a task's
     group; links are counted there and leave as a count and a least id for each vector.
