@@ -85,6 +85,13 @@ def test_windows_around_a_day(spark):
     assert sorted(x.ret for x in rolling.window_samples(r, dates, 3).collect()) == [2, 4, 8, 16]  # today and three before
 
 
+def day_pairs(rows, *group):
+    """Returns of each ordered pair of assets on the same day, by a join: the plain form of co_moments()."""
+    on = ["day", *group]
+    a = rows.select(*on, F.col("asset").alias("asset_i"), F.col("ret").alias("x"))
+    return a.join(rows.select(*on, F.col("asset").alias("asset_j"), F.col("ret").alias("y")), on)
+
+
 def test_running_sums_are_those_of_the_samples(spark):
     """Against every sample laid out: late assets, nulls, positions that some assets lack, a first sample from the start."""
     rng = np.random.default_rng(4)
@@ -93,7 +100,7 @@ def test_running_sums_are_those_of_the_samples(spark):
     dates = spark.createDataFrame([(day(n), n) for n in (20, 33, 34, 59)], "rebalance_date date, loc long")
     sample = rolling.window_samples(r, dates, 20)
     want_mu = {(x.rebalance_date, x.asset): x.mu for x in sample.groupBy("rebalance_date", "asset").agg(F.avg("ret").alias("mu")).collect()}
-    plain = moments.pairs(sample.where("ret is not null"), "rebalance_date").groupBy("rebalance_date", "asset_i", "asset_j").agg(F.covar_samp("x", "y").alias("cov"))
+    plain = day_pairs(sample.where("ret is not null"), "rebalance_date").groupBy("rebalance_date", "asset_i", "asset_j").agg(F.covar_samp("x", "y").alias("cov"))
     near = lambda df: {(x.rebalance_date, x.asset_i, x.asset_j): x.cov for x in df.collect()}
     for shrink, want in ((False, plain), (True, moments.shrunk_cov(sample, 1, ("rebalance_date",)))):
         mu, cov = rolling.window_moments(r, dates, 20, 1, shrink)

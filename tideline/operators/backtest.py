@@ -57,7 +57,7 @@ def walk_forward(returns: DataFrame, book: Portfolio, p: ModelParams = ModelPara
     first = start or dict.fromkeys(assets, 1 / len(assets))
     r = returns.where(F.col("asset").isin(assets))
     dates = eligible_dates(r, p.walk_window, p.walk_freq)
-    mu, cov = window_moments(r, dates, p.walk_window, p.trading_days, shrink)
+    mu, cov = window_moments(r, dates, p.walk_window, p.trading_days, shrink, assets)
     rows = cov.unionByName(mu.select("rebalance_date", F.col("asset").alias("asset_i"), F.lit(None).cast("string").alias("asset_j"), F.col("mu").alias("cov")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

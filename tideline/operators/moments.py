@@ -1,39 +1,30 @@
-"""Annualised means and covariances, shrunk by Ledoit and Wolf's formula, as aggregations."""
+"""Annualised means and covariances, shrunk by Ledoit and Wolf's formula, from merged co-moments."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.operators.gram import co_moments
+
 
 def annual_mean(returns: DataFrame, days: int = 252) -> DataFrame:
     """(asset, mu): mean return, missing ones skipped, times days."""
     return returns.groupBy("asset").agg((F.avg("ret") * days).alias("mu"))
 
 
-def pairs(returns: DataFrame, *group: str) -> DataFrame:
-    """Returns of each ordered pair of assets on the same day (or position in a group)."""
-    on = ["day", *group]
-    a = returns.select(*on, F.col("asset").alias("asset_i"), F.col("ret").alias("x"))
-    b = returns.select(*on, F.col("asset").alias("asset_j"), F.col("ret").alias("y"))
-    return a.join(b, on)
-
-
-def sample_cov(returns: DataFrame, days: int = 252) -> DataFrame:
-    """(asset_i, asset_j, cov) over the days that both assets have, with n - 1, times days."""
-    return pairs(returns.where("ret is not null")).groupBy("asset_i", "asset_j").agg((F.covar_samp("x", "y") * days).alias("cov"))
+def sample_cov(returns: DataFrame, days: int = 252, assets: list[str] | None = None) -> DataFrame:
+    """(asset_i, asset_j, cov) over the days that both assets have, with n - 1, times days; null for a single day."""
+    both = co_moments(returns.where("ret is not null"), assets=assets)
+    return both.select("asset_i", "asset_j", (F.try_divide("c", F.col("n") - 1) * days).alias("cov"))
 
 
-def shrinkage_parts(returns: DataFrame, *group: str) -> DataFrame:
-    """(asset_i, asset_j, s, b): covariance over n of the centred returns, and the sum that the error of s is made of.
+def shrinkage_parts(returns: DataFrame, *group: str, assets: list[str] | None = None) -> DataFrame:
+    """(asset_i, asset_j, s, q, n): covariance over n of the centred returns, and the mean square of their products, of which the error of s is made.
 
     A missing return is 0 before centring.
     """
-    filled = returns.withColumn("ret", F.coalesce("ret", F.lit(0.0)))
-    mean = filled.groupBy(*group, "asset").agg(F.avg("ret").alias("mean"))
-    centred = filled.join(F.broadcast(mean), [*group, "asset"]).withColumn("ret", F.col("ret") - F.col("mean"))
-    square = F.col("x") * F.col("x") * F.col("y") * F.col("y")
-    return pairs(centred, *group).groupBy(*group, "asset_i", "asset_j").agg(F.avg(F.col("x") * F.col("y")).alias("s"), F.avg(square).alias("q"), F.count(F.lit(1)).alias("n"))
+    return co_moments(returns, group, assets, fourth=True).select(*group, "asset_i", "asset_j", "s", "q", "n")
 
 
 def shrinkage(parts: DataFrame, *group: str) -> DataFrame:
@@ -45,9 +36,9 @@ def shrinkage(parts: DataFrame, *group: str) -> DataFrame:
     return out.select(*group, "m", F.when(b2 == 0, 0.0).otherwise(F.coalesce(F.try_divide(b2, d2), F.lit(0.0))).alias("delta"))
 
 
-def shrunk_cov(returns: DataFrame, days: int = 252, group: tuple[str, ...] = ()) -> DataFrame:
+def shrunk_cov(returns: DataFrame, days: int = 252, group: tuple[str, ...] = (), assets: list[str] | None = None) -> DataFrame:
     """(asset_i, asset_j, cov) shrunk towards a multiple of the identity, times days."""
-    parts = shrinkage_parts(returns, *group)
+    parts = shrinkage_parts(returns, *group, assets=assets)
     return shrunk(parts, shrinkage(parts, *group), days, group)
 
 
@@ -58,12 +49,12 @@ def shrunk(parts: DataFrame, level: DataFrame, days: int = 252, group: tuple[str
     return joined.select(*group, "asset_i", "asset_j", (((1 - F.col("delta")) * F.col("s") + target) * days).alias("cov"))
 
 
-def covariance(returns: DataFrame, days: int = 252, use_shrinkage: bool = False, method: str = "ledoit_wolf") -> DataFrame:
+def covariance(returns: DataFrame, days: int = 252, use_shrinkage: bool = False, method: str = "ledoit_wolf", assets: list[str] | None = None) -> DataFrame:
     if use_shrinkage and method not in ("ledoit_wolf", "sample_cov"):
         raise ValueError(f"unknown shrinkage {method!r}")
-    return shrunk_cov(returns, days) if use_shrinkage and method == "ledoit_wolf" else sample_cov(returns, days)
+    return shrunk_cov(returns, days, assets=assets) if use_shrinkage and method == "ledoit_wolf" else sample_cov(returns, days, assets)
 
 
-def mean_cov(returns: DataFrame, days: int = 252, use_shrinkage: bool = False, method: str = "ledoit_wolf") -> tuple[DataFrame, DataFrame]:
+def mean_cov(returns: DataFrame, days: int = 252, use_shrinkage: bool = False, method: str = "ledoit_wolf", assets: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """((asset, mu), (asset_i, asset_j, cov)), both annualised."""
-    return annual_mean(returns, days), covariance(returns, days, use_shrinkage, method)
+    return annual_mean(returns, days), covariance(returns, days, use_shrinkage, method, assets)

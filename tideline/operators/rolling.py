@@ -2,10 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tideline.operators.gram import window_co_moments
+from tideline.operators.moments import shrinkage, shrunk
+
+
+def window_states(rows: DataFrame, window: int, key: str = "asset", loc: str = "loc", value: str = "ret") -> DataFrame:
+    """(key, loc, n, mean, m2) of the `window` positions before each row: known values, their mean, and the squares of what deviates from it.
+
+    Positions are cut into stretches of `window`; what lies before a row is the end of one
+    stretch and the start of the next. Both are running aggregates inside a stretch, one
+    from its start and one from its end, and a row's two halves are merged: nothing is
+    subtracted, every row is read twice however long the window, and a task takes a
+    stretch of one key, not its history.
+    """
+    at, here = F.col(loc), F.floor(F.col(loc) / window)
+    mine = rows.select(key, here.alias("stretch"), at.alias("at"), F.col(value).cast("double").alias("v"), at.alias("loc"))
+    # what asks for the half in the stretch before stands at the first position of its window
+    asks = rows.select(key, (here - 1).alias("stretch"), (at - window).alias("at"), F.lit(None).cast("double").alias("v"), at.alias("loc"))
+    every = mine.withColumn("asks", F.lit(False)).union(asks.withColumn("asks", F.lit(True)))
+    by = Window.partitionBy(key, "stretch")
+    state = lambda w: F.struct(F.count("v").over(w).alias("n"), F.avg("v").over(w).alias("mean"), (F.var_pop("v").over(w) * F.count("v").over(w)).alias("m2"))
+    onward = state(by.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    before = state(by.orderBy("at").rangeBetween(Window.unboundedPreceding, -1))
+    half = every.select(key, "loc", F.when(F.col("asks"), onward).otherwise(before).alias("s")).select(key, "loc", "s.*")
+    n, mean = F.sum("n"), F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n"))
+    # of two halves the product of their counts is what the square of the sum has beyond the squares
+    apart = F.coalesce(F.max("mean") - F.min("mean"), F.lit(0.0))
+    m2 = F.coalesce(F.sum("m2"), F.lit(0.0)) + apart * apart * F.coalesce(F.try_divide((n * n - F.sum(F.col("n") * F.col("n"))) / 2, n), F.lit(0.0))
+    return half.groupBy(key, "loc").agg(n.alias("n"), mean.alias("mean"), m2.alias("m2"))
+
 
 def rolling_statistics(returns: DataFrame, window: int = 1260, days: int = 252) -> DataFrame:
     """(day, return, vol) from position `window` on, over the `window` days before that day.
@@ -13,10 +42,11 @@ def rolling_statistics(returns: DataFrame, window: int = 1260, days: int = 252)
     return is the mean of the assets' annual means; vol the root of their mean annual
     variance, correlation aside, and null if any asset's variance is.
     """
-    w = Window.partitionBy("asset").orderBy("loc").rowsBetween(-window, -1)
-    s = returns.select("day", "loc", "asset", (F.avg("ret").over(w) * days).alias("m"), (F.var_samp("ret").over(w) * days).alias("v")).where(F.col("loc") >= window)
+    s = window_states(returns, window).where(F.col("loc") >= window)
+    s = s.select("loc", (F.col("mean") * days).alias("m"), (F.when(F.col("n") > 1, F.col("m2") / (F.col("n") - 1)) * days).alias("v"))
     whole = F.count("v") == F.count(F.lit(1))
-    return s.groupBy("day").agg(F.avg("m").alias("return"), F.when(whole, F.sqrt(F.avg("v"))).alias("vol"))
+    s = s.groupBy("loc").agg(F.avg("m").alias("return"), F.when(whole, F.sqrt(F.avg("v"))).alias("vol"))
+    return s.join(returns.select("loc", "day").distinct(), "loc").select("day", "return", "vol")
 
 
 def rebalance_dates(days: DataFrame, freq: str = "M") -> DataFrame:
@@ -41,39 +71,34 @@ def window_samples(returns: DataFrame, dates: DataFrame, window: int = 756) -> D
     return returns.join(at, "loc")
 
 
-def window_sums(rows: DataFrame, dates: DataFrame, window: int, keys: list[str], sums: dict[str, Column]) -> DataFrame:
-    """(rebalance_date, keys, sums) over the rows whose loc lies in each date's sample.
+def window_means(returns: DataFrame, dates: DataFrame, window: int) -> DataFrame:
+    """(rebalance_date, asset, mean) of each date's sample; null for an asset whose rows in it are all null.
 
-    Every row is summed once into running sums; a date asks for them at its own position
-    and just before its sample. The asking rows, two for each date and key, go through
-    the same window as the data, so no sample is copied and gaps in loc do no harm.
+    As window_states(), for the samples of the dates alone: rows that ask for one of a
+    sample's halves go through the running sums of its stretch.
     """
-    rows = rows.select("loc", *keys, *[c.alias(n) for n, c in sums.items()])
-    ask = dates.select("rebalance_date", F.explode(F.array(F.struct(F.col("loc").alias("at"), F.lit(1.0).alias("sign")), F.struct((F.col("loc") - window - 1).alias("at"), F.lit(-1.0).alias("sign")))).alias("a"))
-    ask = rows.select(*keys).distinct().join(F.broadcast(ask.select("rebalance_date", "a.*")))
-    every = rows.unionByName(ask.select(F.col("at").alias("loc"), *keys, *[F.lit(0.0).alias(n) for n in sums], "rebalance_date", "sign"), allowMissingColumns=True)
-    upto = Window.partitionBy(*keys).orderBy("loc").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    every = every.select(*keys, "rebalance_date", "sign", *[F.sum(n).over(upto).alias(n) for n in sums]).where("rebalance_date is not null")
-    return every.groupBy("rebalance_date", *keys).agg(*[F.sum(F.col("sign") * F.col(n)).alias(n) for n in sums])
-
-
-def window_moments(returns: DataFrame, dates: DataFrame, window: int = 756, days: int = 252, shrink: bool = False) -> tuple[DataFrame, DataFrame]:
-    """((rebalance_date, asset, mu), (rebalance_date, asset_i, asset_j, cov)) of every sample, from running sums."""
-    from tideline.operators.moments import pairs, shrinkage, shrunk
-
-    known, x, y = F.col("ret").isNotNull().cast("double"), F.col("x"), F.col("y")
-    mu = window_sums(returns, dates, window, ["asset"], {"rows": F.lit(1.0), "n": known, "s": F.coalesce("ret", F.lit(0.0))}).where("rows > 0.5")
-    mu = mu.select("rebalance_date", "asset", (F.try_divide("s", "n") * days).alias("mu"))
-    keys, a, b, n = ["asset_i", "asset_j"], F.col("a"), F.col("b"), F.col("n")
+    length = window + 1
+    stretch = lambda c: F.floor(c / length)
+    rows = returns.select("asset", stretch(F.col("loc")).alias("stretch"), F.col("loc").cast("long").alias("at"), F.col("ret").cast("double").alias("v"), F.lit(1).alias("one"))
+    ends = dates.select("rebalance_date", F.col("loc").cast("long").alias("at"), F.lit(True).alias("upto"))
+    begins = ends.select("rebalance_date", (F.col("at") - window).alias("at"), F.lit(False).alias("upto")).where(F.pmod("at", F.lit(length)) != 0)
+    asks = ends.union(begins).withColumn("stretch", stretch(F.col("at")))
+    asks = rows.select("asset", "stretch").distinct().join(asks, "stretch")
+    every = rows.unionByName(asks, allowMissingColumns=True)
+    by = Window.partitionBy("asset", "stretch")
+    state = lambda w: F.struct(F.count("one").over(w).alias("rows"), F.count("v").over(w).alias("n"), F.sum("v").over(w).alias("s"))
+    up, down = (state(by.orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow)) for o in (F.asc("at"), F.desc("at")))
+    half = every.select("rebalance_date", "asset", F.when(F.col("upto"), up).otherwise(down).alias("h")).where("rebalance_date is not null").select("rebalance_date", "asset", "h.*")
+    return half.groupBy("rebalance_date", "asset").agg(F.sum("rows").alias("rows"), F.try_divide(F.sum("s"), F.sum("n")).alias("mean")).where("rows > 0").drop("rows")
+
+
+def window_moments(returns: DataFrame, dates: DataFrame, window: int = 756, days: int = 252, shrink: bool = False, assets: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """((rebalance_date, asset, mu), (rebalance_date, asset_i, asset_j, cov)) of every sample, from states merged from both of its ends."""
+    mu = window_means(returns, dates, window).select("rebalance_date", "asset", (F.col("mean") * days).alias("mu"))
+    parts = window_co_moments(returns if shrink else returns.where("ret is not null"), dates, window, assets, fourth=shrink)
     if not shrink:
-        s = window_sums(pairs(returns.where("ret is not null"), "loc"), dates, window, keys, {"n": F.lit(1.0), "a": x, "b": y, "ab": x * y}).where("n > 0.5")
-        return mu, s.select("rebalance_date", *keys, (F.try_divide(F.col("ab") - a * b / n, n - 1) * days).alias("cov"))
-    filled = pairs(returns.withColumn("ret", F.coalesce("ret", F.lit(0.0))), "loc")
-    s = window_sums(filled, dates, window, keys, {"n": F.lit(1.0), "a": x, "b": y, "ab": x * y, "aa": x * x, "bb": y * y, "aab": x * x * y, "abb": x * y * y, "aabb": x * x * y * y}).where("n > 0.5")
-    # means of the products, and from them those of the centred returns
-    s = s.select("rebalance_date", *keys, "n", *[(F.col(c) / n).alias(c) for c in ("a", "b", "ab", "aa", "bb", "aab", "abb", "aabb")])
-    q = F.col("aabb") - 2 * b * F.col("aab") - 2 * a * F.col("abb") + b * b * F.col("aa") + a * a * F.col("bb") + 4 * a * b * F.col("ab") - 3 * a * a * b * b
-    parts = s.select("rebalance_date", *keys, (F.col("ab") - a * b).alias("s"), q.alias("q"), "n")
+        return mu, parts.select("rebalance_date", "asset_i", "asset_j", (F.try_divide("c", F.col("n") - 1) * days).alias("cov"))
+    parts = parts.select("rebalance_date", "asset_i", "asset_j", "s", "q", "n")
     return mu, shrunk(parts, shrinkage(parts, "rebalance_date"), days, ("rebalance_date",))
 
 

@@ -54,7 +54,7 @@ class Inputs:
 
     @cached_property
     def cov(self) -> DataFrame:
-        return settle(moments.shrunk_cov(self.mine))
+        return settle(moments.shrunk_cov(self.mine, assets=BOOK.assets))
 
     @cached_property
     def bl_mu(self) -> DataFrame:
@@ -114,10 +114,10 @@ QUERIES = {
     "prices_densified": lambda i: i.panel,
     "returns_daily": lambda i: i.every,
     "annualized_mean": lambda i: i.mu,
-    "sample_cov": lambda i: moments.sample_cov(i.mine),
-    "lw_moments": lambda i: moments.shrinkage_parts(i.mine).select("asset_i", "asset_j", (F.col("s") * 1e4).alias("s"), (F.col("q") * 1e8).alias("q"), "n"),
-    "lw_delta": lambda i: moments.shrinkage(moments.shrinkage_parts(i.mine)).select((F.col("m") * 1e4).alias("m"), "delta"),
-    "lw_cov": lambda i: moments.shrunk_cov(i.mine),
+    "sample_cov": lambda i: moments.sample_cov(i.mine, assets=BOOK.assets),
+    "lw_moments": lambda i: moments.shrinkage_parts(i.mine, assets=BOOK.assets).select("asset_i", "asset_j", (F.col("s") * 1e4).alias("s"), (F.col("q") * 1e8).alias("q"), "n"),
+    "lw_delta": lambda i: moments.shrinkage(moments.shrinkage_parts(i.mine, assets=BOOK.assets)).select((F.col("m") * 1e4).alias("m"), "delta"),
+    "lw_cov": lambda i: moments.shrunk_cov(i.mine, assets=BOOK.assets),
     "implied_returns": lambda i: bayes.implied_returns(i.cov, BOOK.market),
     "bl_single_view": lambda i: bayes.posterior(i.cov, BOOK.assets, BOOK.market, views={"LARGE": (0.12, 0.3)}),
     "mu_compare": lambda i: bayes.compare_mu(i.mu.withColumnRenamed("mu", "hist_mu"), bayes.implied_returns(i.cov, BOOK.market), moments.annual_mean(i.every).withColumnRenamed("mu", "all_mu")),
@@ -144,16 +144,16 @@ QUERIES = {
     "rolling_stats": lambda i: rolling.rolling_statistics(i.mine),
     "rebalance_dates": lambda i: rolling.rebalance_dates(i.mine),
     "eligible_dates": lambda i: i.dates,
-    "wf_window_moments": lambda i: rolling.window_moments(i.mine, i.dates)[1],
-    "wf_window_mean": lambda i: rolling.window_moments(i.mine, i.dates)[0],
+    "wf_window_moments": lambda i: rolling.window_moments(i.mine, i.dates, assets=BOOK.assets)[1],
+    "wf_window_mean": lambda i: rolling.window_moments(i.mine, i.dates, assets=BOOK.assets)[0],
     "asof_weights": lambda i: rolling.asof_weights(i.mine, i.history).select("day", "asset", "weight"),
     "wf_series_fixed_policy": lambda i: rolling.history_series(i.mine, i.history),
     "growth_frame": lambda i: returns.growth_frame({"portfolio": i.series, "MKT": i.bench}, {"walkforward_portfolio": rolling.history_series(i.mine, i.history)}),
     "benchmark_on_days": lambda i: returns.on_days_of(i.bench, rolling.history_series(i.mine, i.history)),
     "stored_quotes": lambda i: read_prices(i.spark, f"{i.sf_dir}/events.parquet", ["click", "purchase", "view"], *QUOTES, day="ts", asset="event_type", close="value"),
     "printed_summary": lambda i: printed(performance.summary_table(i.series, i.bench)),
-    "wf_shrunk_cov": lambda i: rolling.window_moments(i.mine, i.dates, shrink=True)[1],
-    "diagnostics_fixed_policy": lambda i: backtest.policy_diagnostics(i.history, *rolling.window_moments(i.mine, i.dates), BOOK.weights),
+    "wf_shrunk_cov": lambda i: rolling.window_moments(i.mine, i.dates, shrink=True, assets=BOOK.assets)[1],
+    "diagnostics_fixed_policy": lambda i: backtest.policy_diagnostics(i.history, *rolling.window_moments(i.mine, i.dates, assets=BOOK.assets), BOOK.weights),
     "cml_given_frontier": lambda i: optimize.capital_market_line(risk.portfolio_stats(i.target, i.mu, i.cov), i.mine.groupBy("asset").agg((F.stddev_samp("ret") * 252**0.5).alias("vol")), performance.benchmark_point(i.bench)),
     "bl_posterior": lambda i: bayes.posterior(i.cov, BOOK.assets, BOOK.market, views=BOOK.absolute_views, relative_views=()),
     "ff3_regression": lambda i: factors.regress(i.series, i.factors, "FF3 "),

@@ -18,7 +18,7 @@ from tideline.operators.returns import asset_series, daily_returns, densify, dra
 def _inputs(prices: DataFrame, book: Portfolio, p: ModelParams):
     returns = daily_returns(densify(require(prices, book.universe), book.universe)).cache()
     mine = returns.where(F.col("asset").isin(book.assets))
-    hist, cov = mean_cov(mine, p.trading_days, p.use_shrinkage, p.shrinkage)
+    hist, cov = mean_cov(mine, p.trading_days, p.use_shrinkage, p.shrinkage, book.assets)
     hist, cov = settle(hist), settle(cov)
     if p.use_black_litterman:
         both = settle(bayes.posterior(cov, book.assets, book.market, p.risk_aversion, p.tau, book.absolute_views, book.relative_views))
