@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-
-def upto(*by: str, order: str = "day"):
-    return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+from tideline.functions.shared import stored
+from tideline.operators.scan import SPAN, growth_scan, scan
 
 
 def densify(prices: DataFrame, assets: list[str]) -> DataFrame:
@@ -18,17 +16,17 @@ def densify(prices: DataFrame, assets: list[str]) -> DataFrame:
     return by_day.select("day", "m", F.explode(F.array(*map(F.lit, assets))).alias("asset")).select("day", "asset", F.try_element_at("m", F.col("asset")).alias("close"))
 
 
-def daily_returns(panel: DataFrame) -> DataFrame:
+def daily_returns(panel: DataFrame, span: int = SPAN) -> DataFrame:
     """(day, loc, asset, ret): change on the last known price; days without any return go.
 
     A gap counts as no change and the next price spans it; before its second price an
-    asset's ret is null. loc numbers the days that stay from 0.
+    asset's ret is null. loc numbers the days that stay from 0. Last prices and numbers
+    are running aggregates over spans of days, so no task takes an asset's history. The
+    returns are written to the shared folder, as all that follows reads them several times.
     """
-    filled = panel.withColumn("close", F.last("close", ignorenulls=True).over(upto("asset")))
-    prev = F.lag("close").over(Window.partitionBy("asset").orderBy("day"))
-    r = filled.withColumn("prev", prev).select("day", "asset", (F.try_divide("close", "prev") - 1).alias("ret"))
-    days = r.where("ret is not null").select("day").distinct()
-    days = days.select("day", (F.row_number().over(Window.orderBy("day")) - 1).cast("long").alias("loc"))
+    r = scan(panel, ["asset"], "day", {"prev": ("last", F.col("close"))}, before=True, span=span)
+    r = stored(r.select("day", "asset", (F.try_divide(F.coalesce("close", "prev"), "prev") - 1).alias("ret")), "returns")
+    days = scan(r.where("ret is not null").select("day").distinct(), [], "day", {"loc": ("count", F.lit(1))}, before=True, span=span)
     return r.join(F.broadcast(days), "day").select("day", "loc", "asset", "ret")
 
 
@@ -58,15 +56,17 @@ def asset_series(returns: DataFrame, asset: str, name: str | None = None) -> Dat
     return returns.where(F.col("asset") == asset).select("day", F.lit(name or asset).alias("series"), "ret")
 
 
-def growth(series: DataFrame, initial: float = 1.0) -> DataFrame:
+def growth(series: DataFrame, initial: float = 1.0, span: int = SPAN) -> DataFrame:
     """(day, series, ret, value): running product of 1 + ret; null on days without a return."""
-    run = F.product(1 + F.col("ret")).over(upto("series"))
-    return series.withColumn("value", F.when(F.col("ret").isNotNull(), initial * run))
+    run = scan(series, ["series"], "day", {"value": ("product", 1 + F.col("ret"))}, span=span)
+    return run.withColumn("value", F.when(F.col("ret").isNotNull(), initial * F.col("value")))
 
 
-def drawdowns(series: DataFrame) -> DataFrame:
+def drawdowns(series: DataFrame, span: int = SPAN) -> DataFrame:
     """growth() with the fall from its highest value so far; the first value is the first peak."""
-    return growth(series).withColumn("drawdown", F.col("value") / F.max("value").over(upto("series")) - 1)
+    run = growth_scan(series, ["series"], "day", 1 + F.col("ret"), span)
+    value = F.when(F.col("ret").isNotNull(), F.col("product"))
+    return run.withColumn("value", value).withColumn("drawdown", F.col("value") / F.col("peak") - 1).drop("product", "peak")
 
 
 def growth_frame(series: dict[str, DataFrame], later: dict[str, DataFrame] | None = None) -> DataFrame:

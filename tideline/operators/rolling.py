@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tideline.operators.gram import window_co_moments
 from tideline.operators.moments import shrinkage, shrunk
+from tideline.operators.scan import scan
 
 
 def window_states(rows: DataFrame, window: int, key: str = "asset", loc: str = "loc", value: str = "ret") -> DataFrame:
@@ -104,9 +105,9 @@ def window_moments(returns: DataFrame, dates: DataFrame, window: int = 756, days
 
 def asof_weights(returns: DataFrame, history: DataFrame) -> DataFrame:
     """(day, asset, ret, weight): each asset's last rebalanced weight up to the day; days before the first are left out."""
-    h = history.select(F.col("rebalance_date").alias("day"), "asset", "weight")
-    filled = F.last("weight", ignorenulls=True).over(Window.partitionBy("asset").orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
-    return returns.join(h, ["day", "asset"], "left").withColumn("weight", filled).where("weight is not null").select("day", "asset", "ret", "weight")
+    h = history.select(F.col("rebalance_date").alias("day"), "asset", F.col("weight").alias("given"))
+    filled = scan(returns.join(h, ["day", "asset"], "left"), ["asset"], "day", {"weight": ("last", F.col("given"))})
+    return filled.where("weight is not null").select("day", "asset", "ret", "weight")
 
 
 def history_series(returns: DataFrame, history: DataFrame, name: str = "walkforward_portfolio") -> DataFrame:

@@ -43,14 +43,29 @@ class Inputs:
         self.spark, self.sf_dir = spark, sf_dir
         self.prices = prices(spark, sf_dir)
         self.panel = returns.densify(self.prices, BOOK.universe)
-        self.every = returns.daily_returns(self.panel)
-        self.mine = self.every.where(F.col("asset").isin(BOOK.assets))
-        self.bench = returns.asset_series(self.every, BOOK.benchmark)
-        self.series = returns.portfolio_series(self.mine, BOOK.weights)
         self.current = literal_table(spark, BOOK.weights)
         self.target = literal_table(spark, PARTS_TARGET)
         self.both = costs.two_weights(self.current, self.target)
-        self.mu = moments.annual_mean(self.mine)
+
+    @cached_property
+    def every(self) -> DataFrame:
+        return returns.daily_returns(self.panel)
+
+    @property
+    def mine(self) -> DataFrame:
+        return self.every.where(F.col("asset").isin(BOOK.assets))
+
+    @property
+    def bench(self) -> DataFrame:
+        return returns.asset_series(self.every, BOOK.benchmark)
+
+    @property
+    def series(self) -> DataFrame:
+        return returns.portfolio_series(self.mine, BOOK.weights)
+
+    @property
+    def mu(self) -> DataFrame:
+        return moments.annual_mean(self.mine)
 
     @cached_property
     def cov(self) -> DataFrame:
