@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tideline.functions.shared import stored
+from tideline.operators.quantiles import quantile_columns
+
 #: Labels of the risk report, in order, with the statistic of each (fixed values).
 REPORT = {
     "Mean Terminal Value": "mean_terminal_value",
@@ -74,20 +77,28 @@ def _share(condition: Column) -> Column:
 
 
 def terminal_stats(ends: DataFrame) -> DataFrame:
-    """One row of statistics of terminal; its thresholds are absolute, whatever the initial value."""
+    """One row of statistics of terminal; its thresholds are absolute, whatever the initial value.
+
+    The quantiles are exact and made when this is called, by counts over ends, which
+    should be a stored table.
+    """
     t = F.col("terminal")
-    q = lambda p: F.percentile(t, F.lit(p))
-    return ends.agg(F.avg(t).alias("mean_terminal_value"), F.median(t).alias("median_terminal_value"), q(0.05).alias("p5_terminal_value"), q(0.25).alias("p25_terminal_value"), q(0.75).alias("p75_terminal_value"), q(0.95).alias("p95_terminal_value"), _share(t < 1).alias("prob_loss"), _share(t >= 2).alias("prob_double"), _share(t >= 5).alias("prob_5x"))
+    q = quantile_columns(ends, "terminal", {"median_terminal_value": 0.5, "p5_terminal_value": 0.05, "p25_terminal_value": 0.25, "p75_terminal_value": 0.75, "p95_terminal_value": 0.95})
+    one = ends.agg(F.avg(t).alias("mean_terminal_value"), _share(t < 1).alias("prob_loss"), _share(t >= 2).alias("prob_double"), _share(t >= 5).alias("prob_5x"))
+    return one.select("mean_terminal_value", *[c.alias(n) for n, c in q.items()], "prob_loss", "prob_double", "prob_5x")
 
 
 def drawdown_stats(ends: DataFrame) -> DataFrame:
-    """One row of statistics of max_drawdown; the worst 95 % is its 5 % quantile."""
+    """One row of statistics of max_drawdown, as terminal_stats(); the worst 95 % is its 5 % quantile."""
     d = F.col("max_drawdown")
-    return ends.agg(F.avg(d).alias("mean_max_drawdown"), F.median(d).alias("median_max_drawdown"), F.percentile(d, F.lit(0.05)).alias("p95_worst_drawdown"), _share(d <= -0.30).alias("prob_drawdown_30"), _share(d <= -0.50).alias("prob_drawdown_50"), _share(d <= -0.60).alias("prob_drawdown_60"))
+    q = quantile_columns(ends, "max_drawdown", {"median_max_drawdown": 0.5, "p95_worst_drawdown": 0.05})
+    one = ends.agg(F.avg(d).alias("mean_max_drawdown"), _share(d <= -0.30).alias("prob_drawdown_30"), _share(d <= -0.50).alias("prob_drawdown_50"), _share(d <= -0.60).alias("prob_drawdown_60"))
+    return one.select("mean_max_drawdown", *[c.alias(n) for n, c in q.items()], "prob_drawdown_30", "prob_drawdown_50", "prob_drawdown_60")
 
 
 def risk_report(ends: DataFrame) -> DataFrame:
-    """(metric, value): the fifteen rows of the risk report."""
+    """(metric, value): the fifteen rows of the risk report. ends is written to the shared folder first, as it is read several times."""
+    ends = stored(ends, "path-ends")
     one = terminal_stats(ends).join(drawdown_stats(ends))
     named = one.select(*[F.col(c).alias(n) for n, c in REPORT.items()])
     return named.unpivot([], [F.col(f"`{n}`") for n in REPORT], "metric", "value")

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.config import PARTS, PARTS_TARGET, ModelParams
-from tideline.functions.shared import new_path
+from tideline.functions.shared import new_path, stored
 from tideline.functions.small import printed, settle
 from tideline.operators import backtest, bayes, costs, factors, montecarlo, moments, optimize, performance, returns, risk, rolling
+from tideline.operators.quantiles import quantiles
 from tideline.plans import workflows
 from tideline.sources.factors import FF5, load_factors, parse_factors
 from tideline.sources.panel import literal_table, part_prices, read_prices
@@ -189,9 +190,10 @@ QUERIES = {
     "latest_weights": lambda i: backtest.latest_weights(i.history),
     "last5_diag": lambda i: backtest.last_rows(i.dates),
     "turnover_history": lambda i: backtest.turnover_history(i.history, BOOK.weights),
-    "mc_stats_from_paths": lambda i: montecarlo.terminal_stats(montecarlo.summarize(i.paths)),
-    "drawdown_stats_from_paths": lambda i: montecarlo.drawdown_stats(montecarlo.summarize(i.paths)),
+    "mc_stats_from_paths": lambda i: montecarlo.terminal_stats(stored(montecarlo.summarize(i.paths), "path-ends")),
+    "drawdown_stats_from_paths": lambda i: montecarlo.drawdown_stats(stored(montecarlo.summarize(i.paths), "path-ends")),
     "mc_report_from_paths": lambda i: montecarlo.risk_report(montecarlo.summarize(i.paths)),
+    "price_quantiles": lambda i: _price_quantiles(i),
     "kf_parse": lambda i: parse_factors(_factor_lines(i), FF5),
     "print_weights": lambda i: costs.weight_lines(i.current),
     "optimized_summary": lambda i: costs.optimized_summary(i.target, risk.portfolio_stats(i.target, i.mu, i.cov))[0],
@@ -221,6 +223,14 @@ def _market_weights(i: Inputs) -> DataFrame:
     return optimize.normalize_weights(v.select(F.lit("market").alias("portfolio"), "asset", "weight"))
 
 
+def _price_quantiles(i: Inputs) -> DataFrame:
+    """Exact quantiles of all line items' prices and of their quantities, which are mostly ties."""
+    lines = i.spark.read.parquet(f"{i.sf_dir}/lineitem.parquet").select("l_extendedprice", "l_quantity")
+    shares = [0.0, 0.001, 0.05, 0.25, 0.5, 0.75, 0.95, 0.999, 1.0]
+    both = zip(shares, quantiles(lines, "l_extendedprice", shares), quantiles(lines, "l_quantity", shares), strict=True)
+    return i.spark.createDataFrame(list(both), "share double, price double, quantity double")
+
+
 def _factor_file(i: Inputs) -> DataFrame:
     """The lines of the factor file, written as text to the shared folder and loaded from it."""
     path = new_path(i.spark, "factors")
@@ -356,6 +366,7 @@ def _fit(x: list[str]) -> str:
 
 
 _STATS = "(SELECT sum(w.weight * mu) AS er FROM w JOIN mu USING (asset)), (SELECT sqrt(sum(a.weight * b.weight * cov)) AS vol FROM cov JOIN w a ON a.asset = asset_i JOIN w b ON b.asset = asset_j)"
+_SHARES = "[0.0, 0.001, 0.05, 0.25, 0.5, 0.75, 0.95, 0.999, 1.0]::DOUBLE[]"
 _LINES = ", ".join(f"({i}, '{x}')" for i, x in enumerate(FACTOR_TEXT))
 
 _SQL = {
@@ -434,6 +445,7 @@ _SQL = {
     "mc_stats_from_paths": _row(_TERMINAL, "ends"),
     "drawdown_stats_from_paths": _row(_FALLS, "ends"),
     "mc_report_from_paths": " UNION ALL ".join(f"SELECT '{n}' AS metric, {_r((_TERMINAL | _FALLS)[c])} AS value FROM ends" for n, c in montecarlo.REPORT.items()),
+    "price_quantiles": f"SELECT unnest(s) AS share, {_r('unnest(p)')} AS price, {_r('unnest(q)')} AS quantity FROM (SELECT {_SHARES} AS s, quantile_cont(l_extendedprice::DOUBLE, {_SHARES}) AS p, quantile_cont(l_quantity::DOUBLE, {_SHARES}) AS q FROM lineitem)",
     "print_weights": "SELECT asset_ord::INT AS asset_ord, printf('%5s: %5.2f%%', asset, weight * 100) AS line FROM w",
     "optimized_summary": "SELECT asset, weight FROM t",
     "kf_parse": f"""SELECT strptime(f[1], '%Y%m%d')::DATE AS day, {', '.join(f"{_r(f'f[{i + 2}]::DOUBLE / 100')} AS {c}" for i, c in enumerate(FF5))} FROM (
