@@ -1,4 +1,4 @@
-"""Factor regressions from sums of products, solved as a small system."""
+"""Factor regressions from a QR of all days, merged from the tasks' own."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.kernels.special import f_upper, omnibus, t_quantile, t_two_sided
+from tideline.operators.tall_qr import least_squares, tall_qr
 from tideline.sources.factors import FF3, FF5
 
 
@@ -42,27 +43,24 @@ def regress(series: DataFrame, factors: DataFrame, model: str = "ff5") -> DataFr
 
 def coefficients(series: DataFrame, factors: DataFrame, model: str = "ff5", level: float = 0.95) -> DataFrame:
     """regress() with the standard error of each coefficient and its interval of that confidence."""
-    names = factor_names(model)
-    terms = ["one", *names]
+    terms = ["const", *factor_names(model)]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for r in pdf.to_dict("records"):
-            at = lambda a, b: r.get(f"{a}__{b}", r.get(f"{b}__{a}"))  # noqa: B023, E731
-            xx = np.array([[at(a, b) for b in terms] for a in terms])
-            xy, n, k = np.array([at(a, "y") for a in terms]), r["n"], len(terms)
-            if n <= k:
-                raise ValueError("too few days for this many factors")
-            inverse = np.linalg.inv(xx)
-            beta = inverse @ xy
-            rest = max(0.0, r["y__y"] - beta @ xy)
-            se = np.sqrt(rest / (n - k) * np.diag(inverse))
+        for series_name, n, r in zip(pdf["series"], pdf["n"], pdf["r"], strict=True):
+            k = len(terms)
+            beta, se, _ = least_squares(np.array(r).reshape(-1, k + 1), n)
             t = np.divide(beta, se, out=np.full(k, np.inf), where=se > 0)
             far = t_quantile(level, n - k)
-            out += [(r["series"], "const" if a == "one" else a, b, e, x, t_two_sided(x, n - k) if math.isfinite(x) else 0.0, b - far * e, b + far * e) for a, b, e, x in zip(terms, beta, se, t, strict=True)]
+            out += [(series_name, a, b, e, x, t_two_sided(x, n - k) if math.isfinite(x) else 0.0, b - far * e, b + far * e) for a, b, e, x in zip(terms, beta, se, t, strict=True)]
         return pd.DataFrame(out, columns=["series", "term", "coef", "std_err", "t_stat", "p_value", "low", "high"])
 
-    return gram(regression_rows(series, factors, model), names).groupBy("series").applyInPandas(run, "series string, term string, coef double, std_err double, t_stat double, p_value double, low double, high double")
+    return factor(regression_rows(series, factors, model), model).groupBy("series").applyInPandas(run, "series string, term string, coef double, std_err double, t_stat double, p_value double, low double, high double")
+
+
+def factor(rows: DataFrame, model: str) -> DataFrame:
+    """(series, n, r): the R factor of the constant, the factors and y, for each series."""
+    return tall_qr(rows.withColumn("one", F.lit(1.0)), "series", ["one", *factor_names(model), "y"])
 
 
 def fit_statistics(series: DataFrame, factors: DataFrame, model: str = "ff5") -> DataFrame:
@@ -81,20 +79,19 @@ def fit_statistics(series: DataFrame, factors: DataFrame, model: str = "ff5") ->
     e = rows.join(F.broadcast(coef), "series").select("series", "day", "y", (F.col("y") - fitted).alias("e"))
     e = e.withColumn("step", F.col("e") - F.lag("e").over(Window.partitionBy("series").orderBy("day")))
     s = e.groupBy("series").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col("e") * F.col("e")).alias("sse"), (F.var_samp("y") * (F.count(F.lit(1)) - 1)).alias("sst"), F.sum(F.col("step") * F.col("step")).alias("ssd"), F.avg(F.pow("e", F.lit(3))).alias("m3"), F.avg(F.pow("e", F.lit(4))).alias("m4"))
-    k, terms = len(names), ["one", *names]
-    s = s.join(gram(rows, names).drop("n"), "series")
+    k = len(names)
+    s = s.join(factor(rows, model).select("series", "r"), "series")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in pdf.itertuples():
-            at = lambda a, b: getattr(r, f"{a}__{b}", None) if hasattr(r, f"{a}__{b}") else getattr(r, f"{b}__{a}")  # noqa: B023, E731
-            size = np.linalg.eigvalsh(np.array([[at(a, b) for b in terms] for a in terms]))
+            *_, condition = least_squares(np.array(r.r).reshape(-1, k + 2), int(r.n))
             n, m2 = r.n, r.sse / r.n
             r2 = 1 - r.sse / r.sst
             f = (r2 / k) / ((1 - r2) / (n - k - 1))
             ll = -n / 2 * (math.log(2 * math.pi) + math.log(r.sse / n) + 1)
             skew, kurt = r.m3 / m2**1.5, r.m4 / m2**2
-            values = {"r_squared": r2, "adj_r_squared": 1 - (1 - r2) * (n - 1) / (n - k - 1), "f_statistic": f, "f_p_value": f_upper(f, k, n - k - 1), "log_likelihood": ll, "aic": 2 * (k + 1) - 2 * ll, "bic": math.log(n) * (k + 1) - 2 * ll, "durbin_watson": r.ssd / r.sse, "skew": skew, "kurtosis": kurt, "jarque_bera": n / 6 * (skew**2 + (kurt - 3) ** 2 / 4), "observations": n, "df_model": float(k), "df_residuals": n - k - 1, "condition_number": math.sqrt(size[-1] / size[0])}
+            values = {"r_squared": r2, "adj_r_squared": 1 - (1 - r2) * (n - 1) / (n - k - 1), "f_statistic": f, "f_p_value": f_upper(f, k, n - k - 1), "log_likelihood": ll, "aic": 2 * (k + 1) - 2 * ll, "bic": math.log(n) * (k + 1) - 2 * ll, "durbin_watson": r.ssd / r.sse, "skew": skew, "kurtosis": kurt, "jarque_bera": n / 6 * (skew**2 + (kurt - 3) ** 2 / 4), "observations": n, "df_model": float(k), "df_residuals": n - k - 1, "condition_number": condition}
             values["omnibus"] = omnibus(skew, kurt, n)
             # both tests have two degrees of freedom
             values |= {f"{m}_p_value": math.exp(-values[m] / 2) for m in ("jarque_bera", "omnibus")}
