@@ -16,7 +16,8 @@ from tideline.operators import backtest, bayes, costs, factors, montecarlo, mome
 from tideline.operators.quantiles import quantiles
 from tideline.plans import workflows
 from tideline.sources.factors import FF5, load_factors, parse_factors
-from tideline.sources.panel import literal_table, part_prices, read_prices
+from tideline.sources.panel import literal_table, part_prices
+from tideline.sources.quotes import read_quotes
 
 P, BOOK = ModelParams(), PARTS
 #: First day of the stored quotes that are read, and the day after their last.
@@ -166,7 +167,7 @@ QUERIES = {
     "wf_series_fixed_policy": lambda i: rolling.history_series(i.mine, i.history),
     "growth_frame": lambda i: returns.growth_frame({"portfolio": i.series, "MKT": i.bench}, {"walkforward_portfolio": rolling.history_series(i.mine, i.history)}),
     "benchmark_on_days": lambda i: returns.on_days_of(i.bench, rolling.history_series(i.mine, i.history)),
-    "stored_quotes": lambda i: read_prices(i.spark, f"{i.sf_dir}/events.parquet", ["click", "purchase", "view"], *QUOTES, day="ts", asset="event_type", close="value"),
+    "stored_quotes": lambda i: read_quotes(i.spark, f"{i.sf_dir}/events.parquet", ["click", "purchase", "view"], *QUOTES, day="ts", asset="event_type", close="value"),
     "printed_summary": lambda i: printed(performance.summary_table(i.series, i.bench)),
     "wf_shrunk_cov": lambda i: rolling.window_moments(i.mine, i.dates, shrink=True, assets=BOOK.assets)[1],
     "diagnostics_fixed_policy": lambda i: backtest.policy_diagnostics(i.history, *rolling.window_moments(i.mine, i.dates, assets=BOOK.assets), BOOK.weights),
