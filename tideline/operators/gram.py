@@ -156,7 +156,11 @@ def co_moments(returns: DataFrame, group: tuple[str, ...] = (), assets: list[str
     many as spans. A null return leaves a day out; with `fourth` it is 0.
     """
     assets = universe(returns, assets)
-    group = list(group)
+    return finish_blocks(span_states(returns, list(group), assets, fourth, block, span), list(group), assets, fourth, block)
+
+
+def span_states(returns: DataFrame, group: list[str], assets: list[str], fourth: bool, block: int = BLOCK, span: int = SPAN) -> DataFrame:
+    """(group, span, bi, bj, state): the partial states of co_moments()."""
     kinds = [(c, returns.schema[c].dataType) for c in group]
     rows = with_positions(returns, assets).select(*group, F.floor(F.unix_date("day") / span).cast("int").alias("span"), "day", "pos", F.col("ret").cast("double").alias("ret"))
 
@@ -165,11 +169,11 @@ def co_moments(returns: DataFrame, group: tuple[str, ...] = (), assets: list[str
         at = blocks(len(assets), block)
         found = [state_of(x[:, i * block : (i + 1) * block], x[:, j * block : (j + 1) * block], fourth).tobytes() for i, j in at]
         keys = [pa.array([table.column(c)[0].as_py()] * len(at), to_arrow_type(t)) for c, t in kinds]
-        return pa.Table.from_arrays([*keys, pa.array([i for i, _ in at], pa.int32()), pa.array([j for _, j in at], pa.int32()), pa.array(found, pa.binary())], names=[*group, "bi", "bj", "state"])
+        spans = pa.array([table.column("span")[0].as_py()] * len(at), pa.int32())
+        return pa.Table.from_arrays([*keys, spans, pa.array([i for i, _ in at], pa.int32()), pa.array([j for _, j in at], pa.int32()), pa.array(found, pa.binary())], names=[*group, "span", "bi", "bj", "state"])
 
-    schema = ", ".join([*(f"`{c}` {t.simpleString()}" for c, t in kinds), "bi int, bj int, state binary"])
-    states = rows.groupBy(*group, "span").applyInArrow(run, schema)
-    return finish_blocks(states, group, assets, fourth, block)
+    schema = ", ".join([*(f"`{c}` {t.simpleString()}" for c, t in kinds), "span int, bi int, bj int, state binary"])
+    return rows.groupBy(*group, "span").applyInArrow(run, schema)
 
 
 def window_co_moments(returns: DataFrame, dates: DataFrame, window: int, assets: list[str] | None = None, fourth: bool = False, block: int = BLOCK) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import replace
 from functools import cached_property
 
@@ -12,7 +13,7 @@ from pyspark.sql.window import Window
 from tideline.config import PARTS, PARTS_TARGET, ModelParams
 from tideline.functions.shared import new_path, stored
 from tideline.functions.small import printed, settle
-from tideline.operators import backtest, bayes, costs, factors, montecarlo, moments, optimize, performance, returns, risk, rolling
+from tideline.operators import backtest, bayes, costs, factors, moment_store, moments, montecarlo, optimize, performance, returns, risk, rolling
 from tideline.operators.quantiles import quantiles
 from tideline.plans import workflows
 from tideline.sources.factors import FF5, load_factors, parse_factors
@@ -195,6 +196,8 @@ QUERIES = {
     "drawdown_stats_from_paths": lambda i: montecarlo.drawdown_stats(stored(montecarlo.summarize(i.paths), "path-ends")),
     "mc_report_from_paths": lambda i: montecarlo.risk_report(montecarlo.summarize(i.paths)),
     "price_quantiles": lambda i: _price_quantiles(i),
+    "maintained_cov": lambda i: _maintained(i).sample_cov(),
+    "maintained_lw_cov": lambda i: _maintained(i).shrunk_cov(),
     "kf_parse": lambda i: parse_factors(_factor_lines(i), FF5),
     "print_weights": lambda i: costs.weight_lines(i.current),
     "optimized_summary": lambda i: costs.optimized_summary(i.target, risk.portfolio_stats(i.target, i.mu, i.cov))[0],
@@ -224,6 +227,15 @@ def _market_weights(i: Inputs) -> DataFrame:
     return optimize.normalize_weights(v.select(F.lit("market").alias("portfolio"), "asset", "weight"))
 
 
+def _maintained(i: Inputs) -> moment_store.MomentStore:
+    """A store of moments made of all line items but those of the last days, and then brought up to date."""
+    store = moment_store.MomentStore(i.spark, new_path(i.spark, "moments"), tuple(BOOK.assets), BOOK.benchmark)
+    last = i.spark.read.parquet(f"{i.sf_dir}/lineitem.parquet").agg(F.to_date(F.max("l_shipdate"))).first()[0]
+    for upto in (last - dt.timedelta(days=40), last - dt.timedelta(days=1), None):
+        store.add(i.sf_dir, upto)
+    return store
+
+
 def _price_quantiles(i: Inputs) -> DataFrame:
     """Exact quantiles of all line items' prices and of their quantities, which are mostly ties."""
     lines = i.spark.read.parquet(f"{i.sf_dir}/lineitem.parquet").select("l_extendedprice", "l_quantity")
@@ -458,6 +470,7 @@ _SQL = {
 }
 
 
+_SQL["maintained_cov"], _SQL["maintained_lw_cov"] = _SQL["sample_cov"], _SQL["lw_cov"]
 _SQL["factor_file"] = _SQL["kf_parse"]
 _SQL["path_names"] = "SELECT sim_id, 'sim_' || (sim_id + 1) AS sim, count(*) AS steps FROM paths GROUP BY sim_id"
 # the conditions are computed from the weights and the moments; what SQL says is that all hold

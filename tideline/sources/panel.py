@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,15 +48,32 @@ def part_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents, partly before that sum's shuffle. Everything after works on that small table
     and is exact up to one division.
     """
+    return smoothed_prices(part_sums(spark, sf_dir))
+
+
+def part_sums(spark: SparkSession, sf_dir: str, after: dt.date | None = None, upto: dt.date | None = None) -> DataFrame:
+    """(day, asset, v, q): cents and hundredths of units of the line items of each weekday and part type, and of all as MKT.
+
+    Days `after` one and `upto` another only, where given: the scan gets those bounds.
+    """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.weekday("l_shipdate") < 5)
+    at = lambda d: F.lit(d).cast(lines.schema["l_shipdate"].dataType)
+    if after is not None:
+        lines = lines.where(F.col("l_shipdate") >= at(after + dt.timedelta(days=1)))
+    if upto is not None:
+        lines = lines.where(F.col("l_shipdate") < at(upto + dt.timedelta(days=1)))
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_type").alias("asset"))
     cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("long"))
     lines = lines.select(F.to_date("l_shipdate").alias("day"), "l_partkey", "l_extendedprice", "l_quantity")
     daily = lines.join(parts, lines.l_partkey == parts.p_partkey).groupBy("day", "asset").agg(cents("l_extendedprice").alias("v"), cents("l_quantity").alias("q"))
-    both = daily.select("day", F.explode(F.array("asset", F.lit("MKT"))).alias("asset"), "v", "q").groupBy("day", "asset").agg(F.sum("v").alias("v"), F.sum("q").alias("q"))
+    return daily.select("day", F.explode(F.array("asset", F.lit("MKT"))).alias("asset"), "v", "q").groupBy("day", "asset").agg(F.sum("v").alias("v"), F.sum("q").alias("q"))
+
+
+def smoothed_prices(sums: DataFrame) -> DataFrame:
+    """(day, asset, close): price per unit over an asset's last 63 rows of part_sums(), from its 63rd on."""
     by_day = Window.partitionBy("asset").orderBy("day")
     last = by_day.rowsBetween(1 - SMOOTHING, 0)
-    both = both.select("day", "asset", (F.sum("v").over(last).cast("double") / F.sum("q").over(last).cast("double")).alias("close"), F.row_number().over(by_day).alias("n"))
+    both = sums.select("day", "asset", (F.sum("v").over(last).cast("double") / F.sum("q").over(last).cast("double")).alias("close"), F.row_number().over(by_day).alias("n"))
     return both.where(F.col("n") >= SMOOTHING).select("day", "asset", "close")
 
 
