@@ -154,3 +154,15 @@ def test_query_form(docs, no_docs, corpus):
     back = {r.doc_id: r.text for r in decode_pieces(out, MODEL).collect()}
     assert all(back[i] == (t or "") for i, t in corpus.items())
     assert encode_pieces(no_docs, MODEL).collect() == []
+
+
+def test_a_model_with_blanks_inside_pieces_is_refused(monkeypatch):
+    import sentencepiece
+
+    from tideline.llm.pieces import Lattice
+    from tideline.llm.queries import vocabulary
+
+    whole = sentencepiece.SentencePieceProcessor.id_to_piece
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "id_to_piece", lambda self, i: "of▁the" if i == 5000 else whole(self, i))
+    with pytest.raises(ValueError, match="of▁the"):
+        Lattice(vocabulary("piece_bpe_32k.model"))

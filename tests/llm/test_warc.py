@@ -81,3 +81,19 @@ def test_files_are_read_and_resolved(spark, tmp_path):
     (tmp_path / "w" / "bad.warc").write_bytes(b"<html>")
     with pytest.raises(Exception, match="not a WARC record"):
         read_warc(spark, str(tmp_path / "w")).collect()
+
+
+def test_long_headers_and_many_files(spark, tmp_path):
+    """Headers of over a megabyte are read whole, a block that is no HTTP message has none, and each file has a task."""
+    many = b"HTTP/1.1 200 OK\r\n" + b"".join(b"X-%d: %s\r\n" % (i, b"v" * 90) for i in range(20_000)) + b"ETag: \"last\"\r\n\r\nbody: not a header\r\n"
+    for i in range(12):
+        (tmp_path / f"{i}.warc").write_bytes(record("response", i, f"http://a.org/{i}", "2024-01-01T00:00:01Z", many if i == 3 else b"name: value\n\n" if i == 4 else b"HTTP/1.0 204\n" if i == 5 else b""))
+    df = read_warc(spark, str(tmp_path))
+    rows = {r.record_id: r for r in df.withColumn("task", F.spark_partition_id()).collect()}
+    assert len(rows) == 12 and len({r.task for r in rows.values()}) == 12
+    r = rows["<urn:3>"]
+    assert len(r.headers) == 20_001 and r.headers["etag"] == '"last"' and r.headers["x-19999"] == "v" * 90 and "body" not in r.headers
+    assert [(rows[f"<urn:{i}>"].status, rows[f"<urn:{i}>"].headers) for i in (4, 5, 6)] == [(None, {}), (204, {}), (None, {})]
+    # columns of the names that are used inside
+    extra = df.withColumns({c: F.lit("!") for c in ("tick", "slot", "b", "base", "u", "canonical", "span", "reason2")})
+    assert resolve_revisits(extra).count() == 0

@@ -232,7 +232,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """docs without the near-duplicates of a lower doc_id: one document of each component stays."""
+    """docs without the near-duplicates of a lower doc_id: one document of each component stays.
+
+    Null and empty texts and null ids have no duplicates and stay; rows of one id stay or
+    go together. An empty table gives no rows.
+    """
     gone_id = fresh(docs, "gone_id")
     gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias(gone_id)).distinct()
     return docs.join(small(materialize(gone, "minhash-gone"), MOST_IDS), docs["doc_id"] == F.col(gone_id), "left_anti")

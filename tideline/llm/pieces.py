@@ -33,8 +33,8 @@ class Lattice:
 
     A segmentation's probability is proportional to the product of its pieces' weights,
     (rank + 10) ** -theta for a piece of that rank in the model and FALLBACK for a
-    character spelled in byte pieces. No piece used has a blank behind another character:
-    the lattice falls apart into words, each with all blanks before it, so each distinct
+    character spelled in byte pieces. A model with a piece that has a blank behind another
+    character is refused; without one the lattice falls apart into words, each with all blanks before it, so each distinct
     word of a batch is filtered once and its occurrences are sampled from the same sums.
     Words are whole, however long.
     """
@@ -58,8 +58,9 @@ class Lattice:
                 self.bytes.append(b"")
             else:
                 self.bytes.append(piece.replace(chr(SPACE), " ").encode())
-                if chr(SPACE) not in piece.lstrip(chr(SPACE)):
-                    found.append((piece, i, (10.0 - sp.get_score(i)) ** -theta))
+                if chr(SPACE) in piece.lstrip(chr(SPACE)):
+                    raise ValueError(f"{path} has a piece with a blank behind another character: {piece!r}")
+                found.append((piece, i, (10.0 - sp.get_score(i)) ** -theta))
         self.id_type = np.int16 if n <= 1 << 15 else np.int32
         self.longest = max(len(p) for p, _, _ in found)
         cps = [np.frombuffer(p.encode("utf-32-le"), "<u4") for p, _, _ in found]
@@ -303,7 +304,7 @@ def encode_pieces(docs: DataFrame, model: str, theta: float = 1.0, seed: int = 0
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
-    """(doc_id, text) of rows that have doc_id and ids."""
+    """(doc_id, text) of rows that have doc_id and ids: null for null ids, empty for none; null and repeated doc_ids stay as they are."""
 
     def run(batches):
         lat = lattice(model)

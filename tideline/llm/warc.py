@@ -20,10 +20,8 @@ RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "vary
 TRACKING = r"([?&])(?:ref|utm_[a-z]+)=[^&]*"
 #: Ticks of capture time that are searched together.
 SPAN = 65_536
-
-
-#: Bytes of a record's block that are searched for HTTP headers.
-HTTP_BYTES = 1 << 20
+#: Bytes of a block that are skipped at a time.
+_SKIP = 1 << 20
 _RECORD = "record_id string, url string, at long, kind string, status int, headers map<string,string>"
 
 
@@ -45,11 +43,29 @@ def _ticks(date: str | None) -> int | None:
         return None
 
 
+def _http(stream: io.BufferedIOBase, left: int) -> tuple[int, list[bytes]]:
+    """(bytes of the block left, lines of its HTTP message to its blank line, however long); no lines where the block is no HTTP message."""
+    start = stream.read(min(5, left))
+    left -= len(start)
+    if start != b"HTTP/":
+        return left, []
+    lines, line = [], b""
+    while left > 0:
+        line = stream.readline(left)
+        left -= len(line)
+        if not line or not line.rstrip(b"\r\n"):
+            break
+        lines.append(line.rstrip(b"\r\n"))
+    return left, [start + b"".join(lines[:1]), *lines[1:]]
+
+
 def warc_records(stream: io.BufferedIOBase) -> Iterator[tuple]:
     """(record_id, url, at, kind, status, headers) of each response and revisit of a WARC stream, one block at a time.
 
-    at is the capture's millisecond, headers are those of the HTTP message. A record that
-    the end of the stream cuts off is left out; anything but a WARC record is a ValueError.
+    at is the capture's millisecond, null where the record has none; headers are those of
+    the HTTP message, read to its blank line. A block that is no HTTP message has no status
+    and no headers, a missing id or URL is null. A record that the end of the stream cuts
+    off is left out; anything but a WARC record is a ValueError.
     """
     while True:
         line = stream.readline()
@@ -63,24 +79,26 @@ def warc_records(stream: io.BufferedIOBase) -> Iterator[tuple]:
         while (line := stream.readline()).strip():
             lines.append(line)
         about = _fields(lines)
-        left = int(about.get("content-length", 0))
-        block = stream.read(min(left, HTTP_BYTES))
-        left -= len(block)
-        while left > 0 and (skipped := len(stream.read(min(left, HTTP_BYTES)))):
+        left, http = int(about.get("content-length", 0)), []
+        if about.get("warc-type") in ("response", "revisit"):
+            left, http = _http(stream, left)
+        while left > 0 and (skipped := len(stream.read(min(left, _SKIP)))):
             left -= skipped
-        if not line or left > 0 or len(block) < min(int(about.get("content-length", 0)), HTTP_BYTES):
+        if not line or left > 0:
             return
         if about.get("warc-type") not in ("response", "revisit"):
             continue
-        first, *http = block.replace(b"\r\n", b"\n").partition(b"\n\n")[0].split(b"\n")
-        code = first.split(b" ")[1:2] if first.startswith(b"HTTP/") else []
+        code = http[0].split(b" ")[1:2] if http else []
         status = int(code[0]) if code and code[0].isdigit() else None
         url = about.get("warc-target-uri")
-        yield about.get("warc-record-id"), url and url.strip("<>"), _ticks(about.get("warc-date")), about["warc-type"], status, _fields(http)
+        yield about.get("warc-record-id"), url and url.strip("<>"), _ticks(about.get("warc-date")), about["warc-type"], status, _fields(http[1:])
 
 
 def read_warc(spark: SparkSession, path: str, batch: int = 1000) -> DataFrame:
-    """records, as resolve_revisits() takes them, of WARC files, plain or of gzip members; one task reads a file as a stream."""
+    """records, as resolve_revisits() takes them, of WARC files, plain or of gzip members; one task reads a file as a stream.
+
+    An empty file, and a path without records, give no rows; nulls are those of warc_records().
+    """
     files = spark.read.format("binaryFile").load(path).select("path")  # names only, no contents
     types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string())]
     names = [x.split()[0] for x in _RECORD.replace("map<string,string>", "map").split(", ")]
@@ -100,7 +118,7 @@ def read_warc(spark: SparkSession, path: str, batch: int = 1000) -> DataFrame:
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
 
-    return files.repartition(max(1, files.count()), "path").mapInArrow(run, _RECORD)
+    return files.repartitionByRange(max(1, files.count()), "path").mapInArrow(run, _RECORD)  # by hash, some tasks would get several files
 
 
 def canonical_url(url: Column) -> Column:
