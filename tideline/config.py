@@ -5,6 +5,29 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 
+@dataclass(frozen=True)
+class SemanticsOptions:
+    """Switches for what the public defaults do in a way that a user may not want; every default is theirs.
+
+    trading_month_end: rebalance on a month's last trading day, not only on months whose
+    last calendar day trades. pad_gaps: a missing price counts as the last known one. Without
+    it the days of a gap and the day after it have no return. next_day: weights are in force
+    from the day after their date, and its sample ends the day before it. peak_from_start:
+    the money put in is the first peak, so a loss on the first day is a drawdown.
+    alpha_over_rf: alpha is of returns over the risk-free rate. reweight: days on which
+    assets lack a return are weighted by the others. relative_thresholds: chances of loss
+    and gain are against the money put in.
+    """
+
+    trading_month_end: bool = False
+    pad_gaps: bool = True
+    next_day: bool = False
+    peak_from_start: bool = False
+    alpha_over_rf: bool = False
+    reweight: bool = False
+    relative_thresholds: bool = False
+
+
 @dataclass(frozen=True)
 class ModelParams:
     """Scalars that every workflow shares (fixed values of the public defaults)."""
@@ -34,6 +57,7 @@ class ModelParams:
     walk_freq: str = "ME"
     rolling_window: int = 252 * 5
     frontier_points: int = 50
+    semantics: SemanticsOptions = SemanticsOptions()
 
 
 @dataclass(frozen=True)

@@ -47,7 +47,8 @@ def walk_forward(returns: DataFrame, book: Portfolio, p: ModelParams = ModelPara
     All dates' moments are one aggregation. Without the turnover penalty each date is
     optimised by itself; with it a date's target is the next one's starting point, so one
     group takes the dates in order. Turnover is against the previous target, undrifted.
-    The sample includes the rebalance day, whose return the new weights already earn.
+    The sample includes the rebalance day, whose return the new weights already earn,
+    unless p.semantics.next_day says otherwise; it also says which day ends a month.
     No eligible date: empty tables. Market weights that lack an asset are a ValueError.
     """
     assets = book.assets
@@ -56,8 +57,10 @@ def walk_forward(returns: DataFrame, book: Portfolio, p: ModelParams = ModelPara
     shrink = p.use_shrinkage and p.shrinkage == "ledoit_wolf" if shrink is None else shrink
     first = start or dict.fromkeys(assets, 1 / len(assets))
     r = returns.where(F.col("asset").isin(assets))
-    dates = eligible_dates(r, p.walk_window, p.walk_freq)
-    mu, cov = window_moments(r, dates, p.walk_window, p.trading_days, shrink, assets)
+    later = p.semantics.next_day
+    dates = eligible_dates(r, p.walk_window, p.walk_freq, p.semantics.trading_month_end)
+    sampled = dates.withColumn("loc", F.col("loc") - int(later))
+    mu, cov = window_moments(r, sampled, p.walk_window - later, p.trading_days, shrink, assets)
     rows = cov.unionByName(mu.select("rebalance_date", F.col("asset").alias("asset_i"), F.lit(None).cast("string").alias("asset_j"), F.col("mu").alias("cov")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -74,7 +77,7 @@ def walk_forward(returns: DataFrame, book: Portfolio, p: ModelParams = ModelPara
     targets = settle(groups.applyInPandas(run, _TARGETS))
     weights = targets.select("rebalance_date", "asset", "asset_ord", "weight")
     stats = targets.groupBy("rebalance_date").agg(F.first("expected_return").alias("expected_return"), F.first("volatility").alias("volatility"))
-    return Backtest(history_series(r, weights), weights, _diagnostics(stats, turnover_history(weights, first), p.risk_free))
+    return Backtest(history_series(r, weights, next_day=later), weights, _diagnostics(stats, turnover_history(weights, first), p.risk_free))
 
 
 def turnover_history(weights: DataFrame, start: dict[str, float]) -> DataFrame:

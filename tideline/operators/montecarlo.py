@@ -76,15 +76,15 @@ def _share(condition: Column) -> Column:
     return F.avg(condition.cast("double"))
 
 
-def terminal_stats(ends: DataFrame) -> DataFrame:
-    """One row of statistics of terminal; its thresholds are absolute, whatever the initial value.
+def terminal_stats(ends: DataFrame, initial: float = 1.0) -> DataFrame:
+    """One row of statistics of terminal; its thresholds are absolute, whatever the paths began at, unless `initial` is given.
 
     The quantiles are exact and made when this is called, by counts over ends, which
     should be a stored table.
     """
     t = F.col("terminal")
     q = quantile_columns(ends, "terminal", {"median_terminal_value": 0.5, "p5_terminal_value": 0.05, "p25_terminal_value": 0.25, "p75_terminal_value": 0.75, "p95_terminal_value": 0.95})
-    one = ends.agg(F.avg(t).alias("mean_terminal_value"), _share(t < 1).alias("prob_loss"), _share(t >= 2).alias("prob_double"), _share(t >= 5).alias("prob_5x"))
+    one = ends.agg(F.avg(t).alias("mean_terminal_value"), _share(t < initial).alias("prob_loss"), _share(t >= 2 * initial).alias("prob_double"), _share(t >= 5 * initial).alias("prob_5x"))
     return one.select("mean_terminal_value", *[c.alias(n) for n, c in q.items()], "prob_loss", "prob_double", "prob_5x")
 
 
@@ -96,9 +96,9 @@ def drawdown_stats(ends: DataFrame) -> DataFrame:
     return one.select("mean_max_drawdown", *[c.alias(n) for n, c in q.items()], "prob_drawdown_30", "prob_drawdown_50", "prob_drawdown_60")
 
 
-def risk_report(ends: DataFrame) -> DataFrame:
+def risk_report(ends: DataFrame, initial: float = 1.0) -> DataFrame:
     """(metric, value): the fifteen rows of the risk report. ends is written to the shared folder first, as it is read several times."""
     ends = stored(ends, "path-ends")
-    one = terminal_stats(ends).join(drawdown_stats(ends))
+    one = terminal_stats(ends, initial).join(drawdown_stats(ends))
     named = one.select(*[F.col(c).alias(n) for n, c in REPORT.items()])
     return named.unpivot([], [F.col(f"`{n}`") for n in REPORT], "metric", "value")

@@ -16,16 +16,18 @@ def densify(prices: DataFrame, assets: list[str]) -> DataFrame:
     return by_day.select("day", "m", F.explode(F.array(*map(F.lit, assets))).alias("asset")).select("day", "asset", F.try_element_at("m", F.col("asset")).alias("close"))
 
 
-def daily_returns(panel: DataFrame, span: int = SPAN) -> DataFrame:
+def daily_returns(panel: DataFrame, span: int = SPAN, pad: bool = True) -> DataFrame:
     """(day, loc, asset, ret): change on the last known price; days without any return go.
 
     A gap counts as no change and the next price spans it; before its second price an
-    asset's ret is null. loc numbers the days that stay from 0. Last prices and numbers
+    asset's ret is null. Without `pad`, a change needs both days' prices. loc numbers the days that stay from 0. Last prices and numbers
     are running aggregates over spans of days, so no task takes an asset's history. The
     returns are written to the shared folder, as all that follows reads them several times.
     """
-    r = scan(panel, ["asset"], "day", {"prev": ("last", F.col("close"))}, before=True, span=span)
-    r = stored(r.select("day", "asset", (F.try_divide(F.coalesce("close", "prev"), "prev") - 1).alias("ret")), "returns")
+    known = F.col("close") if pad else F.struct("close")  # the day before's price, even if it is null
+    r = scan(panel, ["asset"], "day", {"prev": ("last", known)}, before=True, span=span)
+    prev, now = (F.col("prev"), F.coalesce("close", "prev")) if pad else (F.col("prev.close"), F.col("close"))
+    r = stored(r.select("day", "asset", (F.try_divide(now, prev) - 1).alias("ret")), "returns")
     days = scan(r.where("ret is not null").select("day").distinct(), [], "day", {"loc": ("count", F.lit(1))}, before=True, span=span)
     return r.join(F.broadcast(days), "day").select("day", "loc", "asset", "ret")
 
@@ -40,16 +42,21 @@ def require(df: DataFrame, assets: list[str]) -> DataFrame:
 
 def asset_weights(weights: dict[str, float]) -> Column:
     """The weight of column asset; null for others."""
-    out = F.lit(None).cast("double")
-    for a, w in weights.items():
-        out = F.when(F.col("asset") == a, F.lit(float(w))).otherwise(out)
-    return out
+    table = F.create_map(*[F.lit(x) for a, w in weights.items() for x in (a, float(w))])
+    return F.try_element_at(table, F.col("asset")) if weights else F.lit(None).cast("double")
+
 
+def portfolio_series(returns: DataFrame, weights: dict[str, float], name: str = "portfolio", reweight: bool = False) -> DataFrame:
+    """(day, series, ret): weighted sum of the assets' returns; a missing return counts 0, or has its weight spread over the others.
 
-def portfolio_series(returns: DataFrame, weights: dict[str, float], name: str = "portfolio") -> DataFrame:
-    """(day, series, ret): weighted sum of the assets' returns; a missing return counts 0."""
-    r = returns.where(F.col("asset").isin(list(weights)))
-    return r.groupBy("day").agg(F.coalesce(F.sum(F.col("ret") * asset_weights(weights)), F.lit(0.0)).alias("ret")).select("day", F.lit(name).alias("series"), "ret")
+    The weights, a row for each asset, are sent to all executors and joined.
+    """
+    table = returns.sparkSession.createDataFrame([(a, float(w)) for a, w in weights.items()], "asset string, weight_ double")
+    r = returns.join(F.broadcast(table), "asset")
+    total = F.sum(F.col("ret") * F.col("weight_"))
+    if reweight:
+        total = F.try_divide(total * F.sum("weight_"), F.sum(F.when(F.col("ret").isNotNull(), F.col("weight_"))))
+    return r.groupBy("day").agg(F.coalesce(total, F.lit(0.0)).alias("ret")).select("day", F.lit(name).alias("series"), "ret")
 
 
 def asset_series(returns: DataFrame, asset: str, name: str | None = None) -> DataFrame:
@@ -62,11 +69,12 @@ def growth(series: DataFrame, initial: float = 1.0, span: int = SPAN) -> DataFra
     return run.withColumn("value", F.when(F.col("ret").isNotNull(), initial * F.col("value")))
 
 
-def drawdowns(series: DataFrame, span: int = SPAN) -> DataFrame:
-    """growth() with the fall from its highest value so far; the first value is the first peak."""
+def drawdowns(series: DataFrame, span: int = SPAN, from_start: bool = False) -> DataFrame:
+    """growth() with the fall from its highest value so far; the first value is the first peak, or, `from_start`, the money put in."""
     run = growth_scan(series, ["series"], "day", 1 + F.col("ret"), span)
     value = F.when(F.col("ret").isNotNull(), F.col("product"))
-    return run.withColumn("value", value).withColumn("drawdown", F.col("value") / F.col("peak") - 1).drop("product", "peak")
+    peak = F.greatest("peak", F.lit(1.0)) if from_start else F.col("peak")
+    return run.withColumn("value", value).withColumn("drawdown", F.col("value") / peak - 1).drop("product", "peak")
 
 
 def growth_frame(series: dict[str, DataFrame], later: dict[str, DataFrame] | None = None) -> DataFrame:

@@ -50,17 +50,19 @@ def rolling_statistics(returns: DataFrame, window: int = 1260, days: int = 252)
     return s.join(returns.select("loc", "day").distinct(), "loc").select("day", "return", "vol")
 
 
-def rebalance_dates(days: DataFrame, freq: str = "M") -> DataFrame:
-    """Distinct days that are the last calendar day of their month; other months have none."""
+def rebalance_dates(days: DataFrame, freq: str = "M", trading: bool = False) -> DataFrame:
+    """Distinct days that are the last calendar day of their month, other months having none; or the last `trading` day of each month."""
     if freq.upper() not in ("M", "ME"):
         raise ValueError(f"unsupported frequency {freq!r}")
+    if trading:
+        return days.groupBy(F.last_day("day").alias("month")).agg(F.max("day").alias("day")).select("day")
     return days.select("day").distinct().where(F.col("day") == F.last_day("day"))
 
 
-def eligible_dates(returns: DataFrame, window: int = 756, freq: str = "M") -> DataFrame:
+def eligible_dates(returns: DataFrame, window: int = 756, freq: str = "M", trading: bool = False) -> DataFrame:
     """(rebalance_date, loc) of rebalance dates with at least `window` days before them."""
     days = returns.select("day", "loc").distinct()
-    return days.join(rebalance_dates(days, freq), "day", "left_semi").where(F.col("loc") >= window).select(F.col("day").alias("rebalance_date"), "loc")
+    return days.join(rebalance_dates(days, freq, trading), "day", "left_semi").where(F.col("loc") >= window).select(F.col("day").alias("rebalance_date"), "loc")
 
 
 def window_samples(returns: DataFrame, dates: DataFrame, window: int = 756) -> DataFrame:
@@ -103,13 +105,13 @@ def window_moments(returns: DataFrame, dates: DataFrame, window: int = 756, days
     return mu, shrunk(parts, shrinkage(parts, "rebalance_date"), days, ("rebalance_date",))
 
 
-def asof_weights(returns: DataFrame, history: DataFrame) -> DataFrame:
-    """(day, asset, ret, weight): each asset's last rebalanced weight up to the day; days before the first are left out."""
+def asof_weights(returns: DataFrame, history: DataFrame, next_day: bool = False) -> DataFrame:
+    """(day, asset, ret, weight): each asset's last rebalanced weight up to the day, or before it; days before the first are left out."""
     h = history.select(F.col("rebalance_date").alias("day"), "asset", F.col("weight").alias("given"))
-    filled = scan(returns.join(h, ["day", "asset"], "left"), ["asset"], "day", {"weight": ("last", F.col("given"))})
+    filled = scan(returns.join(h, ["day", "asset"], "left"), ["asset"], "day", {"weight": ("last", F.col("given"))}, before=next_day)
     return filled.where("weight is not null").select("day", "asset", "ret", "weight")
 
 
-def history_series(returns: DataFrame, history: DataFrame, name: str = "walkforward_portfolio") -> DataFrame:
+def history_series(returns: DataFrame, history: DataFrame, name: str = "walkforward_portfolio", next_day: bool = False) -> DataFrame:
     """(day, series, ret) realised by the weights in force each day; a missing return counts 0."""
-    return asof_weights(returns, history).groupBy("day").agg(F.coalesce(F.sum(F.col("ret") * F.col("weight")), F.lit(0.0)).alias("ret")).select("day", F.lit(name).alias("series"), "ret")
+    return asof_weights(returns, history, next_day).groupBy("day").agg(F.coalesce(F.sum(F.col("ret") * F.col("weight")), F.lit(0.0)).alias("ret")).select("day", F.lit(name).alias("series"), "ret")

@@ -197,6 +197,14 @@ QUERIES = {
     "mc_stats_from_paths": lambda i: montecarlo.terminal_stats(stored(montecarlo.summarize(i.paths), "path-ends")),
     "drawdown_stats_from_paths": lambda i: montecarlo.drawdown_stats(stored(montecarlo.summarize(i.paths), "path-ends")),
     "mc_report_from_paths": lambda i: montecarlo.risk_report(montecarlo.summarize(i.paths)),
+    # the other way of each option of SemanticsOptions
+    "rebalance_dates_trading": lambda i: rolling.rebalance_dates(i.mine, trading=True),
+    "returns_unpadded": lambda i: returns.daily_returns(returns.densify(_with_gaps(i.prices), BOOK.universe), pad=False),
+    "series_next_day": lambda i: rolling.history_series(i.mine, i.history, next_day=True),
+    "drawdown_from_start": lambda i: returns.drawdowns(i.series, from_start=True).select("day", "drawdown"),
+    "alpha_over_rf": lambda i: performance.against(i.series, i.bench, over_rf=P.risk_free).select("series", "alpha"),
+    "series_reweighted": lambda i: returns.portfolio_series(i.mine, BOOK.weights, reweight=True),
+    "loss_against_start": lambda i: montecarlo.terminal_stats(stored(montecarlo.summarize(i.paths), "path-ends"), 1.5).select("prob_loss", "prob_double", "prob_5x"),
     "price_quantiles": lambda i: _price_quantiles(i),
     "maintained_cov": lambda i: _maintained(i).sample_cov(),
     "maintained_lw_cov": lambda i: _maintained(i).shrunk_cov(),
@@ -229,6 +237,11 @@ def _market_weights(i: Inputs) -> DataFrame:
     return optimize.normalize_weights(v.select(F.lit("market").alias("portfolio"), "asset", "weight"))
 
 
+def _with_gaps(prices: DataFrame) -> DataFrame:
+    """Prices without those of an asset whose days' numbers leave the remainder of its name's length by 7."""
+    return prices.where(F.pmod(F.unix_date("day"), F.lit(7)) != F.pmod(F.length("asset"), F.lit(7)))
+
+
 def _judged(i: Inputs, weights: DataFrame, sharpe: bool = True, **rules) -> DataFrame:
     """optimality() of weights, and the value they reach when they are made to sum to 1."""
     weights = settle(weights)
@@ -568,6 +581,21 @@ _SQL = {
 }
 
 
+_SQL |= {
+    "rebalance_dates_trading": "SELECT max(day) AS day FROM mine GROUP BY last_day(day)",
+    "returns_unpadded": f"""SELECT day, loc, asset, {_r('ret')} AS ret FROM (
+      WITH gaps AS (SELECT * FROM prices WHERE date_diff('day', DATE '1970-01-01', day) % 7 <> length(asset) % 7),
+      gp AS (SELECT d.day, u.asset, p.close FROM (SELECT DISTINCT day FROM gaps) d CROSS JOIN (VALUES {_UNIVERSE}) u(asset) LEFT JOIN gaps p ON p.day = d.day AND p.asset = u.asset),
+      gc AS (SELECT day, asset, close / lag(close) OVER (PARTITION BY asset ORDER BY day) - 1 AS ret FROM gp),
+      gd AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS loc FROM (SELECT DISTINCT day FROM gc WHERE ret IS NOT NULL))
+      SELECT gc.*, loc FROM gc JOIN gd USING (day))""",
+    "series_next_day": f"""SELECT day, 'walkforward_portfolio' AS series, {_r('coalesce(sum(ret * weight), 0)')} AS ret FROM (SELECT m.day, m.ret, last_value(h.weight IGNORE NULLS) OVER (PARTITION BY m.asset ORDER BY m.day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS weight
+      FROM mine m LEFT JOIN history h ON h.rebalance_date = m.day AND h.asset = m.asset) WHERE weight IS NOT NULL GROUP BY day""",
+    "drawdown_from_start": f"SELECT day, {_r('value / greatest(max(value) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) - 1')} AS drawdown FROM grown",
+    "alpha_over_rf": f"SELECT series, {_r('alpha - 0.04 * (1 - beta)')} AS alpha FROM versus",
+    "series_reweighted": f"SELECT day, 'portfolio' AS series, {_r('coalesce(sum(ret * weight) * sum(weight) / sum(weight) FILTER (WHERE ret IS NOT NULL), 0)')} AS ret FROM mine JOIN w USING (asset) GROUP BY day",
+    "loss_against_start": _row({"prob_loss": "avg((terminal < 1.5)::INT::DOUBLE)", "prob_double": "avg((terminal >= 3)::INT::DOUBLE)", "prob_5x": "avg((terminal >= 7.5)::INT::DOUBLE)"}, "ends"),
+}
 _SQL["maintained_cov"], _SQL["maintained_lw_cov"] = _SQL["sample_cov"], _SQL["lw_cov"]
 _SQL["factor_file"] = _SQL["kf_parse"]
 _SQL["path_names"] = "SELECT sim_id, 'sim_' || (sim_id + 1) AS sim, count(*) AS steps FROM paths GROUP BY sim_id"

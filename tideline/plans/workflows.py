@@ -16,7 +16,7 @@ from tideline.operators.returns import asset_series, daily_returns, densify, dra
 
 
 def _inputs(prices: DataFrame, book: Portfolio, p: ModelParams):
-    returns = daily_returns(densify(require(prices, book.universe), book.universe)).cache()
+    returns = daily_returns(densify(require(prices, book.universe), book.universe), pad=p.semantics.pad_gaps)
     mine = returns.where(F.col("asset").isin(book.assets))
     hist, cov = mean_cov(mine, p.trading_days, p.use_shrinkage, p.shrinkage, book.assets)
     hist, cov = settle(hist), settle(cov)
@@ -42,12 +42,12 @@ def live(prices: DataFrame, book: Portfolio, p: ModelParams = ModelParams()) ->
     target = settle(_best(mu, cov, current, book, p))
     stats = risk.portfolio_stats(target, mu, cov, p.risk_free)
     both = costs.two_weights(current, target)
-    series, bench = portfolio_series(mine, book.weights, "current"), asset_series(returns, book.benchmark)
+    series, bench = portfolio_series(mine, book.weights, "current", p.semantics.reweight), asset_series(returns, book.benchmark)
     table, numbers = costs.optimized_summary(target, stats)
     out = {
         "expected_returns": compare,
         "current_stats": risk.portfolio_stats(current, mu, cov, p.risk_free),
-        "current_performance": performance.summary_table(series, bench, p.risk_free, p.trading_days, performance.CURRENT),
+        "current_performance": performance.summary_table(series, bench, p.risk_free, p.trading_days, performance.CURRENT, p.semantics),
         "current_weights": costs.weight_lines(current),
         "target_weights": costs.weight_lines(target),
         "target_summary": table,
@@ -70,7 +70,7 @@ def research(prices: DataFrame, book: Portfolio, p: ModelParams = ModelParams(),
     best = settle(_best(mu, cov, start, book, p))
     least = settle(optimize.min_vol(mu, cov, book.assets, book.bounds))
     bench = asset_series(returns, book.benchmark, f"{book.benchmark} Benchmark")
-    series = {n: portfolio_series(mine, w, n) for n, w in (("Starting Portfolio", book.weights), ("Max Sharpe", optimize.weights_dict(best)), ("Min Vol", optimize.weights_dict(least)))}
+    series = {n: portfolio_series(mine, w, n, p.semantics.reweight) for n, w in (("Starting Portfolio", book.weights), ("Max Sharpe", optimize.weights_dict(best)), ("Min Vol", optimize.weights_dict(least)))}
     test = backtest.walk_forward(mine, book, p, book.weights)
     walked = test.series.withColumn("series", F.lit("Walk-Forward OOS")).cache()
     every = series["Starting Portfolio"].union(series["Max Sharpe"]).union(series["Min Vol"]).union(walked)
@@ -85,12 +85,12 @@ def research(prices: DataFrame, book: Portfolio, p: ModelParams = ModelParams(),
         "min_vol": costs.weight_lines(least),
         "portfolio_stats": stats,
         "rolling": rolling.rolling_statistics(mine, p.rolling_window, p.trading_days),
-        "summary": performance.summary_table(every, bench, p.risk_free, p.trading_days),
-        "walkforward_summary": performance.summary_table(walked, walk_bench, p.risk_free, p.trading_days),
+        "summary": performance.summary_table(every, bench, p.risk_free, p.trading_days, semantics=p.semantics),
+        "walkforward_summary": performance.summary_table(walked, walk_bench, p.risk_free, p.trading_days, semantics=p.semantics),
         "walkforward_weights": backtest.latest_weights(test.weights),
         "walkforward_diagnostics": backtest.last_rows(test.diagnostics),
         "risk_contribution": risk.risk_contribution(best, cov),
-        "monte_carlo": montecarlo.risk_report(ends.cache()),
+        "monte_carlo": montecarlo.risk_report(ends, p.mc_initial if p.semantics.relative_thresholds else 1.0),
         "growth": growth_frame({**series, f"{book.benchmark} Benchmark": bench}, {"Walk-Forward OOS": walked}),
         "frontier": frontier,
         "benchmark_point": point,
