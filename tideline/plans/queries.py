@@ -17,6 +17,7 @@ from tideline.operators import backtest, bayes, costs, factors, moment_store, mo
 from tideline.operators.quantiles import quantiles
 from tideline.plans import workflows
 from tideline.sources.factors import FF5, load_factors, parse_factors
+from tideline.sources import reports
 from tideline.sources.panel import literal_table, part_prices
 from tideline.sources.quotes import read_quotes
 
@@ -197,6 +198,18 @@ QUERIES = {
     "mc_stats_from_paths": lambda i: montecarlo.terminal_stats(stored(montecarlo.summarize(i.paths), "path-ends")),
     "drawdown_stats_from_paths": lambda i: montecarlo.drawdown_stats(stored(montecarlo.summarize(i.paths), "path-ends")),
     "mc_report_from_paths": lambda i: montecarlo.risk_report(montecarlo.summarize(i.paths)),
+    # two sets of weights made of the line items, and factors read back from a file made of the returns
+    "held_weight_changes": lambda i: costs.weight_changes(_held_both(i)),
+    "held_trade_sheet": lambda i: costs.trade_sheet(_held_both(i)),
+    "held_turnover": lambda i: costs.turnover(_held_both(i)),
+    "held_impl_cost": lambda i: costs.cost_rate(_held_both(i)),
+    "held_tax_drag": lambda i: costs.tax_drag(_held_both(i)),
+    "held_net_return": lambda i: costs.net_return(_held_both(i), 0.10),
+    "held_print_weights": lambda i: costs.weight_lines(_held(i, 0)),
+    "held_summary": lambda i: costs.optimized_summary(_held(i, 1), risk.portfolio_stats(_held(i, 1), i.mu, i.cov))[1],
+    "held_summary_weights": lambda i: costs.optimized_summary(_held(i, 1), risk.portfolio_stats(_held(i, 1), i.mu, i.cov))[0],
+    "factors_from_file": lambda i: load_factors(i.spark, _factor_text(i), "FF5 "),
+    "report_written": lambda i: _written(i),
     # the other way of each option of SemanticsOptions
     "rebalance_dates_trading": lambda i: rolling.rebalance_dates(i.mine, trading=True),
     "returns_unpadded": lambda i: returns.daily_returns(returns.densify(_with_gaps(i.prices), BOOK.universe), pad=False),
@@ -237,6 +250,37 @@ def _market_weights(i: Inputs) -> DataFrame:
     return optimize.normalize_weights(v.select(F.lit("market").alias("portfolio"), "asset", "weight"))
 
 
+def _held(i: Inputs, half: int) -> DataFrame:
+    """(asset, asset_ord, weight) of the part types by the value shipped in even years (0) or odd ones (1)."""
+    lines = i.spark.read.parquet(f"{i.sf_dir}/lineitem.parquet").where(F.year("l_shipdate") % 2 == half).select("l_partkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("v"))
+    part = i.spark.read.parquet(f"{i.sf_dir}/part.parquet").select("p_partkey", F.col("p_type").alias("asset"))
+    v = lines.join(part, lines.l_partkey == part.p_partkey).groupBy("asset").agg(F.sum("v").cast("double").alias("weight"))
+    place = (F.array_position(F.lit(BOOK.assets), F.col("asset")) - 1).cast("int")
+    return optimize.normalize_weights(v.select(F.lit("held").alias("portfolio"), "asset", place.alias("asset_ord"), "weight")).drop("portfolio")
+
+
+def _held_both(i: Inputs) -> DataFrame:
+    return costs.two_weights(_held(i, 0), _held(i, 1))
+
+
+def _factor_text(i: Inputs) -> str:
+    """A factor file of all days, in the published form: a preamble, dated percentages to four places, a footer."""
+    known = i.factors.dropna()
+    row = F.format_string("%s" + ",%10.4f" * len(FF5), F.date_format("day", "yyyyMMdd"), *[F.col(c) * 100 for c in FF5])
+    text = lambda place, lines: i.spark.createDataFrame([(place, None, x) for x in lines], "place int, day date, value string")
+    every = text(0, ["Factors made of the returns of part types", "", ",Mkt-RF,SMB,HML,RMW,CMA,RF"]).unionByName(known.select(F.lit(1).alias("place"), "day", row.alias("value"))).unionByName(text(2, ["", "Made for a test"]))
+    path = new_path(i.spark, "factor-text")
+    every.coalesce(1).sortWithinPartitions("place", "day").select("value").write.text(path)
+    return path
+
+
+def _written(i: Inputs) -> DataFrame:
+    """The drawdown chart's data, written as a table of a report and read back."""
+    root = new_path(i.spark, "report")
+    reports.write_tables({"summary": performance.summary_table(i.series, i.bench), "drawdown": returns.drawdowns(i.series).select("day", "value", "drawdown")}, root)
+    return reports.read_table(i.spark, root, "drawdown")
+
+
 def _with_gaps(prices: DataFrame) -> DataFrame:
     """Prices without those of an asset whose days' numbers leave the remainder of its name's length by 7."""
     return prices.where(F.pmod(F.unix_date("day"), F.lit(7)) != F.pmod(F.length("asset"), F.lit(7)))
@@ -581,7 +625,20 @@ _SQL = {
 }
 
 
+_HELD = f"""held AS (SELECT year(l_shipdate) % 2 AS half, p_type AS asset, list_position([{', '.join(f"'{a}'" for a in BOOK.assets)}], p_type) - 1 AS asset_ord, sum(CAST(round(l_extendedprice * 100) AS BIGINT))::DOUBLE AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+  ew AS (SELECT asset, asset_ord, v / sum(v) OVER () AS weight FROM held WHERE half = 0), ow AS (SELECT asset, asset_ord, v / sum(v) OVER () AS weight FROM held WHERE half = 1),
+  both_h AS (SELECT asset, ew.asset_ord, ew.weight AS current, ow.weight AS target FROM ew JOIN ow USING (asset))"""
+
+
+for _name in ("weight_changes", "trade_sheet", "turnover", "impl_cost", "tax_drag", "net_return"):
+    _two = f"* REPLACE ({_r('current')} AS current, {_r('target')} AS target)" if _name in ("weight_changes", "trade_sheet") else "*"
+    _SQL[f"held_{_name}"] = f"WITH {_HELD} SELECT {_two} FROM ({_SQL[_name].replace('both_w', 'both_h')})"
 _SQL |= {
+    "held_print_weights": f"WITH {_HELD} SELECT asset_ord::INT AS asset_ord, printf('%5s: %5.2f%%', asset, weight * 100) AS line FROM ew",
+    "held_summary_weights": f"WITH {_HELD} SELECT asset, {_r('weight')} AS weight FROM ow",
+    "held_summary": f"WITH {_HELD}, s AS (SELECT er, vol FROM {_stats('ow')}) SELECT 'Expected Return' AS metric, {_r('er')} AS value FROM s UNION ALL SELECT 'Volatility', {_r('vol')} FROM s UNION ALL SELECT 'Sharpe Ratio', {_r('(er - 0.04) / vol')} FROM s",
+    "factors_from_file": f"SELECT day, {', '.join(_r(f'round({c} * 100, 4) / 100') + f' AS {c}' for c in FF5[:-1])}, {_r('round(0.04 / 252 * 100, 4) / 100')} AS rf FROM wide WHERE {' AND '.join(f'{c} IS NOT NULL' for c in FF5[:-1])}",
+    "report_written": _SQL["drawdown_path"],
     "rebalance_dates_trading": "SELECT max(day) AS day FROM mine GROUP BY last_day(day)",
     "returns_unpadded": f"""SELECT day, loc, asset, {_r('ret')} AS ret FROM (
       WITH gaps AS (SELECT * FROM prices WHERE date_diff('day', DATE '1970-01-01', day) % 7 <> length(asset) % 7),
@@ -607,4 +664,5 @@ _SQL["walkforward_sharpe"] = f"SELECT key AS rebalance_date, round(value, 4) + 0
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: f"{_CTE}\n{sql}" for name, sql in _SQL.items()}
+    """Each query's SQL; tables of its own come after the common ones."""
+    return {name: f"{_CTE.rstrip()},\n{sql[5:]}" if sql.startswith("WITH held") else f"{_CTE}\n{sql}" for name, sql in _SQL.items()}
