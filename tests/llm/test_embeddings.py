@@ -59,7 +59,7 @@ def shaped(kind, n=900, length=64):
     return rng.normal(size=(n, int(kind))) @ rng.normal(size=(int(kind), length))
 
 
-@pytest.mark.parametrize("kind", ["circle", "half circle and noise", "2", "4", "8", "64"])
+@pytest.mark.parametrize("kind", ["circle", "half circle and noise", "4", "64"])
 def test_no_link_is_lost_however_vectors_lie(spark, kind):
     """Long vectors near a circle or of low rank: their differences lie along the directions that part the lists."""
     x = shaped(kind).astype(np.float32)

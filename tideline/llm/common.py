@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -76,6 +78,21 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def tidy(run):
+    """run, a function of batches, that hands this worker's freed memory back to the system when its task ends.
+
+    Workers live on after a task, and so would what Arrow and the C library keep of it.
+    """
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return out
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """Broadcast df if its counted rows are at most `most`; beyond that Spark shuffles the join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import column, connected_components, drop_table, fresh, materialize, mix64, release, shingle_hashes, small
+from tideline.llm.common import column, connected_components, drop_table, fresh, materialize, mix64, release, shingle_hashes, small, tidy
 
 #: Hash collections and hashes in each. Two documents meet in a table if two of their
 #: collections agree: at a similarity of 0.75 a collection agrees with probability
@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     (their rows come back with null component and kept true).
     """
     rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
-    feats = materialize(rows.mapInArrow(_features(k), _FEATURES), "minhash")
+    feats = materialize(rows.mapInArrow(tidy(_features(k)), _FEATURES), "minhash")
     full = feats.where("n > 0 and doc_id is not null")
     first = materialize(full.groupBy("d1", "d2").agg(F.min_by(F.struct("doc_id", "n", "keys", "sketch"), "doc_id").alias("r")).select("d1", "d2", "r.*"), "minhash-class")
 
@@ -179,10 +179,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "minhash-pairs")
         wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "minhash-wanted")
-        sets = materialize(rows.join(small(wanted, MOST_IDS), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary"), "minhash-sets")
+        sets = materialize(rows.join(small(wanted, MOST_IDS), "doc_id", "left_semi").mapInArrow(tidy(_sets(k)), "doc_id long, shingles binary"), "minhash-sets")
         a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
         b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-        out = materialize(pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(_linked(percent), "a long, b long"), "minhash-links")
+        out = materialize(pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(tidy(_linked(percent)), "a long, b long"), "minhash-links")
         drop_table(pairs, wanted, sets)
         release(docs.sparkSession)
         return out
@@ -202,9 +202,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     # shared with no other document of those buckets: what no link can count on
     there = named.join(mixed, "bucket")
     those = materialize(there.select("doc_id").distinct(), "minhash-there")
-    sets = materialize(rows.join(small(those, MOST_IDS), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary"), "minhash-sets")
-    parts = materialize(sets.mapInArrow(_shingles, "doc_id long, s long"), "minhash-shingles")
-    bits = sets.mapInArrow(_bitmaps, "doc_id long, bits array<long>")
+    sets = materialize(rows.join(small(those, MOST_IDS), "doc_id", "left_semi").mapInArrow(tidy(_sets(k)), "doc_id long, shingles binary"), "minhash-sets")
+    parts = materialize(sets.mapInArrow(tidy(_shingles), "doc_id long, s long"), "minhash-shingles")
+    bits = sets.mapInArrow(tidy(_bitmaps), "doc_id long, bits array<long>")
     known = materialize(parts.groupBy("s").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("s"), "minhash-known")
     held = materialize(parts.distinct().join(known, "s").groupBy("doc_id").agg(F.count(F.lit(1)).alias("held")), "minhash-held")
     seen = materialize(first.select("doc_id", "n").join(held, "doc_id").join(bits.distinct(), "doc_id").where(F.col("held") * 100 >= F.col("n") * percent), "minhash-seen")

@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from tideline.llm.common import column, mix64, slices
+from tideline.llm.common import column, mix64, slices, tidy
 
 SPACE = 0x2581
 #: A text's own U+2581: past Unicode, so that no piece has it and its bytes stand for it.
@@ -300,7 +300,7 @@ def encode_pieces(docs: DataFrame, model: str, theta: float = 1.0, seed: int = 0
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), lists, pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "ids_crc32", "lossless"])
 
     rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, _OUT)
+    return rows.mapInArrow(tidy(run), _OUT)
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:

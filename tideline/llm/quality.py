@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.window import Window
 
-from tideline.llm.common import column, slices
+from tideline.llm.common import column, slices, tidy
 
 #: Rows the classifier is fitted on at most, the longest text among them and the characters of all.
 FIT_ROWS, FIT_CHARS, FIT_ALL = 6000, 20_000, 40_000_000
@@ -204,7 +204,7 @@ def score_quality(docs: DataFrame, model: LineField) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.clip(scores, 0.0, 1.0))], names=["doc_id", "score"])
 
     rows = docs.select(column(docs, "doc_id").cast("long").alias("doc_id"), column(docs, "text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -233,4 +233,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
                 scores = cell.value.score(texts)
                 yield part.filter(pa.array(scores >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
