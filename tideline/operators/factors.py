@@ -63,16 +63,17 @@ def factor(rows: DataFrame, model: str) -> DataFrame:
     return tall_qr(rows.withColumn("one", F.lit(1.0)), "series", ["one", *factor_names(model), "y"])
 
 
-def fit_statistics(series: DataFrame, factors: DataFrame, model: str = "ff5") -> DataFrame:
+def fit_statistics(series: DataFrame, factors: DataFrame, model: str = "ff5", known: DataFrame | None = None) -> DataFrame:
     """(series, metric, value) of the fit.
 
     R2 and its adjusted form, F, log likelihood, AIC, BIC, Durbin-Watson, degrees of
     freedom, the residuals' skewness and kurtosis with the Jarque-Bera and omnibus tests
-    of them, and the condition number of the design.
+    of them, and the condition number of the design. `known` are the series'
+    coefficients() where they are at hand.
     """
     names = factor_names(model)
     rows = regression_rows(series, factors, model)
-    coef = regress(series, factors, model).groupBy("series").agg(F.map_from_entries(F.collect_list(F.struct("term", "coef"))).alias("b"))
+    coef = (regress(series, factors, model) if known is None else known).groupBy("series").agg(F.map_from_entries(F.collect_list(F.struct("term", "coef"))).alias("b"))
     fitted = F.col("b")["const"]
     for c in names:
         fitted = fitted + F.col("b")[c] * F.col(c)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,14 +82,13 @@ def drawdowns(series: DataFrame, span: int = SPAN, from_start: bool = False) ->
 def growth_frame(series: dict[str, DataFrame], later: dict[str, DataFrame] | None = None) -> DataFrame:
     """One column of growth for each named series, on the union of their days; those `later` only on days of the others.
 
-    A series without rows gives a column of nulls.
+    A series without rows gives a column of nulls. All of them go through one scan.
     """
-    out = None
-    for how, some in (("full_outer", series), ("left", later or {})):
-        for name, s in some.items():
-            g = growth(s).select("day", F.col("value").alias(name))
-            out = g if out is None else out.join(g, "day", how)
-    return out
+    parts = [s.select("day", F.lit(name).alias("series"), "ret", F.lit(first).alias("first_")) for first, some in ((True, series), (False, later or {})) for name, s in some.items()]
+    run = growth(reduce(DataFrame.union, parts))
+    names = [*series, *(later or {})]
+    wide = run.groupBy("day").agg(F.max("first_").alias("first_"), *[F.max(F.when(F.col("series") == n, F.col("value"))).alias(n) for n in names])
+    return wide.where("first_").select("day", *[F.col(f"`{n}`") for n in names])
 
 
 def on_days_of(series: DataFrame, days: DataFrame) -> DataFrame:

@@ -28,10 +28,16 @@ _PRICES: dict[tuple[str, str], DataFrame] = {}
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The price panel, some thousand rows for any input, kept in memory for the session."""
+    """The price panel, some thousand rows for any input, kept in memory for the session.
+
+    It is written first: kept as it comes from its window, it would have a task for each
+    shuffle partition in every scan of it, and the plans here scan it often.
+    """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _PRICES:
-        _PRICES[key] = part_prices(spark, sf_dir).cache()
+        kept = stored(part_prices(spark, sf_dir), "prices").cache()
+        kept.count()
+        _PRICES[key] = kept
     return _PRICES[key]
 
 
@@ -45,12 +51,18 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.prices = prices(spark, sf_dir)
-        self.panel = returns.densify(self.prices, BOOK.universe)
         self.current = literal_table(spark, BOOK.weights)
         self.target = literal_table(spark, PARTS_TARGET)
         self.both = costs.two_weights(self.current, self.target)
 
+    @property
+    def prices(self) -> DataFrame:
+        return prices(self.spark, self.sf_dir)
+
+    @property
+    def panel(self) -> DataFrame:
+        return returns.densify(self.prices, BOOK.universe)
+
     @cached_property
     def every(self) -> DataFrame:
         return returns.daily_returns(self.panel)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import html
 import pathlib
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.config import ModelParams, Portfolio
+from tideline.functions.shared import stored
 from tideline.functions.small import printed, settle
 from tideline.operators import backtest, bayes, costs, factors, montecarlo, optimize, performance, risk, rolling
 from tideline.operators.moments import mean_cov
@@ -72,10 +74,12 @@ def research(prices: DataFrame, book: Portfolio, p: ModelParams = ModelParams(),
     bench = asset_series(returns, book.benchmark, f"{book.benchmark} Benchmark")
     series = {n: portfolio_series(mine, w, n, p.semantics.reweight) for n, w in (("Starting Portfolio", book.weights), ("Max Sharpe", optimize.weights_dict(best)), ("Min Vol", optimize.weights_dict(least)))}
     test = backtest.walk_forward(mine, book, p, book.weights)
-    walked = test.series.withColumn("series", F.lit("Walk-Forward OOS")).cache()
-    every = series["Starting Portfolio"].union(series["Max Sharpe"]).union(series["Min Vol"]).union(walked)
-    stats = risk.portfolio_stats(best, mu, cov, p.risk_free)
-    point = performance.benchmark_point(bench, p.trading_days)
+    # all that follows reads the series, most of it several times: made once, in few files
+    every = stored(reduce(DataFrame.union, [*series.values(), test.series.withColumn("series", F.lit("Walk-Forward OOS"))]), "series")
+    one = lambda n: every.where(F.col("series") == n)
+    series, walked = {n: one(n) for n in series}, one("Walk-Forward OOS")
+    stats = settle(risk.portfolio_stats(best, mu, cov, p.risk_free))
+    point = settle(performance.benchmark_point(bench, p.trading_days))
     frontier = settle(optimize.efficient_frontier(mu, cov, book.assets, p.frontier_points, book.bounds))
     ends = montecarlo.simulate(risk.portfolio_stats(start, mu, cov, p.risk_free), p.mc_years, p.mc_sims, p.trading_days, p.mc_initial, p.mc_seed)
     walk_bench = on_days_of(bench, walked)
@@ -97,10 +101,11 @@ def research(prices: DataFrame, book: Portfolio, p: ModelParams = ModelParams(),
         "capital_market_line": optimize.capital_market_line(stats, frontier, point, p.risk_free),
     }
     if factor_table is not None:
-        f = factor_table.cache()
+        f = stored(factor_table, "factors")
         for name, s in (("factors", series["Max Sharpe"]), ("walkforward_factors", walked)):
-            out[name], out[f"{name}_fit"] = factors.regress(s, f), factors.fit_statistics(s, f)
-            out[f"{name}_coefficients"] = factors.coefficients(s, f)
+            found = settle(factors.coefficients(s, f))
+            out[name], out[f"{name}_fit"] = found.select("series", "term", "coef", "t_stat", "p_value"), factors.fit_statistics(s, f, known=found)
+            out[f"{name}_coefficients"] = found
     return out
 
 
